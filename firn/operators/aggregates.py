@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from firn.functions.scalars import numeric_columns, text_columns
+from firn.functions.scalars import numeric_columns
 from firn.schemas import season_months
 
 
@@ -197,10 +197,9 @@ def distinct_counts(df: DataFrame, cols) -> DataFrame:
 
 
 def error_metrics(df: DataFrame, truth, predicted, *by) -> DataFrame:
-    """RMSE, MAE, MSE and R2. Sums of squares are taken around a pilot mean of the group.
+    """RMSE, MAE, MSE and R2 in one pass with partial aggregates.
 
-    One pass: the total sum of squares comes from the population variance, which Spark merges
-    stably between partial aggregates.
+    R2 is 1 - mse / population variance; Spark merges partial variances stably.
     """
     err = F.col(truth) - F.col(predicted)
     known = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull())
@@ -249,7 +248,3 @@ def changed_values(before: DataFrame, after: DataFrame, col: str) -> DataFrame:
         both.where(F.col("__a").isNull() | F.col("__b").isNull())
         .select(F.coalesce(a[col], b[col]).alias("value"), side.alias("change"))
     )
-
-
-def text_and_number_columns(df: DataFrame):
-    return text_columns(df), numeric_columns(df)

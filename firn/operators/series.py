@@ -94,6 +94,20 @@ def numbered(df: DataFrame, series: Series, name="__rn") -> DataFrame:
     )
 
 
+def positions(df: DataFrame, series: Series, name="position", hot="find") -> DataFrame:
+    """Row number from 1 per key; hot keys are numbered day by day."""
+    if isinstance(hot, str):
+        hot = hot_keys(df, series)
+
+    def plain(part):
+        return part.withColumn(name, F.row_number().over(series.window()).cast("long"))
+
+    if hot is None:
+        return plain(df)
+    cold, heavy = split_hot(df, hot, series)
+    return plain(cold).unionByName(numbered(heavy, series, name).withColumn(name, F.col(name) + 1))
+
+
 def chunked(df: DataFrame, series: Series, reach: int, hot="find"):
     """Add `__chunk` and `__halo` so that frames of up to `reach` earlier rows fit a chunk."""
     if isinstance(hot, str):
