@@ -1,6 +1,7 @@
 """Session set-up for local runs, and lineage cutting that survives lost executors."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,19 +23,26 @@ def local_session(cores="*", shuffle_partitions=8) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in `spark.checkpoint.dir`.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`. Only a local session
-    without that setting gets a temporary folder of its own.
+    Only a local session without that setting gets a temporary folder of its own.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="firn-checkpoint-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="firn-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write `df` as parquet to the shared folder and go on from there.
+
+    This cuts the lineage, survives lost executors, and later passes read only the columns
+    they need.
+    """
+    path = f"{shared_folder(df.sparkSession)}/firn-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
