@@ -39,15 +39,19 @@ def month_anomaly(df: DataFrame, col="temperature", name="temperature_anomaly")
     )
 
 
-def key_stats(df: DataFrame, col="swe", key="station_id", prefix="station") -> DataFrame:
+def key_stats(df: DataFrame, col="swe", key="station_id", prefix="station", by_window=False):
     """Mean and sample deviation of `col` per key on every row.
 
     The statistics combine map-side. The join carries no hint: with adaptive execution a small
-    side turns into a broadcast by its measured size and a hot key is split.
+    side turns into a broadcast by its measured size and a hot key is split. `by_window` is for
+    data that is already partitioned by the key and known to have no hot key: no shuffle then.
     """
-    stats = df.groupBy(key).agg(
-        F.avg(col).alias(f"{prefix}_mean_{col}"), F.stddev_samp(col).alias(f"{prefix}_std_{col}")
-    )
+    mean, std = F.avg(col), F.stddev_samp(col)
+    names = f"{prefix}_mean_{col}", f"{prefix}_std_{col}"
+    if by_window:
+        w = W.partitionBy(key)
+        return df.select("*", mean.over(w).alias(names[0]), std.over(w).alias(names[1]))
+    stats = df.groupBy(key).agg(mean.alias(names[0]), std.alias(names[1]))
     return df.join(stats, key, "left")
 
 

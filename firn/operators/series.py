@@ -108,12 +108,11 @@ def positions(df: DataFrame, series: Series, name="position", hot="find") -> Dat
     return plain(cold).unionByName(numbered(heavy, series, name).withColumn(name, F.col(name) + 1))
 
 
-def chunked(df: DataFrame, series: Series, reach: int, hot="find"):
-    """Add `__chunk` and `__halo` so that frames of up to `reach` earlier rows fit a chunk."""
-    if isinstance(hot, str):
-        hot = hot_keys(df, series)
-    if hot is None:
-        return df.withColumns({"__chunk": F.lit(0).cast("long"), "__halo": F.lit(False)})
+def chunked(df: DataFrame, series: Series, reach: int, hot: DataFrame):
+    """Add `__chunk` and `__halo` so that frames of up to `reach` earlier rows fit a chunk.
+
+    Keys that are not hot keep one chunk.
+    """
     cold, heavy = split_hot(df, hot, series)
     size = max(series.hot_rows, 2 * reach, 1)
     own = F.floor(F.col("__rn") / size)
@@ -140,6 +139,10 @@ def over_rows(df: DataFrame, series: Series, reach: int, build, hot="find") -> D
 
     All columns share one window specification, so there is one shuffle and one sort.
     """
+    if isinstance(hot, str):
+        hot = hot_keys(df, series)
+    if hot is None:
+        return df.select("*", *[c.alias(n) for n, c in build(series.window()).items()])
     parts = chunked(df, series, reach, hot)
     new = build(series.window("__chunk"))
     return parts.select("*", *[c.alias(n) for n, c in new.items()]).where(~F.col("__halo")).drop(
