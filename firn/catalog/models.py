@@ -1,12 +1,14 @@
 """Model jobs over the station and winter views; tree counts are small to keep the check quick."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from firn.catalog.aggregates import PHASE_VALUES, _pct
 from firn.catalog.joins import COMPARED_SQL, history
-from firn.catalog.registry import day_text, fixed4, job
+from firn.catalog.registry import day_text, fixed2, fixed4, job
 from firn.catalog.rules import importance
-from firn.catalog.views import r4, view
+from firn.catalog.views import r2, r4, view
 from firn.catalog.windows import _over
 from firn.models import features as M
 from firn.models.experiments import DEFAULT_EXPERIMENTS, run_experiments
@@ -18,7 +20,8 @@ from firn.models.trend import SeasonalTrend
 from firn.operators import joins as J, whatif as Q
 from firn.operators.aggregates import error_metrics
 from firn.plans import daily as D, outlook as O
-from firn.session import materialize
+from firn.schemas import DEFAULT_SCENARIOS
+from firn.session import materialize, shared_folder
 
 OBS = "station_id, CAST(date AS VARCHAR) AS date"
 SIMPLE = ["temperature", "precipitation", "swe_lag_1", "swe_prev_mean_7", "season_sin", "season_cos"]
@@ -62,10 +65,36 @@ def temporal_split(spark, sf):
     return both.withColumn("date", day_text())
 
 
-@job("m3_random_split")
+@job("m3_random_split", f"""
+SELECT {OBS}, CASE WHEN CAST(concat('0x', substr(md5(concat(station_id, '|', CAST(date AS VARCHAR), '|42')), 1, 8)) AS BIGINT) % 10000 < 2000
+  THEN 'test' ELSE 'train' END AS part FROM station_daily""")
 def random_split(spark, sf):
     train, test = M.random_split(daily(spark, sf).select("station_id", "date"))
-    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.withColumn("date", day_text())
+
+
+# One input, so that every penalty has a closed form: moments of rain and snow water.
+MOMENTS = """m AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(y, x) AS c, var_pop(x) AS v, count(*) AS n
+  FROM (SELECT precipitation AS x, swe AS y FROM station_daily WHERE swe IS NOT NULL AND precipitation IS NOT NULL) o)"""
+SLOPES = {
+    "linear": "c / v", "ridge": "c / (v + 1.0 / n)", "lasso": "sign(c) * greatest(abs(c) - 1.0, 0) / v",
+    "elasticnet": "sign(c) * greatest(abs(c) - 0.5, 0) / (v + 0.5)",
+}
+
+
+@job("m4_penalties", f"WITH {MOMENTS} " + " UNION ALL ".join(
+    f"SELECT '{k}' AS model, {r4(s)} AS slope, {r4(f'my - ({s}) * mx')} AS intercept FROM m" for k, s in SLOPES.items()))
+def penalties(spark, sf):
+    rows = materialize(daily(spark, sf).select("swe", "precipitation").na.drop())
+    out = None
+    for kind in SLOPES:
+        c = Forecaster(Linear(kind), ["precipitation"], "swe").fit(rows).coefficients()
+        pick = lambda name: F.max(F.when(F.col("feature") == name, F.col("coefficient")))
+        one = c.agg(fixed4(pick("precipitation")).alias("slope"), fixed4(pick("(intercept)")).alias("intercept"))
+        one = one.withColumn("model", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @job("m4_linear_models")
@@ -95,6 +124,17 @@ def boosting(spark, sf):
     return f.fit(train).evaluate(test)
 
 
+@job("m7_trend_only", f"""
+WITH line AS (SELECT station_id, regr_slope(swe, date_diff('day', DATE '1970-01-01', date)) AS b,
+    regr_intercept(swe, date_diff('day', DATE '1970-01-01', date)) AS a FROM station_daily WHERE swe IS NOT NULL GROUP BY 1)
+SELECT d.station_id, CAST(date AS VARCHAR) AS date, {r2("a + b * date_diff('day', DATE '1970-01-01', date)")} AS prediction
+FROM station_daily d JOIN line l ON d.station_id = l.station_id""")
+def trend_only(spark, sf):
+    model = SeasonalTrend(changepoints=0, waves=0).fit(daily(spark, sf))
+    return model.transform(daily(spark, sf)).select(
+        "station_id", day_text().alias("date"), fixed2("prediction").alias("prediction"))
+
+
 @job("m7_seasonal_trend")
 def seasonal_trend(spark, sf):
     model = SeasonalTrend(regressors=("temperature",), changepoints=10, waves=4).fit(daily(spark, sf))
@@ -123,19 +163,35 @@ def sequence_forecast(spark, sf):
     return error_metrics(model.transform(rows), "swe", "prediction")
 
 
-@job("m9_predict")
+@job("m9_predict", f"""WITH {MOMENTS}
+SELECT {OBS}, swe, {r4('my - c / v * mx + c / v * precipitation')} AS prediction
+FROM station_daily, m WHERE precipitation IS NOT NULL""")
 def predict(spark, sf):
-    rows = training(spark, sf)
-    f = Forecaster(Linear("ridge"), SIMPLE, "swe").fit(rows)
-    return f.transform(rows).select("station_id", day_text().alias("date"), "swe", "prediction")
+    rows = daily(spark, sf).select("station_id", "date", "swe", "precipitation")
+    f = Forecaster(Linear(), ["precipitation"], "swe").fit(rows)
+    return f.transform(rows).select("station_id", day_text().alias("date"), "swe",
+                                    fixed4("prediction").alias("prediction"))
+
+
+@job("m10_future_steps", f"""
+WITH RECURSIVE known AS (SELECT station_id, date, swe, lag(swe) OVER (PARTITION BY station_id ORDER BY date) AS before
+    FROM station_daily WHERE swe IS NOT NULL),
+line AS (SELECT regr_slope(swe, before) AS b, regr_intercept(swe, before) AS a FROM known),
+steps AS (SELECT station_id, 0 AS step, max(date) AS last, arg_max(swe, date) AS p FROM known GROUP BY 1
+  UNION ALL SELECT station_id, step + 1, last, a + b * p FROM steps, line WHERE step < 30)
+SELECT station_id, step, CAST(last + CAST(step AS INTEGER) AS VARCHAR) AS date, {r4('p')} AS prediction FROM steps WHERE step > 0""")
+def future_steps(spark, sf):
+    rows = M.autoregressive(daily(spark, sf), "swe", (1,), ())
+    f = Forecaster(Linear(), ["swe_lag_1"], "swe").fit(rows)
+    done = forecast_steps(f, daily(spark, sf), "swe", (1,), (), 30)
+    return done.select("station_id", "step", day_text().alias("date"), fixed4("prediction").alias("prediction"))
 
 
-@job("m10_future_steps")
-def future_steps(spark, sf):
-    rows = training(spark, sf)
+@job("m10_tree_steps")
+def tree_steps(spark, sf):
     inputs = M.autoregressive_names("swe", (1,), (7,))
-    f = Forecaster(Linear("ridge"), inputs, "swe").fit(rows)
-    return forecast_steps(f, daily(spark, sf), "swe", (1,), (7,), 30).withColumn("date", day_text())
+    f = Forecaster(Forest(trees=5, max_depth=5), inputs, "swe").fit(training(spark, sf))
+    return forecast_steps(f, daily(spark, sf), "swe", (1,), (7,), 12).withColumn("date", day_text())
 
 
 @job("m11_importance_share", f"""
@@ -205,8 +261,6 @@ def scenario_sweep(spark, sf):
 def model_scenarios(spark, sf):
     rows = training(spark, sf)
     f = Forecaster(Linear("ridge"), SIMPLE, "swe").fit(rows)
-    from firn.schemas import DEFAULT_SCENARIOS
-
     return Q.compare_scenarios(rows, DEFAULT_SCENARIOS, f).drop("parameters")
 
 
@@ -241,27 +295,42 @@ def outlook_summary(spark, sf):
         "water_level", "fire_level")
 
 
-@job("s6_nested_outlook")
+@job("s6_nested_outlook", f"""WITH {COMPARED_SQL}
+SELECT count(DISTINCT period) AS months, 3::BIGINT AS phases, count(DISTINCT region) AS regions, count(*) AS cells,
+  {r4('sum(precipitation_mm * area_weight)')} AS precipitation_mm,
+  {r4("max(CASE WHEN region = 'central_sierra' THEN s END)")} AS central_sierra_snow
+FROM (SELECT *, sum(snowfall_cm) OVER (PARTITION BY region) AS s FROM compared) x""")
 def nested_outlook(spark, sf):
+    """The nested row as JSON text and back, as a reader of the file sees it."""
     h = history(spark, sf)
     row = O.nested(O.summarize(J.as_forecast(h, 2001), h))
-    return row.select(F.to_json(F.struct("*")).alias("outlook"))
-
-
-@job("s7_save_and_load")
+    text = row.select(F.to_json(F.struct("*")).alias("outlook"))
+    schema = ("precipitation_mm double, trajectory array<struct<period:string>>, season_phases array<struct<phase_id:string>>, "
+              "regional_summary array<struct<region:string,snowfall_cm:double>>, regional_monthly array<struct<region:string>>")
+    doc = text.select(F.from_json("outlook", schema).alias("d"))
+    size = lambda c: F.size(f"d.{c}").cast("bigint")
+    sierra = F.filter("d.regional_summary", lambda r: r["region"] == "central_sierra")
+    return doc.select(
+        size("trajectory").alias("months"), size("season_phases").alias("phases"),
+        size("regional_summary").alias("regions"), size("regional_monthly").alias("cells"),
+        fixed4("d.precipitation_mm").alias("precipitation_mm"),
+        fixed4(F.element_at(sierra, 1)["snowfall_cm"]).alias("central_sierra_snow"))
+
+
+@job("s7_save_and_load", f"""WITH {MOMENTS}
+SELECT {OBS}, {r4('my - c / v * mx + c / v * precipitation')} AS before, {r4('my - c / v * mx + c / v * precipitation')} AS prediction
+FROM station_daily, m WHERE precipitation IS NOT NULL""")
 def save_and_load(spark, sf):
     """A saved and reloaded model predicts what the original did; returns both predictions."""
-    import uuid
-
-    from firn.session import shared_folder
-
-    rows = training(spark, sf)
-    f = Forecaster(Linear("ridge"), SIMPLE, "swe").fit(rows)
+    rows = daily(spark, sf).select("station_id", "date", "swe", "precipitation")
+    f = Forecaster(Linear(), ["precipitation"], "swe").fit(rows)
     folder = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
     f.save(folder)
     again = Forecaster.load(spark, folder)
     first = f.transform(rows).withColumnRenamed("prediction", "before")
-    return again.transform(first).select("station_id", day_text().alias("date"), "before", "prediction")
+    return again.transform(first).select(
+        "station_id", day_text().alias("date"), fixed4("before").alias("before"),
+        fixed4("prediction").alias("prediction"))
 
 
 @job("m17_experiments")

@@ -20,10 +20,14 @@ def job(name, sql=None):
     return keep
 
 
-def fixed4(col):
+def fixed4(col, scale=10000):
     """Four fixed digits; the offset keeps exact halves on one side in both engines."""
     col = F.col(col) if isinstance(col, str) else col
-    return F.floor(col * 10000 + 0.5001) / 10000
+    return F.floor(col * scale + 0.5001) / scale
+
+
+def fixed2(col):
+    return fixed4(col, 100)
 
 
 def day_text(col="date"):

@@ -121,11 +121,17 @@ def with_views(body: str) -> str:
     body = body.strip()
     if not used:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {', '.join(used)}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {', '.join(used)}, {body[5:]}"
     return f"WITH {', '.join(used)} {body}"
 
 
-def r4(expr: str) -> str:
+def r4(expr: str, scale=10000) -> str:
     """Four fixed digits in SQL. The offset keeps exact halves on one side in both engines."""
-    return f"(floor(({expr}) * 10000 + 0.5001) / 10000)"
+    return f"(floor(({expr}) * {scale} + 0.5001) / {scale})"
+
+
+def r2(expr: str) -> str:
+    return r4(expr, 100)

@@ -50,32 +50,34 @@ def temporal_split(df: DataFrame, test_size=0.2, date="date", station="station_i
 
     Only counts per calendar day reach the driver, and no row is sorted: the cut day is found
     from them, and inside it the cut station is an exact order statistic. Rows with the same
-    station and day stay together.
+    station and day stay together; rows without a date test.
     """
-    days = df.groupBy(date).agg(F.count("*").alias("n")).where(F.col(date).isNotNull()).orderBy(date).collect()
-    total = df.count() if not days else sum(r["n"] for r in days) + df.where(F.col(date).isNull()).count()
-    left = int(total * (1 - test_size))
+    day = F.col(date).cast("date")
+    counts = df.groupBy(day.alias("day")).agg(F.count("*").alias("n")).collect()
+    left = int(sum(r["n"] for r in counts) * (1 - test_size))
     cut = None
-    for r in days:
+    for r in sorted((r for r in counts if r["day"] is not None), key=lambda r: r["day"]):
         if left < r["n"]:
-            cut = r[date]
+            cut = r["day"]
             break
         left -= r["n"]
     if cut is None:
-        before = F.col(date).isNotNull()
+        before = day.isNotNull()
     else:
-        before = F.col(date) < F.lit(cut)
+        before = day < F.lit(cut)
         if left > 0:
-            tied = df.where(F.col(date) == F.lit(cut)).select(tie_key(station).alias("t"))
-            last = order_statistics(tied, {"t": [left - 1]}, {"t": tied.count()})["t", left - 1]
-            before = before | ((F.col(date) == F.lit(cut)) & (tie_key(station) <= F.lit(last)))
+            tied = df.where(day == F.lit(cut)).select(tie_key(station).alias("t"))
+            n = next(r["n"] for r in counts if r["day"] == cut)
+            last = order_statistics(tied, {"t": [left - 1]}, {"t": n})["t", left - 1]
+            before = before | ((day == F.lit(cut)) & (tie_key(station) <= F.lit(last)))
     before = F.coalesce(before, F.lit(False))
     return df.where(before), df.where(~before)
 
 
 def random_split(df: DataFrame, test_size=0.2, seed=42, keys=("station_id", "date")):
     """(train, test) by a hash of the key: the same row always lands on the same side."""
-    share = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(10_000))
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    share = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 10_000
     test = share < int(round(test_size * 10_000))
     return df.where(~test), df.where(test)
 

@@ -38,7 +38,7 @@ class SeasonalTrend:
         return 2 + self.changepoints + 2 * self.waves + len(self.regressors)
 
     def _penalty(self):
-        trend = [1e-9, 1e-9] + [self.noise / self.changepoint_scale ** 2] * self.changepoints
+        trend = [0.0, 0.0] + [self.noise / self.changepoint_scale ** 2] * self.changepoints
         season = [self.noise / self.season_scale ** 2] * (2 * self.waves + len(self.regressors))
         return trend + season
 
@@ -86,7 +86,7 @@ class SeasonalTrend:
                 full = full + np.triu(full, 1).T
                 xx, xy, yy = full[:p, :p], full[:p, p], full[p, p]
                 scale = max(yy / count, 1e-12)
-                coef = np.linalg.solve(xx + np.diag(np.array(penalty) * max(scale, 1.0)) + 1e-9 * np.eye(p), xy)
+                coef = np.linalg.solve(xx + np.diag(np.array(penalty) * max(scale, 1.0)) + 1e-10 * np.eye(p), xy)
                 sse = max(float(yy - 2 * coef @ xy + coef @ xx @ coef), 0.0)
                 out.append((coef.tolist(), math.sqrt(sse / max(count - 1, 1))))
             return pd.DataFrame(out, columns=["coef", "sigma"])

@@ -49,23 +49,23 @@ def join_same(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame
     return left.join(renamed, cond, how).drop(*[f"__{k}" for k in keys])
 
 
-def broadcast_if_small(df: DataFrame, limit=BROADCAST_ROWS) -> DataFrame:
-    """Bring at most `limit` rows over the driver and broadcast them; leave bigger ones to AQE."""
-    rows = df.take(limit + 1)
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def hot_keys(df: DataFrame, series: Series):
-    """Keys with more rows than one task should sort, or None. At most rows / hot_rows keys."""
+    """Keys with more rows than one task should sort, or None.
+
+    A short list is broadcast; a longer one than that joins as adaptive execution decides.
+    """
     hot = (
         df.groupBy(*series.keys).agg(F.count("*").alias("__n"))
         .where(F.col("__n") > series.hot_rows).select(*series.keys)
     )
-    if hot.isEmpty():
+    rows = hot.take(BROADCAST_ROWS + 1)
+    if not rows:
         return None
-    return broadcast_if_small(hot)
+    if len(rows) > BROADCAST_ROWS:
+        return hot
+    return F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema))
 
 
 def split_hot(df: DataFrame, hot: DataFrame, series: Series):
@@ -199,14 +199,18 @@ def nearest_known(df: DataFrame, series: Series, cols, hot="find") -> DataFrame:
     def known(c):
         return F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("value")))
 
-    def sides(w, pick):
-        back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    def sides(*extra):
+        # Both directions as running frames: a frame that ends at the last row is quadratic.
+        part = W.partitionBy(*series.keys, *extra)
+        running = (W.unboundedPreceding, 0)
+        back = part.orderBy(*series.sort()).rowsBetween(*running)
+        ahead = part.orderBy(*[F.col(c).desc_nulls_last() for c in series.order]).rowsBetween(*running)
         return {
-            c: (F.last(pick(c), True).over(back), F.first(pick(c), True).over(ahead)) for c in cols
+            c: (F.last(known(c), True).over(back), F.last(known(c), True).over(ahead)) for c in cols
         }
 
     def plain(part):
-        found = sides(series.window(), known)
+        found = sides()
         return part.select(
             "*",
             *[p.alias(f"__prev_{c}") for c, (p, _) in found.items()],
@@ -222,15 +226,16 @@ def nearest_known(df: DataFrame, series: Series, cols, hot="find") -> DataFrame:
         *[F.max_by(known(c), F.when(F.col(c).isNotNull(), rank)).alias(f"__l_{c}") for c in cols],
         *[F.min_by(known(c), F.when(F.col(c).isNotNull(), rank)).alias(f"__f_{c}") for c in cols],
     )
-    over_days = W.partitionBy(*series.keys).orderBy(F.col("__day").asc_nulls_first())
-    earlier = over_days.rowsBetween(W.unboundedPreceding, -1)
-    later = over_days.rowsBetween(1, W.unboundedFollowing)
+    over_days = W.partitionBy(*series.keys)
+    before = (W.unboundedPreceding, -1)
+    earlier = over_days.orderBy(F.col("__day").asc_nulls_first()).rowsBetween(*before)
+    later = over_days.orderBy(F.col("__day").desc_nulls_last()).rowsBetween(*before)
     carried = per_day.select(
         *series.keys, "__day",
         *[F.last(f"__l_{c}", True).over(earlier).alias(f"__cl_{c}") for c in cols],
-        *[F.first(f"__f_{c}", True).over(later).alias(f"__cf_{c}") for c in cols],
+        *[F.last(f"__f_{c}", True).over(later).alias(f"__cf_{c}") for c in cols],
     )
-    found = sides(series.window("__day"), known)
+    found = sides("__day")
     heavy = join_same(days, carried, [*series.keys, "__day"]).select(
         *df.columns,
         *[F.coalesce(p, F.col(f"__cl_{c}")).alias(f"__prev_{c}") for c, (p, _) in found.items()],

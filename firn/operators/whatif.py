@@ -55,17 +55,11 @@ def beside(df: DataFrame, suffix="_scenario") -> DataFrame:
     return df.withColumns({f"{c}{suffix}": v for c, v in moved.items()})
 
 
-def mean_predictor(df: DataFrame, target="swe", name="prediction", by=()) -> DataFrame:
-    """Stand-in without a model: the mean of the target, 0 where there is no target.
-
-    The means are one row per group; adaptive execution broadcasts them by measured size.
-    """
+def mean_predictor(df: DataFrame, target="swe", name="prediction") -> DataFrame:
+    """Stand-in without a model: the mean of the target, 0 where there is no target."""
     if target not in df.columns:
         return df.withColumn(name, F.lit(0.0))
-    if not by:
-        return df.withColumn(name, df.agg(F.avg(target)).scalar())
-    means = df.groupBy(*by).agg(F.avg(target).alias(name))
-    return df.join(means, list(by), "left")
+    return df.withColumn(name, df.agg(F.avg(target)).scalar())
 
 
 def impact_columns(original, changed) -> dict:
@@ -139,8 +133,12 @@ def scenario_predictions(base: DataFrame, scenarios, model=None, target="swe") -
     if model is None:
         before = mean_predictor(base, target, "original_prediction")
         moved = apply_scenario(fan_out(before, scenarios))
+        if target not in base.columns:
+            return moved.withColumn("prediction", F.lit(0.0))
         moved = moved.withColumn("__name", F.col("scenario.name"))
-        return mean_predictor(moved, target, "prediction", ("__name",)).drop("__name")
+        # One mean per scenario of the given list, so the broadcast has as many rows as the list.
+        means = moved.groupBy("__name").agg(F.avg(target).alias("prediction"))
+        return moved.join(F.broadcast(means), "__name", "left").drop("__name")
     before = model.transform(base).withColumnRenamed("prediction", "original_prediction")
     before = before.select(*base.columns, "original_prediction")
     return model.transform(apply_scenario(fan_out(before, scenarios)))
