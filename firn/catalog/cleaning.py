@@ -7,6 +7,7 @@ from firn.catalog.registry import day_text, fixed4, job
 from firn.catalog.views import r4, view
 from firn.operators import cleaning as C
 from firn.operators.isolation import drop_isolated
+from firn.operators.neighbours import fill_knn as fill_neighbours
 
 OBS = "station_id, CAST(date AS VARCHAR) AS date"
 
@@ -89,6 +90,26 @@ def fill_median(spark, sf):
     return shown(C.fill_median(daily(spark, sf), ["swe", "precipitation"]), "swe", "precipitation")
 
 
+def _knn(target, other):
+    """Mean of the five nearest donors per distinct gap row; ties go to the smaller value."""
+    return f"""near_{target} AS (SELECT p, t, list_avg(arg_min(v, {{'d': d, 'v': v}}, 5)) AS fill
+  FROM (SELECT g.p, g.t, v, CASE WHEN g.p IS NULL OR d.p IS NULL THEN 3.0::DOUBLE / 1 * ((g.t - d.t) * (g.t - d.t))
+      ELSE 3.0::DOUBLE / 2 * ((g.p - d.p) * (g.p - d.p) + (g.t - d.t) * (g.t - d.t)) END AS d
+    FROM (SELECT DISTINCT {other} AS p, temperature AS t FROM station_daily WHERE {target} IS NULL) g,
+         (SELECT {target} AS v, {other} AS p, temperature AS t FROM station_daily WHERE {target} IS NOT NULL) d) x
+  GROUP BY 1, 2)"""
+
+
+@job("c6_fill_knn", f"""WITH {_knn('swe', 'precipitation')}, {_knn('precipitation', 'swe')}
+SELECT {OBS}, {r4('coalesce(swe, a.fill)')} AS swe, {r4('coalesce(precipitation, b.fill)')} AS precipitation, temperature
+FROM station_daily s LEFT JOIN near_swe a ON swe IS NULL AND precipitation IS NOT DISTINCT FROM a.p AND temperature = a.t
+LEFT JOIN near_precipitation b ON precipitation IS NULL AND swe IS NOT DISTINCT FROM b.p AND temperature = b.t""")
+def fill_knn(spark, sf):
+    df = fill_neighbours(daily(spark, sf), ["swe", "precipitation", "temperature"])
+    return df.select("station_id", day_text().alias("date"), fixed4("swe").alias("swe"),
+                     fixed4("precipitation").alias("precipitation"), "temperature")
+
+
 _W = "PARTITION BY station_id ORDER BY date ROWS BETWEEN"
 _BACK = f"OVER ({_W} UNBOUNDED PRECEDING AND CURRENT ROW)"
 _AHEAD = f"OVER ({_W} CURRENT ROW AND UNBOUNDED FOLLOWING)"
