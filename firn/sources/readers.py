@@ -13,14 +13,16 @@ def _read(spark, path, schema, fmt):
 def pick(df: DataFrame, stations=None, start=None, end=None) -> DataFrame:
     """Station list and inclusive date range as plain predicates, so they reach the scan.
 
-    `stations="all"` keeps every station.
+    `stations="all"` keeps every station. A `year` column, as folders by year have, is limited
+    too, so whole folders are skipped.
     """
     if stations is not None and stations != "all":
         df = df.where(F.col("station_id").isin(*stations))
-    if start is not None:
-        df = df.where(F.col("date") >= F.to_date(F.lit(start)))
-    if end is not None:
-        df = df.where(F.col("date") <= F.to_date(F.lit(end)))
+    for bound, side in ((start, "__ge__"), (end, "__le__")):
+        if bound is not None:
+            df = df.where(getattr(F.col("date"), side)(F.to_date(F.lit(bound))))
+            if "year" in df.columns:
+                df = df.where(getattr(F.col("year"), side)(int(bound[:4])))
     return df
 
 
