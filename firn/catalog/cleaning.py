@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from firn.catalog.joins import history
 from firn.catalog.registry import day_text, fixed4, job
-from firn.catalog.views import r4, view
+from firn.catalog.views import r4, stored, view
 from firn.operators import cleaning as C
 from firn.operators.isolation import drop_isolated
 from firn.operators.neighbours import fill_knn as fill_neighbours
@@ -27,13 +27,17 @@ def daily(spark, sf):
     return view(spark, sf, "station_daily")
 
 
+def written(spark, sf):
+    return stored(spark, sf, "station_daily")
+
+
 def doubled(spark, sf):
     df = daily(spark, sf)
     return df.unionByName(df.where(F.dayofmonth("date") % 5 == 0))
 
 
 def wider(spark, sf):
-    return daily(spark, sf).select(
+    return written(spark, sf).select(
         "*", F.lit("snow").alias("kind"),
         F.when(F.dayofmonth("date") <= 10, F.col("temperature")).alias("rare"),
         F.concat("station_id", F.lit("-"), day_text()).alias("row_code"))
@@ -41,7 +45,7 @@ def wider(spark, sf):
 
 def spiked(spark, sf):
     number = F.substring("station_id", 3, 10).cast("bigint") + F.dayofmonth("date")
-    return daily(spark, sf).withColumn(
+    return written(spark, sf).withColumn(
         "swe", F.when(number % 97 == 0, F.col("swe") * 10).otherwise(F.col("swe")))
 
 
@@ -72,7 +76,7 @@ def drop_sparse(spark, sf):
 SELECT {OBS}, swe, precipitation, temperature FROM station_daily
 WHERE swe IS NOT NULL AND precipitation IS NOT NULL""")
 def drop_rows(spark, sf):
-    return C.handle_missing(daily(spark, sf), "drop").withColumn("date", day_text()).select(
+    return C.handle_missing(written(spark, sf), "drop").withColumn("date", day_text()).select(
         "station_id", "date", "swe", "precipitation", "temperature")
 
 
@@ -87,7 +91,7 @@ def fill_mean(spark, sf):
 SELECT {OBS}, {r4('coalesce(swe, (SELECT median(swe) FROM station_daily))')} AS swe,
        {r4('coalesce(precipitation, (SELECT median(precipitation) FROM station_daily))')} AS precipitation FROM station_daily""")
 def fill_median(spark, sf):
-    return shown(C.fill_median(daily(spark, sf), ["swe", "precipitation"]), "swe", "precipitation")
+    return shown(C.fill_median(written(spark, sf), ["swe", "precipitation"]), "swe", "precipitation")
 
 
 def _knn(target, other):
@@ -105,7 +109,7 @@ SELECT {OBS}, {r4('coalesce(swe, a.fill)')} AS swe, {r4('coalesce(precipitation,
 FROM station_daily s LEFT JOIN near_swe a ON swe IS NULL AND precipitation IS NOT DISTINCT FROM a.p AND temperature = a.t
 LEFT JOIN near_precipitation b ON precipitation IS NULL AND swe IS NOT DISTINCT FROM b.p AND temperature = b.t""")
 def fill_knn(spark, sf):
-    df = fill_neighbours(daily(spark, sf), ["swe", "precipitation", "temperature"])
+    df = fill_neighbours(written(spark, sf), ["swe", "precipitation", "temperature"])
     return df.select("station_id", day_text().alias("date"), fixed4("swe").alias("swe"),
                      fixed4("precipitation").alias("precipitation"), "temperature")
 
@@ -123,7 +127,7 @@ WITH near AS (SELECT station_id, date, swe,
 SELECT {OBS}, {r4("coalesce(swe, CASE WHEN v1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (date_diff('day', d0, date)::DOUBLE / date_diff('day', d0, d1)) END)")} AS swe
 FROM near""")
 def fill_interpolate(spark, sf):
-    return shown(C.fill_interpolate(daily(spark, sf), ["swe"]), "swe")
+    return shown(C.fill_interpolate(written(spark, sf), ["swe"]), "swe")
 
 
 @job("c8_fill_most_frequent", f"""
@@ -203,7 +207,8 @@ SELECT {OBS}, {r4('CASE WHEN greatest(hi - m, m - lo) > 3 * p THEN least(greates
        CAST(day(date) AS INT) AS day, CAST(dayofyear(date) AS INT) AS day_of_year, CAST(weekofyear(date) AS INT) AS week_of_year
 FROM filled, s""")
 def clean(spark, sf):
-    df = C.clean(wider(spark, sf).unionByName(wider(spark, sf).where(F.dayofmonth("date") % 5 == 0)))
+    df = wider(spark, sf)
+    df = C.clean(df.unionByName(df.where(F.dayofmonth("date") % 5 == 0)))
     calendar = ["year", "month", "day", "day_of_year", "week_of_year"]
     return df.select("station_id", day_text().alias("date"), fixed4("swe").alias("swe"),
                      "precipitation", "temperature", *[F.col(c).cast("int").alias(c) for c in calendar])

@@ -8,7 +8,7 @@ from firn.catalog.aggregates import PHASE_VALUES, _pct
 from firn.catalog.joins import COMPARED_SQL, history
 from firn.catalog.registry import day_text, fixed2, fixed4, job
 from firn.catalog.rules import importance
-from firn.catalog.views import r2, r4, view
+from firn.catalog.views import r2, r4, stored, view
 from firn.catalog.windows import _over
 from firn.models import features as M
 from firn.models.experiments import DEFAULT_EXPERIMENTS, run_experiments
@@ -28,7 +28,7 @@ SIMPLE = ["temperature", "precipitation", "swe_lag_1", "swe_prev_mean_7", "seaso
 
 
 def daily(spark, sf):
-    return view(spark, sf, "station_daily")
+    return stored(spark, sf, "station_daily")
 
 
 def training(spark, sf):
@@ -86,7 +86,7 @@ SLOPES = {
 @job("m4_penalties", f"WITH {MOMENTS} " + " UNION ALL ".join(
     f"SELECT '{k}' AS model, {r4(s)} AS slope, {r4(f'my - ({s}) * mx')} AS intercept FROM m" for k, s in SLOPES.items()))
 def penalties(spark, sf):
-    rows = materialize(daily(spark, sf).select("swe", "precipitation").na.drop())
+    rows = daily(spark, sf).select("swe", "precipitation").na.drop()
     out = None
     for kind in SLOPES:
         c = Forecaster(Linear(kind), ["precipitation"], "swe").fit(rows).coefficients()
@@ -130,15 +130,16 @@ WITH line AS (SELECT station_id, regr_slope(swe, date_diff('day', DATE '1970-01-
 SELECT d.station_id, CAST(date AS VARCHAR) AS date, {r2("a + b * date_diff('day', DATE '1970-01-01', date)")} AS prediction
 FROM station_daily d JOIN line l ON d.station_id = l.station_id""")
 def trend_only(spark, sf):
-    model = SeasonalTrend(changepoints=0, waves=0).fit(daily(spark, sf))
-    return model.transform(daily(spark, sf)).select(
+    rows = daily(spark, sf)
+    return SeasonalTrend(changepoints=0, waves=0).fit(rows).transform(rows).select(
         "station_id", day_text().alias("date"), fixed2("prediction").alias("prediction"))
 
 
 @job("m7_seasonal_trend")
 def seasonal_trend(spark, sf):
-    model = SeasonalTrend(regressors=("temperature",), changepoints=10, waves=4).fit(daily(spark, sf))
-    return model.transform(daily(spark, sf).where("temperature IS NOT NULL")).select(
+    rows = daily(spark, sf)
+    model = SeasonalTrend(regressors=("temperature",), changepoints=10, waves=4).fit(rows)
+    return model.transform(rows).select(
         "station_id", day_text().alias("date"), "swe", "prediction", "lower", "upper")
 
 
@@ -158,7 +159,7 @@ def sequence_input(spark, sf):
 
 @job("m8_sequence_forecast")
 def sequence_forecast(spark, sf):
-    rows = materialize(daily(spark, sf))
+    rows = daily(spark, sf)
     model = SequenceForecaster(["precipitation", "swe"], steps=3, settings=Linear("ridge", 0.1)).fit(rows)
     return error_metrics(model.transform(rows), "swe", "prediction")
 
@@ -181,17 +182,19 @@ steps AS (SELECT station_id, 0 AS step, max(date) AS last, arg_max(swe, date) AS
   UNION ALL SELECT station_id, step + 1, last, a + b * p FROM steps, line WHERE step < 30)
 SELECT station_id, step, CAST(last + CAST(step AS INTEGER) AS VARCHAR) AS date, {r4('p')} AS prediction FROM steps WHERE step > 0""")
 def future_steps(spark, sf):
-    rows = M.autoregressive(daily(spark, sf), "swe", (1,), ())
-    f = Forecaster(Linear(), ["swe_lag_1"], "swe").fit(rows)
-    done = forecast_steps(f, daily(spark, sf), "swe", (1,), (), 30)
+    rows = daily(spark, sf)
+    f = Forecaster(Linear(), ["swe_lag_1"], "swe").fit(M.autoregressive(rows, "swe", (1,), ()))
+    done = forecast_steps(f, rows, "swe", (1,), (), 30)
     return done.select("station_id", "step", day_text().alias("date"), fixed4("prediction").alias("prediction"))
 
 
 @job("m10_tree_steps")
 def tree_steps(spark, sf):
     inputs = M.autoregressive_names("swe", (1,), (7,))
-    f = Forecaster(Forest(trees=5, max_depth=5), inputs, "swe").fit(training(spark, sf))
-    return forecast_steps(f, daily(spark, sf), "swe", (1,), (7,), 12).withColumn("date", day_text())
+    rows = daily(spark, sf)
+    train = materialize(M.autoregressive(rows, "swe", (1,), (7,)))
+    f = Forecaster(Forest(trees=5, max_depth=5), inputs, "swe").fit(train)
+    return forecast_steps(f, rows, "swe", (1,), (7,), 12).withColumn("date", day_text())
 
 
 @job("m11_importance_share", f"""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from firn.catalog.aggregates import _pct
 from firn.catalog.joins import NORMAL_SQL, REGION_VALUES, history
 from firn.catalog.registry import day_text, fixed4, job
-from firn.catalog.views import r4, view
+from firn.catalog.views import r4, stored, view
 from firn.functions import reports, rules as R
 from firn.functions.scalars import add_calendar
 from firn.operators import aggregates as A, joins as J, windows as W
@@ -174,7 +174,7 @@ signed AS (SELECT 'temperature' AS feature, corr(temperature, swe) AS importance
 
 def importance(spark, sf):
     """Correlation of each feature with the target, taken as its importance."""
-    df = view(spark, sf, "station_daily").withColumns({
+    df = stored(spark, sf, "station_daily").withColumns({
         "day_of_year": F.dayofyear("date"), "month_of_year": F.month("date").cast("double")})
     df = W.add_lags(df, ("swe",), (7,))
     features = ["temperature", "precipitation", "day_of_year", "swe_lag_7", "month_of_year"]
@@ -216,7 +216,7 @@ def _quality_sql(c):
     'Collect more historical data for better model training'
   FROM (SELECT CAST(floor(date_diff('day', min(date), max(date)) / 365.25) AS INT) AS span FROM gaps) s WHERE span < 5""")
 def data_quality(spark, sf):
-    df = view(spark, sf, "station_daily").where(F.year("date") >= 1999)
+    df = stored(spark, sf, "station_daily").where(F.year("date") >= 1999)
     df = df.withColumn("temperature", F.when(F.dayofmonth("date") <= 12, F.col("temperature")))
     cols = ["swe", "precipitation", "temperature"]
     span = A.dataset_facts(df).first()["span_years"]

@@ -6,6 +6,7 @@ from firn.catalog.registry import day_text, fixed4, job
 from firn.catalog.views import r4, view
 from firn.functions import scalars as N
 from firn.operators import aggregates as A
+from firn.session import materialize
 from firn.sources import readers
 
 STATIONS = ("ST1", "ST2", "ST3", "ST5", "ST8")
@@ -68,7 +69,7 @@ def number_coercion(spark, sf):
         F.when(F.col("precipitation") > 90, "heavy")
         .otherwise(F.col("precipitation").cast("string")).alias("some_words"),
     )
-    return N.coerce_numbers(df, skip=("date",))
+    return N.coerce_numbers(materialize(df), skip=("date",))
 
 
 @job("n2_date_parsing", """

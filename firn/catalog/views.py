@@ -4,6 +4,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from firn.session import materialize
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -115,6 +117,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text)
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view written once as a table, for jobs that pass over it several times."""
+    return materialize(view(spark, sf_dir, name))
+
+
 def with_views(body: str) -> str:
     """Put the views that `body` names in front of it as common table expressions."""
     used = [f"{n} AS ({VIEWS[n].strip()})" for n in VIEWS if re.search(rf"\b{n}\b", body)]

@@ -3,18 +3,19 @@
 from pyspark.sql import functions as F
 
 from firn.catalog.registry import day_text, fixed4, job
-from firn.catalog.views import r4, view
+from firn.catalog.views import r4, stored, view
 from firn.functions import scalars as N
 from firn.operators import aggregates as A, windows as W
 from firn.operators.joins import split_years
 from firn.operators.series import Series, positions
+from firn.session import materialize
 
 OBS = ("swe", "temperature", "precipitation")
 KEY = ["station_id", "date"]
 
 
 def stations(spark, sf, *cols):
-    return view(spark, sf, "station_daily").select(*KEY, *cols)
+    return materialize(view(spark, sf, "station_daily").select(*KEY, *cols))
 
 
 def shown(df, *cols):
@@ -122,7 +123,7 @@ FROM (SELECT station_id, date, humidity AS label,
       FROM climate_daily) x
 WHERE len(s) = 5""")
 def sequences(spark, sf):
-    df = view(spark, sf, "climate_daily")
+    df = stored(spark, sf, "climate_daily")
     made = W.sequence_windows(df, ["wind_speed", "humidity"], "humidity", 5)
     whole = lambda c: c.cast("bigint")
     text = F.array_join(F.transform("sequence", lambda x: F.concat_ws(

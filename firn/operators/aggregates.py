@@ -161,7 +161,7 @@ def stack_long(wide: DataFrame, names, fields, key="column_name") -> DataFrame:
     return wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
-def profile(df: DataFrame, target=None, station="station_id", date="date") -> DataFrame:
+def profile(df: DataFrame, target=None) -> DataFrame:
     """Per numeric column: rows, missing percent, range, mean and correlation with the target."""
     nums = numeric_columns(df)
     n = F.count("*")
@@ -178,15 +178,21 @@ def profile(df: DataFrame, target=None, station="station_id", date="date") -> Da
     return stack_long(wide, nums, fields)
 
 
-def dataset_facts(df: DataFrame, station="station_id", date="date") -> DataFrame:
-    """Rows, columns, stations and date span. Stations are counted after a two-phase distinct."""
+def dataset_facts(df: DataFrame, station="station_id", date="date", elevation="elevation_m") -> DataFrame:
+    """Rows, columns, stations, date span and, where known, the elevation range.
+
+    Stations are counted after a two-phase distinct.
+    """
+    high = elevation in df.columns
+    ends = [F.min(elevation).alias("low"), F.max(elevation).alias("high")] if high else []
     spans = df.groupBy(station).agg(
-        F.count("*").alias("n"), F.min(date).alias("lo"), F.max(date).alias("hi"))
+        F.count("*").alias("n"), F.min(date).alias("lo"), F.max(date).alias("hi"), *ends)
+    ranges = [F.min("low").alias("lowest_station"), F.max("high").alias("highest_station")] if high else []
     return spans.agg(
         F.sum("n").alias("row_count"), F.lit(len(df.columns)).alias("column_count"),
         F.count(station).alias("station_count"), F.min("lo").alias("first_date"),
         F.max("hi").alias("last_date"),
-        F.floor(F.datediff(F.max("hi"), F.min("lo")) / 365.25).cast("int").alias("span_years"))
+        F.floor(F.datediff(F.max("hi"), F.min("lo")) / 365.25).cast("int").alias("span_years"), *ranges)
 
 
 def distinct_counts(df: DataFrame, cols) -> DataFrame:

@@ -50,13 +50,19 @@ def _depths(node, x, rows, out):
 
 
 def grow_forest(df: DataFrame, cols, seed=42, trees=TREES, sample=SAMPLE):
-    """Trees over a sample picked by row hash, so a rerun picks the same rows.
+    """Trees over a small random sample; every row, copies too, is as likely as any other.
 
-    Only the sample, `trees` x `sample` rows at most, reaches the driver.
+    Big tables are thinned first, so each task hands on a few rows. Only the sample, `trees` x
+    `sample` rows at most, reaches the driver.
     """
     known = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
-    picked = known.orderBy(F.xxhash64(*cols, F.lit(seed)), *cols).limit(trees * sample)
-    pool = np.array([tuple(r) for r in picked.collect()], dtype=float).reshape(-1, len(cols))
+    want, total = trees * sample, known.count()
+    if total > want:
+        known = known.withColumn("__r", F.rand(seed)).where(
+            F.col("__r") < min(1.0, 2 * want / total + 1e-9)).orderBy("__r").limit(want).drop("__r")
+    else:
+        known = known.orderBy(*cols)
+    pool = np.array([tuple(r) for r in known.collect()], dtype=float).reshape(-1, len(cols))
     if len(pool) == 0:
         return [], 1
     size = min(sample, len(pool))

@@ -181,15 +181,18 @@ def fill_knn(df: DataFrame, cols=None, k=5, fill=None) -> DataFrame:
     """
     cols = list(cols or numeric_columns(df))
     numbers = materialize(df.select(*cols))
-    out = df.withColumns({f"__k_{c}": F.col(c).cast("double") for c in cols})
+    any_gap = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in fill or cols])
+    whole, out = df.where(~any_gap), df.where(any_gap)
+    out = out.withColumns({f"__k_{c}": F.col(c).cast("double") for c in cols})
     for target in fill or cols:
         if numbers.where(F.col(target).isNull()).isEmpty():
             continue
         others = [c for c in cols if c != target]
-        means = neighbour_means(numbers, target, cols, k).select(
-            *[F.col(f"key.{c}").alias(f"__k_{c}") for c in others], "fill")
-        missing = out.where(F.col(f"__k_{target}").isNull())
-        filled = join_same(missing, means, [f"__k_{c}" for c in others], "left")
-        filled = filled.withColumn(target, F.col("fill")).drop("fill")
-        out = out.where(F.col(f"__k_{target}").isNotNull()).unionByName(filled.select(*out.columns))
-    return out.select(*df.columns)
+        # Written, because the search is long and the rows join with its short result.
+        means = materialize(neighbour_means(numbers, target, cols, k).select(
+            *[F.col(f"key.{c}").alias(f"__k_{c}") for c in others], F.lit(True).alias("__gap"), "fill"))
+        keyed = out.withColumn("__gap", F.col(f"__k_{target}").isNull())
+        joined = join_same(keyed, means, [*[f"__k_{c}" for c in others], "__gap"], "left")
+        out = joined.withColumn(target, F.coalesce(F.col(target), "fill")).drop("fill", "__gap")
+    return whole.select(*[F.col(c).cast(out.schema[c].dataType).alias(c) for c in df.columns]).unionByName(
+        out.select(*df.columns))
