@@ -56,24 +56,26 @@ def _padded(values, width, kind):
     return F.array(*values, *[F.lit(None).cast(kind)] * (width - len(values)))
 
 
-def _sum(terms):
-    return F.aggregate(terms, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+def _total(width, term):
+    """Sum over the places, written out so that it runs as generated code; unknown places add 0."""
+    parts = [F.coalesce(term(i), F.lit(0.0)) for i in range(width)]
+    return reduce(lambda a, b: a + b, parts)
 
 
-def _nearest(q, box):
-    def gap(x, b):
-        d = F.greatest(b["lo"] - x, x - b["hi"], F.lit(0.0))
-        return F.when(x.isNotNull(), d * d)
+def _square(d):
+    return d * d
 
-    return _sum(F.zip_with(q, box, gap))
 
+def _nearest(width):
+    q, box = F.col("q"), F.col("box")
+    return _total(width, lambda i: F.when(q[i].isNotNull(), _square(
+        F.greatest(box[i]["lo"] - q[i], q[i] - box[i]["hi"], F.lit(0.0)))))
 
-def _farthest(q, box):
-    def reach(x, b):
-        d = F.greatest(F.abs(x - b["lo"]), F.abs(x - b["hi"]))
-        return F.when(x.isNotNull(), d * d)
 
-    return _sum(F.zip_with(q, box, reach))
+def _farthest(width):
+    q, box = F.col("q"), F.col("box")
+    return _total(width, lambda i: F.when(q[i].isNotNull(), _square(
+        F.greatest(F.abs(q[i] - box[i]["lo"]), F.abs(q[i] - box[i]["hi"])))))
 
 
 def _points(donors, target, cols, spaces, k, width):
@@ -118,10 +120,10 @@ def _nodes(points, shift, width):
     return level.withColumn("parent", _coarser("cell", STEP))
 
 
-def _prune(front, k):
+def _prune(front, k, width):
     """Keep the cells that may hold one of the k nearest donors."""
     measured = front.withColumns({
-        "near": F.col("factor") * _nearest("q", "box"), "far": F.col("factor") * _farthest("q", "box")})
+        "near": F.col("factor") * _nearest(width), "far": F.col("factor") * _farthest(width)})
     by_far = W.partitionBy("key").orderBy("far").rowsBetween(W.unboundedPreceding, 0)
     sure = measured.withColumn("__n", F.sum("n").over(by_far))
     bound = F.min(F.when(F.col("__n") >= k, F.col("far"))).over(W.partitionBy("key"))
@@ -131,16 +133,17 @@ def _prune(front, k):
 
 
 def neighbour_means(df: DataFrame, target: str, cols, k=5) -> DataFrame:
-    """(`key` struct of the other columns, `fill`) for every distinct row with a gap in `target`."""
+    """The other columns and `fill` for every distinct row with a gap in `target`."""
     others = [c for c in cols if c != target]
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     donors = numbers.where(F.col(target).isNotNull())
-    gaps = numbers.where(F.col(target).isNull()).select(*others).distinct()
+    # The short key is written with the rows, so it stays the same whenever they are read again.
+    gaps = materialize(numbers.where(F.col(target).isNull()).select(*others).distinct().withColumn(
+        "key", F.monotonically_increasing_id()))
     spaces = _spaces(gaps, donors, others)
-    key = F.struct(*others).alias("key")
     mean = donors.agg(F.avg(target)).scalar()
     if not spaces:
-        return gaps.select(key, mean.alias("fill"))
+        return gaps.select(*others, mean.alias("fill"))
     width = max(len(_members(s, others)) for _, s, _ in spaces)
     points, bits = _points(donors, target, others, spaces, k, width)
     roots = []
@@ -150,18 +153,19 @@ def neighbour_means(df: DataFrame, target: str, cols, k=5) -> DataFrame:
             F.lit(i).alias("space"), F.lit(len(cols) / len(own)).alias("factor"),
             _padded([F.col(c) for c in own], width, "double").alias("q"))
         roots.append(F.when(_pattern(others) == receiver, root))
-    front = gaps.select(key, F.explode(F.filter(F.array(*roots), lambda r: r.isNotNull())).alias("__r"))
+    front = gaps.select("key", F.explode(F.filter(F.array(*roots), lambda r: r.isNotNull())).alias("__r"))
     front = front.select("key", "__r.*")
     # The first level has at most 2^(STEP * width) cells per space.
     top = _nodes(points, bits - STEP, width).drop("parent")
     small = 2 ** (STEP * width) * len(spaces) <= 100_000
-    front = _prune(front.join(F.broadcast(top) if small else top, "space"), k)
+    front = _prune(front.join(F.broadcast(top) if small else top, "space"), k, width)
     for shift in range(bits - 2 * STEP, -1, -STEP):
         level = _nodes(points, shift, width).withColumnRenamed("cell", "__child")
         down = front.join(
             level.withColumnRenamed("parent", "cell"), ["space", "cell"]).drop("cell")
-        front = _prune(down.withColumnRenamed("__child", "cell"), k)
-    distance = F.col("factor") * _sum(F.zip_with("q", "x", lambda a, b: (a - b) * (a - b)))
+        front = _prune(down.withColumnRenamed("__child", "cell"), k, width)
+    q, x = F.col("q"), F.col("x")
+    distance = F.col("factor") * _total(width, lambda i: _square(q[i] - x[i]))
     near = front.join(points, ["space", "cell"]).select("key", distance.alias("d"), "v", "m")
     order = W.partitionBy("key").orderBy("d", "v")
     best = near.withColumn("__i", F.row_number().over(order)).where(F.col("__i") <= k)
@@ -169,8 +173,8 @@ def neighbour_means(df: DataFrame, target: str, cols, k=5) -> DataFrame:
     share = F.greatest(F.least(F.col("m"), k - before), F.lit(0))
     taken = best.withColumn("__w", share).groupBy("key").agg(
         (F.sum(F.col("v") * F.col("__w")) / F.sum("__w")).alias("__fill"))
-    found = join_same(gaps.select(key), taken, ["key"], "left")
-    return found.select("key", F.coalesce("__fill", mean).alias("fill"))
+    found = gaps.join(taken, "key", "left")
+    return found.select(*others, F.coalesce("__fill", mean).alias("fill"))
 
 
 def fill_knn(df: DataFrame, cols=None, k=5, fill=None) -> DataFrame:
@@ -190,7 +194,7 @@ def fill_knn(df: DataFrame, cols=None, k=5, fill=None) -> DataFrame:
         others = [c for c in cols if c != target]
         # Written, because the search is long and the rows join with its short result.
         means = materialize(neighbour_means(numbers, target, cols, k).select(
-            *[F.col(f"key.{c}").alias(f"__k_{c}") for c in others], F.lit(True).alias("__gap"), "fill"))
+            *[F.col(c).alias(f"__k_{c}") for c in others], F.lit(True).alias("__gap"), "fill"))
         keyed = out.withColumn("__gap", F.col(f"__k_{target}").isNull())
         joined = join_same(keyed, means, [*[f"__k_{c}" for c in others], "__gap"], "left")
         out = joined.withColumn(target, F.coalesce(F.col(target), "fill")).drop("fill", "__gap")
