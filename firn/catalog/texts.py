@@ -65,6 +65,16 @@ def labelled_sections(spark, sf):
                      F.array_join("recommendations", " / ").alias("recommendations"))
 
 
+@job("x3_labelled_records", """
+SELECT doc_id, part, record, summary, confidence FROM (
+  SELECT doc_id, 1 AS part, 'Summary' AS record, trim(split_part(split_part(text, chr(10), 1), ':', 2)) AS summary,
+         lower(trim(split_part(split_part(text, chr(10), 2), ':', 2))) AS confidence FROM labelled_text
+  UNION ALL SELECT doc_id, 2, 'Drivers', NULL, NULL FROM labelled_text) x""")
+def labelled_records(spark, sf):
+    return X.labelled_records(view(spark, sf, "labelled_text"), ("Summary", "Drivers"),
+                              ("Summary", "Confidence"), lower=("Confidence",)).drop("text")
+
+
 @job("x4_driver_rows", """
 SELECT doc_id, split_part(l, '|', 1) AS feature, CAST(split_part(l, '|', 2) AS DOUBLE) AS importance,
        split_part(l, '|', 3) AS direction, split_part(l, '|', 4) AS description

@@ -147,6 +147,25 @@ def labelled_fields(df: DataFrame, text="text", fields=(), sections=(), lower=()
     return df.withColumns(out)
 
 
+def labelled_records(df: DataFrame, starts, fields, text="text", lower=()) -> DataFrame:
+    """One numbered row per record: every start label opens one, its fields follow below it.
+
+    `record` names the start label; text before the first one is dropped.
+    """
+    marks = "|".join(f"{s}|{s.upper()}" for s in starts)
+    blocks = F.filter(F.split(text, rf"(?md)^\s*(?=(?:{marks}):)"), lambda b: _any_of(
+        F.regexp_replace(b, r"^\s+", ""), starts))
+    rows = df.select("*", F.posexplode(blocks).alias("__at", "__block"))
+    named = F.coalesce(*[F.when(_with_label(s)(F.col("__block")), s) for s in starts])
+    rows = rows.withColumns({"part": F.col("__at") + 1, "record": named})
+    return labelled_fields(rows, "__block", fields, (), lower).drop("__at", "__block")
+
+
+# Record and field labels of suggestion and quality texts.
+FEATURE_RECORDS = (("Feature",), ("Feature", "Description", "Implementation", "Importance", "Category"))
+MODEL_RECORDS = (("Model",), ("Model", "Parameters", "Rationale", "Performance", "Complexity"))
+QUALITY_RECORDS = (("Issue", "Suggestion"), ("Severity", "Description", "Action"))
+
 EXPLANATION_FIELDS = ("Summary", "Confidence", "Risk", "Water Managers", "Ski Resorts",
                       "Agriculture", "Flood Control", "General Public")
 EXPLANATION_SECTIONS = ("Drivers", "Recommendations")

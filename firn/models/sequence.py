@@ -1,15 +1,22 @@
 """Sequence forecasting: scaled windows of earlier rows as one flat feature vector."""
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.regression import (
+    GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel,
+)
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from firn.models.features import fit_scaler, temporal_split, unscale
 from firn.models.regression import Boosting
 from firn.operators.series import Series
 from firn.operators.windows import sequence_windows
 
+SavedModels = {m.__name__: m for m in (
+    GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel)}
+
 
 @dataclass
 class SequenceForecaster:
@@ -54,3 +61,19 @@ class SequenceForecaster:
             "features", "sequence", "label")
 
 
+
+    def save(self, folder: str):
+        """Model and scaling below one folder."""
+        self.model.write().overwrite().save(f"{folder}/model")
+        rows = [(c, *pair) for c, pair in self.scaler.items()]
+        spark = SparkSession.active()
+        spark.createDataFrame(rows, "name string, centre double, scale double").coalesce(1).write.mode(
+            "overwrite").json(f"{folder}/scaler")
+
+    def restore(self, spark, folder: str) -> "SequenceForecaster":
+        rows = spark.read.schema("name string, centre double, scale double").json(f"{folder}/scaler").collect()
+        self.scaler = {r.name: (r.centre, r.scale) for r in rows}
+        path = f"{folder}/model"
+        kind = spark.read.text(f"{path}/metadata").first()[0]
+        self.model = SavedModels[json.loads(kind)["class"].rsplit(".", 1)[-1]].load(path)
+        return self

@@ -152,10 +152,13 @@ def test_seasonal_trend_recovers_a_wave(spark):
     assert positive.where("prediction <= 0").count() == 0
 
 
-def test_sequences_come_back_in_target_units(stations):
+def test_sequences_come_back_in_target_units(spark, stations, tmp_path):
     model = SequenceForecaster(["swe", "temperature"], steps=3, settings=Linear("ridge", 0.01)).fit(stations)
     row = model.transform(stations).agg(F.avg("prediction").alias("p"), F.avg("swe").alias("y")).first()
     assert abs(row.p - row.y) / row.y < 0.1
+    model.save(str(tmp_path))
+    again = SequenceForecaster(["swe", "temperature"], steps=3).restore(spark, str(tmp_path))
+    same_rows(again.transform(stations), model.transform(stations))
 
 
 def test_daily_run(spark, stations):

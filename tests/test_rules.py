@@ -113,3 +113,19 @@ def test_numbered_sections(spark):
     df = spark.createDataFrame([("pre EXPERIMENT one EXPERIMENT two",), ("none",)], "text string")
     got = X.split_sections(df, "EXPERIMENT").orderBy("part").collect()
     assert [(g.part, g.part_text) for g in got] == [(1, "one"), (2, "two")]
+
+
+def test_suggestion_records(spark):
+    text = ("Intro\nFeature: lag_7\nDescription: a: b\nImportance: HIGH\nFEATURE: roll\nImportance: Low\n"
+            "Model: forest\nParameters: trees = 5, depth=3\nModel: gbt\nParameters: {\"rounds\": 7}")
+    df = spark.createDataFrame([(text,), ("none",)], "text string")
+    got = X.labelled_records(df, *X.FEATURE_RECORDS, lower=("Importance",)).orderBy("part").collect()
+    assert [(g.part, g.feature, g.description, g.importance) for g in got] == [
+        (1, "lag_7", "a: b", "high"), (2, "roll", None, "low")]
+    models = X.labelled_records(df, *X.MODEL_RECORDS).withColumn("parameters", X.parameters_of("parameters"))
+    assert [(m.model, m.parameters) for m in models.orderBy("part").collect()] == [
+        ("forest", {"trees": "5", "depth": "3"}), ("gbt", {"rounds": "7"})]
+    quality = "Issue: 1\nSeverity: high\nDescription: gaps\nSuggestion: 1\nAction: fill\nIssue: 2\nSeverity: low"
+    rows = X.labelled_records(spark.createDataFrame([(quality,)], "text string"), *X.QUALITY_RECORDS)
+    assert [(r.record, r.severity, r.action) for r in rows.orderBy("part").collect()] == [
+        ("Issue", "high", None), ("Suggestion", None, "fill"), ("Issue", "low", None)]
