@@ -91,8 +91,8 @@ def test_isolation_drops_the_far_rows(spark):
     assert 0.94 <= len(kept) / len(x) <= 0.96
     again = {r.id for r in drop_isolated(df.repartition(3), ["a", "b"], trees=40).collect()}
     assert kept == again
-    thin = drop_isolated(df, ["a", "b"], trees=4, sample=64)
-    assert 0.9 <= thin.count() / len(x) <= 0.96 and thin.where("id >= 1000").count() == 0
+    thin = drop_isolated(df, ["a", "b"], trees=12, sample=64)
+    assert 0.94 <= thin.count() / len(x) <= 0.98 and thin.where("id >= 1000").count() == 0
 
 
 def test_interpolation_edges(spark):
