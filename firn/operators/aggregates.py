@@ -78,10 +78,13 @@ def recency_normal(history: DataFrame, half_life=7.0) -> DataFrame:
 
 
 def percent_of_normal(compared: DataFrame, floor=0.01) -> DataFrame:
+    def pct(c):
+        normal = F.col(f"{c}_normal")
+        # greatest() would skip an unknown normal
+        return F.when(normal.isNotNull(), 100 * F.col(c) / F.greatest(normal, F.lit(floor)))
+
     return compared.withColumns({
-        f"{c}_pct_normal": 100 * F.col(c) / F.greatest(F.col(f"{c}_normal"), F.lit(floor))
-        for c in ("precipitation_mm", "snowfall_cm")
-    })
+        f"{c}_pct_normal": pct(c) for c in ("precipitation_mm", "snowfall_cm")})
 
 
 def _weighted(c, w="area_weight"):

@@ -70,7 +70,8 @@ def join_index_as_of(df: DataFrame, index: DataFrame, date="date", index_date="d
         .select("__day", *cols)
     )
     last = per_day.agg(F.max("__from")).scalar()
-    keyed = df.withColumn("__day", F.least(F.col(date).cast("date"), last))
+    day = F.col(date).cast("date")
+    keyed = df.withColumn("__day", F.when(day.isNotNull(), F.least(day, last)))
     return keyed.join(F.broadcast(valid), "__day", "left").select(*df.columns, *cols)
 
 
