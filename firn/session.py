@@ -23,18 +23,27 @@ def local_session(cores="*", shuffle_partitions=8) -> SparkSession:
     return spark
 
 
+_OWN = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`.
 
     Only a local session without that setting gets a temporary folder of its own.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = configured_folder(spark)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
+        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="firn-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+        if sc.applicationId not in _OWN:
+            _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="firn-")
+        shared = _OWN[sc.applicationId]
+    return shared.rstrip("/")
+
+
+def configured_folder(spark: SparkSession):
+    return spark.conf.get("spark.checkpoint.dir", None) or None
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -80,3 +80,15 @@ def test_as_of_join_before_between_and_after(spark):
         F.to_date("d").alias("date"), "oni")
     got = {str(r.date): r.oni for r in J.join_index_as_of(days, index).collect()}
     assert got == {"2019-12-31": None, "2020-01-31": 1.0, "2020-02-15": 1.0, "2020-05-01": 3.0, "None": None}
+
+
+def test_written_tables_go_to_the_named_folder(spark, monkeypatch, tmp_path):
+    from firn import session
+
+    df = spark.range(5).select("id", F.lit("x").alias("t"))
+    monkeypatch.setattr(session, "configured_folder", lambda s: str(tmp_path) + "/")
+    same_rows(session.materialize(df), df)
+    assert len(list(tmp_path.iterdir())) == 1
+    monkeypatch.setattr(session, "configured_folder", lambda s: None)
+    assert session.shared_folder(spark) == session.shared_folder(spark)
+    same_rows(session.materialize(df), df)
