@@ -1,15 +1,10 @@
 """All registered jobs; importing the package registers them."""
 
-import importlib
-
+from firn.catalog import (
+    aggregates, cleaning, joins, models, rules, scans, texts, whatif, windows,
+)
 from firn.catalog.registry import CHECKS, JOBS
 
-for _part in ("scans", "windows", "joins", "aggregates", "cleaning", "rules", "texts", "whatif",
-              "models"):
-    try:
-        importlib.import_module(f"firn.catalog.{_part}")
-    except ModuleNotFoundError as e:
-        if e.name != f"firn.catalog.{_part}":
-            raise
+FAMILIES = (scans, cleaning, joins, aggregates, windows, rules, texts, whatif, models)
 
-__all__ = ["CHECKS", "JOBS"]
+__all__ = ["CHECKS", "FAMILIES", "JOBS"]

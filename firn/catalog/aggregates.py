@@ -8,7 +8,6 @@ from firn.catalog.registry import day_text, fixed4, job
 from firn.catalog.views import r4, view
 from firn.functions import scalars as N
 from firn.operators import aggregates as A
-from firn.operators.joins import add_region
 
 PHASE_VALUES = "(VALUES " + ", ".join(
     f"({m}, '{p}', '{label}', '{text}')" for p, label, text, months in K.SEASON_PHASES for m in months

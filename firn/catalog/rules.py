@@ -3,11 +3,10 @@
 from pyspark.sql import functions as F
 
 from firn.catalog.aggregates import _pct
-from firn.catalog.joins import NORMAL_SQL, REGION_VALUES, history
-from firn.catalog.registry import day_text, fixed4, job
+from firn.catalog.joins import NORMAL_SQL, history
+from firn.catalog.registry import fixed4, job
 from firn.catalog.views import r4, stored, view
 from firn.functions import reports, rules as R
-from firn.functions.scalars import add_calendar
 from firn.operators import aggregates as A, joins as J, windows as W
 
 # Every winter against the recency-weighted normal, per region.
