@@ -17,28 +17,19 @@ def local_session(cores="*", shuffle_partitions=8) -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="firn-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-_OWN = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in `spark.checkpoint.dir`.
+    """The folder the cluster names in `spark.checkpoint.dir`, else one in the warehouse.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    Both are shared by the driver and all executors.
     """
-    shared = configured_folder(spark)
-    if shared is None:
-        sc = spark.sparkContext
-        if not sc.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share")
-        if sc.applicationId not in _OWN:
-            _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="firn-")
-        shared = _OWN[sc.applicationId]
+    shared = configured_folder(spark) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/firn_scratch"
     return shared.rstrip("/")
 
 
@@ -50,8 +41,20 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write `df` as parquet to the shared folder and go on from there.
 
     This cuts the lineage, survives lost executors, and later passes read only the columns
-    they need.
+    they need. `forget` removes the files.
     """
     path = f"{shared_folder(df.sparkSession)}/firn-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.firn_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove what `materialize` wrote for `df`; nothing may read it afterwards."""
+    path = getattr(df, "firn_path", None)
+    if path is None:
+        raise ValueError("not a table that materialize returned")
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
