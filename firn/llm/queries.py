@@ -1,6 +1,6 @@
 """One query per operator, over its whole table, and its SQL where SQL can state it."""
 
-from firn.llm import contamination, language, mixing, sharding, simhash
+from firn.llm import contamination, language, mixing, sharding, simhash, substrings
 from pyspark.sql import functions as F
 
 
@@ -25,9 +25,14 @@ def op5_decontamination(spark, sf_dir):
     return contamination.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_substrings(spark, sf_dir):
+    out, _ = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_language, op4_sharding, op5_decontamination, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_language, op4_sharding, op5_decontamination, op7_substrings, op9_mixing)}
 SQL = {"op9_mixing": mixing.MIX_SQL}
