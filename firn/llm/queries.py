@@ -1,6 +1,6 @@
 """One query per operator, over its whole table, and its SQL where SQL can state it."""
 
-from firn.llm import contamination, language, mixing, sharding, simhash, substrings
+from firn.llm import contamination, language, mixing, pii, sharding, simhash, substrings
 from pyspark.sql import functions as F
 
 
@@ -30,9 +30,13 @@ def op7_substrings(spark, sf_dir):
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op8_personal_data(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_language, op4_sharding, op5_decontamination, op7_substrings, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_language, op4_sharding, op5_decontamination, op7_substrings, op8_personal_data, op9_mixing)}
 SQL = {"op9_mixing": mixing.MIX_SQL}
