@@ -95,9 +95,9 @@ _BRACKET = re.compile(rf"\s*{_SIGN}\s*", re.I)
 _BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+(?:dot|punkt|punto)\s+(?=[A-Za-z0-9])", re.I)
 _BARE_AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])\s+at\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9-]))", re.I)
 _NAME = "|".join(sorted(DIGIT_NAMES, key=len, reverse=True))
-_SPOKEN = re.compile(rf"(?<!\w)(?:{_NAME})(?:[\s,-]+(?:{_NAME}|[0-9]+))+(?!\w)", re.I)
+_SPOKEN = re.compile(rf"(?<!\w)(?:{_NAME})(?:[\s,-]+(?:{_NAME}|dot|punkt|punto|[0-9]+))+(?!\w)", re.I)
 _NAME_DIGIT = re.compile(rf"(?<!\w)(?:{_NAME})[\s,-]+[0-9]")
-_TOKEN = re.compile(rf"{_NAME}|[0-9]", re.I)
+_TOKEN = re.compile(rf"{_NAME}|dot|punkt|punto|[0-9]", re.I)
 _NAMES = frozenset(n.encode() for n in DIGIT_NAMES)
 #: ASCII without letters counts as a space.
 _WORDS = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
@@ -155,7 +155,8 @@ def clear(text):
     t = Traced(text)
     if strange:
         t.rewrite([(m.start(), m.end(), [(c, m.start(), m.end()) for c in _look(m[0])]) for m in _STRANGE.finditer(text) if _look(m[0]) != m[0]])
-    spoken = lambda m: [(DIGIT_NAMES.get(x[0].lower(), x[0]), m.start() + x.start(), m.start() + x.end()) for x in _TOKEN.finditer(m[0])]
+    sign = lambda x: DIGIT_NAMES.get(x.lower(), x if x.isdigit() else ".")
+    spoken = lambda m: [(sign(x[0]), m.start() + x.start(), m.start() + x.end()) for x in _TOKEN.finditer(m[0])]
     t.rewrite([(*m.span(), spoken(m)) for m in _SPOKEN.finditer(t.text)])
     t.rewrite([(*m.span(), [("+", *m.span())]) for m in _PLUS.finditer(t.text)])
     t.rewrite([(*m.span(), [("@" if m[1].lower() in ("at", "@") else ".", *m.span())]) for m in _BRACKET.finditer(t.text)])
