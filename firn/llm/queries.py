@@ -1,6 +1,6 @@
 """One query per operator, over its whole table, and its SQL where SQL can state it."""
 
-from firn.llm import contamination, language, mixing, pii, sharding, simhash, substrings
+from firn.llm import contamination, language, lm, mixing, pii, quality, sharding, simhash, substrings
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,12 @@ def op5_decontamination(spark, sf_dir):
     return contamination.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model).withColumnRenamed("id", "doc_id")
+
+
 def op7_substrings(spark, sf_dir):
     out, _ = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return out.withColumnRenamed("id", "doc_id")
@@ -38,5 +44,9 @@ def op9_mixing(spark, sf_dir):
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_language, op4_sharding, op5_decontamination, op7_substrings, op8_personal_data, op9_mixing)}
+def op10_lm_scores(spark, sf_dir):
+    return lm.score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_language, op4_sharding, op5_decontamination, op6_quality, op7_substrings, op8_personal_data, op9_mixing, op10_lm_scores)}
 SQL = {"op9_mixing": mixing.MIX_SQL}
