@@ -10,7 +10,7 @@ from firn.llm.components import components
 from firn.session import materialize
 
 SHINGLE = 3
-SEGMENTS = 16
+SEGMENTS = 32
 
 
 def fingerprint_of(data, n=SHINGLE):
@@ -49,23 +49,28 @@ def fingerprints(df, text_col="text", keep=(), shingle=SHINGLE):
     return given.mapInArrow(run, schema)
 
 
+#: Weights that name a grid cell by one number; below 2**55, so that sums stay within 63 bits.
+_WEIGHTS = [int(x) | 1 for x in np.random.default_rng(64).integers(1 << 53, 1 << 55, 64)]
+
+
 def segment_counts(fp, segments=SEGMENTS):
-    """Array of the number of set bits in every segment of a 64-bit column, first segment lowest."""
+    """The number of set bits in every segment of a 64-bit column, first segment lowest."""
     width = 64 // segments
     mask = F.lit((1 << width) - 1)
-    return F.array(*[F.bit_count(F.shiftrightunsigned(fp, i * width).bitwiseAND(mask)) for i in range(segments)])
+    return [F.bit_count(F.shiftrightunsigned(fp, i * width).bitwiseAND(mask)) for i in range(segments)]
 
 
 def grid_cells(fp, segments=SEGMENTS):
-    """The cells of the unit grid within Manhattan distance 1 of the segment counts, each as a hash.
+    """The cells of the unit grid within Manhattan distance 1 of the segment counts.
 
-    Two points at Manhattan distance 2 or less share one of these cells: their middle.
+    Two points at Manhattan distance 2 or less share one of these cells: their middle. A cell is
+    named by the weighted sum of its coordinates.
     """
-    point = segment_counts(fp, segments)
-    place = F.sequence(F.lit(1), F.lit(segments))
-    moved = lambda step: F.transform(place, lambda j: F.transform(point, lambda x, i: x + F.when(i + 1 == j, step).otherwise(0)))
-    cells = F.concat(F.array(point), moved(F.lit(1)), moved(F.lit(-1)))
-    return F.transform(cells, lambda c: F.xxhash64(c))
+    own = F.lit(0).cast("long")
+    for count, w in zip(segment_counts(fp, segments), _WEIGHTS):
+        own = own + count * F.lit(w)
+    steps = F.array(*[F.lit(s * w) for s in (1, -1) for w in _WEIGHTS[:segments]], F.lit(0).cast("long"))
+    return own, steps
 
 
 def links(fps):
@@ -78,7 +83,9 @@ def links(fps):
     members, never their pairs.
     """
     wide = materialize(fps.select("fp").distinct())
-    met = materialize(wide.select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell")))
+    own, steps = grid_cells(F.col("fp"))
+    met = wide.select("fp", own.alias("own")).select("fp", "own", F.explode(steps).alias("step"))
+    met = materialize(met.select("fp", (F.col("own") + F.col("step")).alias("cell")))
     lively = met.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("cell")
     close = met.join(materialize(lively), "cell", "left_semi").select("fp")
     close = materialize(close.distinct())
