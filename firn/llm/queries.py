@@ -1,6 +1,6 @@
 """One query per operator, over its whole table, and its SQL where SQL can state it."""
 
-from firn.llm import contamination, language, lm, mixing, pii, quality, sharding, simhash, substrings
+from firn.llm import contamination, graph, language, lm, mixing, pii, quality, sharding, simhash, substrings
 from pyspark.sql import functions as F
 
 
@@ -8,6 +8,10 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_vectors(spark, sf_dir):
+    return graph.near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op2_simhash(spark, sf_dir):
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -48,5 +52,5 @@ def op10_lm_scores(spark, sf_dir):
     return lm.score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_language, op4_sharding, op5_decontamination, op6_quality, op7_substrings, op8_personal_data, op9_mixing, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_simhash, op3_language, op4_sharding, op5_decontamination, op6_quality, op7_substrings, op8_personal_data, op9_mixing, op10_lm_scores)}
 SQL = {"op9_mixing": mixing.MIX_SQL}
