@@ -76,13 +76,14 @@ def _suffixes(docs):
 
     `grams` are the repeated prefixes of a text, `hot` those too frequent for one subtree. Those
     suffixes come as the windows around the anchor, each with 128 bits that stand for its whole
-    prefix of 50 words.
+    prefix of 50 words. Equal windows of the texts a task reads together are one row, with the
+    smallest and the largest doc and all places.
     """
     reach = WINDOW - PREFIX
 
     def run(batches):
         for b in pieces(batches, "text"):
-            rows, deep = [[] for _ in range(6)], [[] for _ in range(4)]
+            rows, deep = [[] for _ in range(6)], {}
             for doc, key, grams, hot, t in zip(*(b.column(i).to_pylist() for i in range(4)), as_bytes(b, "text")):
                 start, end, words, at = word_starts(t)
                 g = gram_hashes(words, PREFIX).view(np.int64)
@@ -98,20 +99,23 @@ def _suffixes(docs):
                     first = np.unique(first[(first >= 0) & (first <= n - WINDOW)])
                     for i in first.tolist():
                         d = hashlib.blake2b(b" ".join(t[start[i] : end[i + WINDOW - 1]].split()), digest_size=16).digest()
-                        for c, v in zip(deep, (doc, key, i, d)):
-                            c.append(v)
-            n, m = len(rows[0]), len(deep[0])
+                        deep.setdefault(d, []).append({"row": key, "at": i, "doc": doc})
+            n, m = len(rows[0]), len(deep)
             none = lambda k, t: pa.nulls(k, t)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             if n:
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, x) for c, x in zip(rows, types)), none(n, pa.binary())], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, x) for c, x in zip(rows, types)), none(n, pa.binary()), none(n, pa.int64()), none(n, _PLACES)], names=_NAMES)
             if m:
-                yield pa.RecordBatch.from_arrays([pa.array(deep[0], pa.int64()), pa.array(deep[1], pa.int64()), none(m, pa.int64()), pa.array(deep[2], pa.int32()), none(m, pa.int32()), none(m, pa.binary()), pa.array(deep[3], pa.binary())], names=_NAMES)
+                docs_of = [[x["doc"] for x in v] for v in deep.values()]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(map(min, docs_of), pa.int64()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.int32()), none(m, pa.int32()), none(m, pa.binary()),
+                    pa.array(list(deep), pa.binary()), pa.array(map(max, docs_of), pa.int64()), pa.array(list(deep.values()), _PLACES)], names=_NAMES)
 
-    return docs.mapInArrow(run, "doc long, row long, gram long, at int, before int, words binary, deep binary")
+    return docs.mapInArrow(run, "doc long, row long, gram long, at int, before int, words binary, deep binary, most long, places array<struct<row: long, at: int, doc: long>>")
 
 
-_NAMES = ["doc", "row", "gram", "at", "before", "words", "deep"]
+_PLACES = pa.list_(pa.struct([("row", pa.int64()), ("at", pa.int32()), ("doc", pa.int64())]))
+_NAMES = ["doc", "row", "gram", "at", "before", "words", "deep", "most", "places"]
 
 
 def tree_depths(m):
@@ -216,9 +220,10 @@ def repeated_windows(lively):
     """
     rows = materialize(_suffixes(lively))
     spots = _subtrees(rows.where("deep IS NULL").select("doc", "row", "gram", "at", "before", "words"))
-    deep = rows.where("deep IS NOT NULL").select("doc", "row", "at", "deep")
-    least = materialize(deep.groupBy("deep").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select(F.col("deep").alias("node"), "least"))
-    more = deep.join(least, deep.deep == least.node).where("doc > least").select("row", "at", F.lit(1).cast("long").alias("mask"))
+    deep = rows.where("deep IS NOT NULL").select("doc", "most", "deep", "places")
+    least = materialize(deep.groupBy("deep").agg(F.min("doc").alias("least"), F.max("most").alias("last")).where("least < last").select(F.col("deep").alias("node"), "least"))
+    more = deep.join(least, deep.deep == least.node).repartition(F.xxhash64("deep", "doc"))
+    more = more.select("least", F.explode("places").alias("p")).where("p.doc > least").select("p.row", "p.at", F.lit(1).cast("long").alias("mask"))
     return spots.union(more).groupBy("row").agg(F.collect_list(F.struct("at", "mask")).alias("spots"))
 
 
