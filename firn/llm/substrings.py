@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from firn.llm.common import as_bytes, gram_hashes, pieces, word_hashes
@@ -16,6 +17,8 @@ PREFIX = 8
 GROUP = 512
 #: Suffixes a task builds subtrees for at once.
 BLOCK = 8_000
+#: Windows of one edge at most; longer edges are cut. One bit of a mask each.
+EDGE = 60
 LAST = (1 << 63) - 1
 
 
@@ -71,19 +74,59 @@ def _facts(docs):
     return docs.mapInArrow(run, "id long, doc long, row long, n_words long, sha binary, grams array<long>, counts array<long>")
 
 
+def edges(ids, follows):
+    """Where the compressed edges of windows begin: (first window, number of windows) of each.
+
+    `ids` numbers the windows of some texts in the order they are first met; `follows` is true
+    where a window begins one word after the one before it in the same text. Window k + 1 goes
+    on the edge of window k if it always follows it and nothing else precedes it.
+    """
+    n = int(ids.max()) + 1 if len(ids) else 0
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    count = np.bincount(ids, minlength=n)
+    pair = np.flatnonzero(follows[1:] & (ids[1:] == ids[:-1] + 1))
+    linked = np.bincount(ids[pair], minlength=n)
+    begin = np.flatnonzero(np.concatenate([[True], (linked[:-1] != count[:-1]) | (count[:-1] != count[1:])]))
+    size = np.diff(np.append(begin, n))
+    cuts = [(f + lo, min(EDGE, m - lo)) for f, m in zip(begin.tolist(), size.tolist()) for lo in range(0, m, EDGE)]
+    return np.array([f for f, _ in cuts], np.int64), np.array([m for _, m in cuts], np.int64)
+
+
+def _deep_batch(found, number):
+    """The windows of a batch as rows of (doc, deep, most, edge, off) and their edges as rows of (edge, size, places).
+
+    `found` holds (window number, row, at, doc) per occurrence, `number` is the next free edge.
+    """
+    ids, keys, at, docs = (np.array(c, np.int64) for c in zip(*found))
+    follows = np.concatenate([[False], (keys[1:] == keys[:-1]) & (at[1:] == at[:-1] + 1)])
+    first, size = edges(ids, follows)
+    low, high = np.full(len(ids), LAST), np.full(len(ids), -LAST - 1)
+    np.minimum.at(low, ids, docs)
+    np.maximum.at(high, ids, docs)
+    order = np.argsort(ids, kind="stable")
+    lo, hi = np.searchsorted(ids[order], first), np.searchsorted(ids[order], first, side="right")
+    places = [[{"row": int(keys[i]), "at": int(at[i]), "doc": int(docs[i])} for i in order[x:y]] for x, y in zip(lo, hi)]
+    edge = np.repeat(np.arange(len(first)), size)
+    n = int(size.sum())
+    return low[:n], high[:n], number + edge, np.arange(n) - first[edge], number + np.arange(len(first)), size, places
+
+
 def _suffixes(docs):
     """The suffixes at the anchors named in `grams`, with the words before and after them in one window's reach.
 
     `grams` are the repeated prefixes of a text, `hot` those too frequent for one subtree. Those
     suffixes come as the windows around the anchor, each with 128 bits that stand for its whole
     prefix of 50 words. Equal windows of the texts a task reads together are one row, with the
-    smallest and the largest doc and all places.
+    smallest and the largest doc. Windows that always follow each other there share an edge, as
+    in a compressed tree; a row per edge has all places of its first window.
     """
     reach = WINDOW - PREFIX
 
     def run(batches):
+        number = TaskContext.get().partitionId() << 36
         for b in pieces(batches, "text"):
-            rows, deep = [[] for _ in range(6)], {}
+            rows, deep, found = [[] for _ in range(6)], {}, []
             for doc, key, grams, hot, t in zip(*(b.column(i).to_pylist() for i in range(4)), as_bytes(b, "text")):
                 start, end, words, at = word_starts(t)
                 g = gram_hashes(words, PREFIX).view(np.int64)
@@ -99,23 +142,26 @@ def _suffixes(docs):
                     first = np.unique(first[(first >= 0) & (first <= n - WINDOW)])
                     for i in first.tolist():
                         d = hashlib.blake2b(b" ".join(t[start[i] : end[i + WINDOW - 1]].split()), digest_size=16).digest()
-                        deep.setdefault(d, []).append({"row": key, "at": i, "doc": doc})
-            n, m = len(rows[0]), len(deep)
-            none = lambda k, t: pa.nulls(k, t)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            if n:
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, x) for c, x in zip(rows, types)), none(n, pa.binary()), none(n, pa.int64()), none(n, _PLACES)], names=_NAMES)
-            if m:
-                docs_of = [[x["doc"] for x in v] for v in deep.values()]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(map(min, docs_of), pa.int64()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.int32()), none(m, pa.int32()), none(m, pa.binary()),
-                    pa.array(list(deep), pa.binary()), pa.array(map(max, docs_of), pa.int64()), pa.array(list(deep.values()), _PLACES)], names=_NAMES)
+                        found.append((deep.setdefault(d, len(deep)), key, i, doc))
+            if n := len(rows[0]):
+                yield _batch(n, **dict(zip(("doc", "row", "gram", "at", "before", "words"), rows)))
+            if found:
+                low, high, edge, off, ids, size, places = _deep_batch(found, number)
+                yield _batch(len(deep), doc=low, deep=list(deep), most=high, edge=edge, off=off)
+                yield _batch(len(ids), edge=ids, size=size, places=places)
+                number += len(ids)
+
+    return docs.mapInArrow(run, "doc long, row long, gram long, at int, before int, words binary, deep binary, most long, edge long, off int, size int, places array<struct<row: long, at: int, doc: long>>")
+
 
-    return docs.mapInArrow(run, "doc long, row long, gram long, at int, before int, words binary, deep binary, most long, places array<struct<row: long, at: int, doc: long>>")
+_TYPES = {
+    "doc": pa.int64(), "row": pa.int64(), "gram": pa.int64(), "at": pa.int32(), "before": pa.int32(), "words": pa.binary(), "deep": pa.binary(), "most": pa.int64(),
+    "edge": pa.int64(), "off": pa.int32(), "size": pa.int32(), "places": pa.list_(pa.struct([("row", pa.int64()), ("at", pa.int32()), ("doc", pa.int64())]))}
 
 
-_PLACES = pa.list_(pa.struct([("row", pa.int64()), ("at", pa.int32()), ("doc", pa.int64())]))
-_NAMES = ["doc", "row", "gram", "at", "before", "words", "deep", "most", "places"]
+def _batch(n, **columns):
+    """A batch of n rows with the given columns; the others are null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in _TYPES.items()], names=list(_TYPES))
 
 
 def tree_depths(m):
@@ -219,11 +265,14 @@ def repeated_windows(lively):
     `lively` has (doc, row, grams, hot, text). A spot is an anchor and its bit mask.
     """
     rows = materialize(_suffixes(lively))
-    spots = _subtrees(rows.where("deep IS NULL").select("doc", "row", "gram", "at", "before", "words"))
-    deep = rows.where("deep IS NOT NULL").select("doc", "most", "deep", "places")
+    spots = _subtrees(rows.where("gram IS NOT NULL").select("doc", "row", "gram", "at", "before", "words"))
+    deep = rows.where("deep IS NOT NULL").select("doc", "most", "deep", "edge", "off")
     least = materialize(deep.groupBy("deep").agg(F.min("doc").alias("least"), F.max("most").alias("last")).where("least < last").select(F.col("deep").alias("node"), "least"))
-    more = deep.join(least, deep.deep == least.node).repartition(F.xxhash64("deep", "doc"))
-    more = more.select("least", F.explode("places").alias("p")).where("p.doc > least").select("p.row", "p.at", F.lit(1).cast("long").alias("mask"))
+    hits = deep.join(least, deep.deep == least.node).where("most > least").groupBy(F.col("edge").alias("on")).agg(F.collect_list(F.struct("off", "least")).alias("hits"))
+    places = rows.where("places IS NOT NULL").select("edge", "size", "places")
+    more = places.join(hits, places.edge == hits["on"]).select("size", "hits", F.explode("places").alias("p"))
+    mask = F.expr("aggregate(hits, 0L, (m, h) -> m | if(h.least < p.doc, shiftleft(1L, size - 1 - h.off), 0L))")
+    more = more.select("p.row", (F.col("p.at") + F.col("size") - 1).alias("at"), mask.alias("mask")).where("mask <> 0")
     return spots.union(more).groupBy("row").agg(F.collect_list(F.struct("at", "mask")).alias("spots"))
 
 
