@@ -17,8 +17,8 @@ PREFIX = 8
 GROUP = 512
 #: Suffixes a task builds subtrees for at once.
 BLOCK = 8_000
-#: Windows of one edge at most; longer edges are cut. One bit of a mask each.
-EDGE = 60
+#: Windows of one mask, one bit each.
+BITS = 60
 LAST = (1 << 63) - 1
 
 
@@ -74,59 +74,21 @@ def _facts(docs):
     return docs.mapInArrow(run, "id long, doc long, row long, n_words long, sha binary, grams array<long>, counts array<long>")
 
 
-def edges(ids, follows):
-    """Where the compressed edges of windows begin: (first window, number of windows) of each.
-
-    `ids` numbers the windows of some texts in the order they are first met; `follows` is true
-    where a window begins one word after the one before it in the same text. Window k + 1 goes
-    on the edge of window k if it always follows it and nothing else precedes it.
-    """
-    n = int(ids.max()) + 1 if len(ids) else 0
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    count = np.bincount(ids, minlength=n)
-    pair = np.flatnonzero(follows[1:] & (ids[1:] == ids[:-1] + 1))
-    linked = np.bincount(ids[pair], minlength=n)
-    begin = np.flatnonzero(np.concatenate([[True], (linked[:-1] != count[:-1]) | (count[:-1] != count[1:])]))
-    size = np.diff(np.append(begin, n))
-    cuts = [(f + lo, min(EDGE, m - lo)) for f, m in zip(begin.tolist(), size.tolist()) for lo in range(0, m, EDGE)]
-    return np.array([f for f, _ in cuts], np.int64), np.array([m for _, m in cuts], np.int64)
-
-
-def _deep_batch(found, number):
-    """The windows of a batch as rows of (doc, deep, most, edge, off) and their edges as rows of (edge, size, places).
-
-    `found` holds (window number, row, at, doc) per occurrence, `number` is the next free edge.
-    """
-    ids, keys, at, docs = (np.array(c, np.int64) for c in zip(*found))
-    follows = np.concatenate([[False], (keys[1:] == keys[:-1]) & (at[1:] == at[:-1] + 1)])
-    first, size = edges(ids, follows)
-    low, high = np.full(len(ids), LAST), np.full(len(ids), -LAST - 1)
-    np.minimum.at(low, ids, docs)
-    np.maximum.at(high, ids, docs)
-    order = np.argsort(ids, kind="stable")
-    lo, hi = np.searchsorted(ids[order], first), np.searchsorted(ids[order], first, side="right")
-    places = [[{"row": int(keys[i]), "at": int(at[i]), "doc": int(docs[i])} for i in order[x:y]] for x, y in zip(lo, hi)]
-    edge = np.repeat(np.arange(len(first)), size)
-    n = int(size.sum())
-    return low[:n], high[:n], number + edge, np.arange(n) - first[edge], number + np.arange(len(first)), size, places
-
-
 def _suffixes(docs):
     """The suffixes at the anchors named in `grams`, with the words before and after them in one window's reach.
 
     `grams` are the repeated prefixes of a text, `hot` those too frequent for one subtree. Those
     suffixes come as the windows around the anchor, each with 128 bits that stand for its whole
-    prefix of 50 words. Equal windows of the texts a task reads together are one row, with the
-    smallest and the largest doc. Windows that always follow each other there share an edge, as
-    in a compressed tree; a row per edge has all places of its first window.
+    prefix of 50 words. Equal windows of the few MB of texts a task reads together, a piece, are
+    one row, with their number in the piece and the smallest and the largest doc. One row per
+    text names the numbers and the starts of its windows.
     """
     reach = WINDOW - PREFIX
 
     def run(batches):
         number = TaskContext.get().partitionId() << 36
         for b in pieces(batches, "text"):
-            rows, deep, found = [[] for _ in range(6)], {}, []
+            rows, deep, low, high, texts = [[] for _ in range(6)], {}, [], [], [[] for _ in range(4)]
             for doc, key, grams, hot, t in zip(*(b.column(i).to_pylist() for i in range(4)), as_bytes(b, "text")):
                 start, end, words, at = word_starts(t)
                 g = gram_hashes(words, PREFIX).view(np.int64)
@@ -140,23 +102,31 @@ def _suffixes(docs):
                 if often.any():
                     first = (at[often][:, None] - np.arange(reach, -1, -1)).ravel()
                     first = np.unique(first[(first >= 0) & (first <= n - WINDOW)])
+                    seen = []
                     for i in first.tolist():
                         d = hashlib.blake2b(b" ".join(t[start[i] : end[i + WINDOW - 1]].split()), digest_size=16).digest()
-                        found.append((deep.setdefault(d, len(deep)), key, i, doc))
+                        k = deep.setdefault(d, len(deep))
+                        if k == len(low):
+                            low.append(doc)
+                            high.append(doc)
+                        low[k], high[k] = min(low[k], doc), max(high[k], doc)
+                        seen.append(k)
+                    for c, v in zip(texts, (doc, key, seen, first)):
+                        c.append(v)
             if n := len(rows[0]):
                 yield _batch(n, **dict(zip(("doc", "row", "gram", "at", "before", "words"), rows)))
-            if found:
-                low, high, edge, off, ids, size, places = _deep_batch(found, number)
-                yield _batch(len(deep), doc=low, deep=list(deep), most=high, edge=edge, off=off)
-                yield _batch(len(ids), edge=ids, size=size, places=places)
-                number += len(ids)
+            if n := len(deep):
+                yield _batch(n, doc=low, deep=list(deep), most=high, piece=[number] * n, window=range(n))
+            if n := len(texts[0]):
+                yield _batch(n, piece=[number] * n, **dict(zip(("doc", "row", "seen", "starts"), texts)))
+            number += 1
 
-    return docs.mapInArrow(run, "doc long, row long, gram long, at int, before int, words binary, deep binary, most long, edge long, off int, size int, places array<struct<row: long, at: int, doc: long>>")
+    return docs.mapInArrow(run, "doc long, row long, gram long, at int, before int, words binary, deep binary, most long, piece long, window int, seen array<int>, starts array<int>")
 
 
 _TYPES = {
     "doc": pa.int64(), "row": pa.int64(), "gram": pa.int64(), "at": pa.int32(), "before": pa.int32(), "words": pa.binary(), "deep": pa.binary(), "most": pa.int64(),
-    "edge": pa.int64(), "off": pa.int32(), "size": pa.int32(), "places": pa.list_(pa.struct([("row", pa.int64()), ("at", pa.int32()), ("doc", pa.int64())]))}
+    "piece": pa.int64(), "window": pa.int32(), "seen": pa.list_(pa.int32()), "starts": pa.list_(pa.int32())}
 
 
 def _batch(n, **columns):
@@ -259,21 +229,44 @@ def candidates(heads):
     return own.agg(F.collect_list("gram").alias("grams"), F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("hot"))
 
 
+_SPOTS = pa.list_(pa.struct([("at", pa.int32()), ("mask", pa.int64())]))
+
+
+def _marked(texts, hits):
+    """(row, spots) for the texts of one piece, given the smallest doc of its repeated windows."""
+    rows, spots = [], []
+    if texts.num_rows and hits.num_rows:
+        window, seen = hits["window"].to_numpy(), texts["seen"].combine_chunks()
+        least = np.full(max(int(window.max()), seen.flatten().to_numpy().max()) + 1, LAST)
+        least[window] = hits["least"].to_numpy()
+        for row, doc, k, at in zip(texts["row"].to_pylist(), texts["doc"].to_pylist(), seen, texts["starts"].combine_chunks()):
+            at = at.values.to_numpy().astype(np.int64)[least[k.values.to_numpy()] < doc]
+            if len(at):
+                block, where = np.unique(at // BITS, return_inverse=True)
+                last = block * BITS + BITS - 1
+                mask = np.zeros(len(block), np.int64)
+                np.bitwise_or.at(mask, where, np.int64(1) << (last[where] - at))
+                rows.append(row)
+                spots.append([{"at": a, "mask": m} for a, m in zip(last.tolist(), mask.tolist())])
+    return pa.table([pa.array(rows, pa.int64()), pa.array(spots, _SPOTS)], names=["row", "spots"])
+
+
 def repeated_windows(lively):
     """(row, spots): per text the windows that also begin in a text with a smaller doc.
 
-    `lively` has (doc, row, grams, hot, text). A spot is an anchor and its bit mask.
+    `lively` has (doc, row, grams, hot, text). A spot is a position and a bit mask of the windows
+    before it. Windows of frequent prefixes are looked up by their 50 words, once per piece of
+    text, and what is found goes back to the piece as a whole.
     """
     rows = materialize(_suffixes(lively))
     spots = _subtrees(rows.where("gram IS NOT NULL").select("doc", "row", "gram", "at", "before", "words"))
-    deep = rows.where("deep IS NOT NULL").select("doc", "most", "deep", "edge", "off")
+    deep = rows.where("deep IS NOT NULL").select("doc", "most", "deep", "piece", "window")
     least = materialize(deep.groupBy("deep").agg(F.min("doc").alias("least"), F.max("most").alias("last")).where("least < last").select(F.col("deep").alias("node"), "least"))
-    hits = deep.join(least, deep.deep == least.node).where("most > least").groupBy(F.col("edge").alias("on")).agg(F.collect_list(F.struct("off", "least")).alias("hits"))
-    places = rows.where("places IS NOT NULL").select("edge", "size", "places")
-    more = places.join(hits, places.edge == hits["on"]).select("size", "hits", F.explode("places").alias("p"))
-    mask = F.expr("aggregate(hits, 0L, (m, h) -> m | if(h.least < p.doc, shiftleft(1L, size - 1 - h.off), 0L))")
-    more = more.select("p.row", (F.col("p.at") + F.col("size") - 1).alias("at"), mask.alias("mask")).where("mask <> 0")
-    return spots.union(more).groupBy("row").agg(F.collect_list(F.struct("at", "mask")).alias("spots"))
+    hits = deep.join(least, deep.deep == least.node).where("most > least").select("piece", "window", "least")
+    texts = rows.where("seen IS NOT NULL").select(F.col("piece").alias("part"), "row", "doc", "seen", "starts")
+    more = texts.groupBy("part").cogroup(hits.groupBy("piece")).applyInArrow(_marked, "row long, spots array<struct<at: int, mask: long>>")
+    spots = spots.select("row", F.array(F.struct("at", "mask")).alias("spots"))
+    return spots.union(more).groupBy("row").agg(F.flatten(F.collect_list("spots")).alias("spots"))
 
 
 def covered(n, spots):

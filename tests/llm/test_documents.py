@@ -113,26 +113,6 @@ def test_substrings(docs, local, monkeypatch, group):
     assert sum(x[2] for x in want) > 300 and kept.count() > 0
 
 
-def test_edges_hold_windows_that_always_follow():
-    rng = np.random.default_rng(3)
-    for _ in range(200):
-        texts = [rng.integers(0, 4, rng.integers(1, 30)).tolist() for _ in range(3)]
-        texts += [list(t) for t in texts[:2]]
-        number, ids, follows = {}, [], []
-        for t in texts:
-            for k in range(len(t) - 2):
-                ids.append(number.setdefault(tuple(t[k : k + 3]), len(number)))
-                follows.append(k > 0)
-        first, size = substrings.edges(np.array(ids, np.int64), np.array(follows, bool))
-        assert size.sum() == len(number) and [i for f, m in zip(first, size) for i in range(f, f + m)] == list(range(len(number)))
-        at = {}
-        for i, w in enumerate(ids):
-            at.setdefault(w, []).append(i)
-        for f, m in zip(first.tolist(), size.tolist()):
-            for k in range(m):
-                assert at[f + k] == [i + k for i in at[f]] and not any(follows[i + k] is False for i in at[f] if k)
-
-
 @pytest.mark.parametrize("group", [1, 512])
 def test_frequent_prefixes_take_the_longest_prefix(spark, monkeypatch, group):
     monkeypatch.setattr(substrings, "GROUP", group)
