@@ -70,12 +70,11 @@ def index_month(spark, sf):
 
 @job("j3_index_as_of", """
 SELECT s.station_id, CAST(s.date AS VARCHAR) AS date, oni, mei
-FROM station_daily s ASOF LEFT JOIN (SELECT * FROM index_monthly WHERE month(date) % 3 <> 0) i
+FROM station_daily s ASOF LEFT JOIN index_monthly i
   ON s.date >= i.date""")
 def index_as_of(spark, sf):
-    index = view(spark, sf, "index_monthly").where(F.month("date") % 3 != 0)
     df = J.join_index_as_of(view(spark, sf, "station_daily").select("station_id", "date"),
-                            index.select("date", "oni", "mei"))
+                            view(spark, sf, "index_monthly").select("date", "oni", "mei"))
     return df.withColumn("date", day_text())
 
 

@@ -166,7 +166,7 @@ def sequence_forecast(spark, sf):
 
 @job("m9_predict", f"""WITH {MOMENTS}
 SELECT {OBS}, swe, {r4('my - c / v * mx + c / v * precipitation')} AS prediction
-FROM station_daily, m WHERE precipitation IS NOT NULL""")
+FROM station_daily, m""")
 def predict(spark, sf):
     rows = daily(spark, sf).select("station_id", "date", "swe", "precipitation")
     f = Forecaster(Linear(), ["precipitation"], "swe").fit(rows)

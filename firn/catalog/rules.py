@@ -209,13 +209,13 @@ def _quality_sql(c):
 
 
 @job("r12_data_quality", """WITH gaps AS (SELECT date, swe, precipitation,
-    CASE WHEN day(date) <= 12 THEN temperature END AS temperature FROM station_daily WHERE year(date) >= 1999) """
+    CASE WHEN day(date) <= 12 THEN temperature END AS temperature FROM station_daily) """
      + " UNION ALL ".join(_quality_sql(c) for c in ("swe", "precipitation", "temperature"))
      + """ UNION ALL SELECT 'time span', concat('Dataset only covers ', CAST(span AS VARCHAR), ' years'), 'high',
     'Collect more historical data for better model training'
   FROM (SELECT CAST(floor(date_diff('day', min(date), max(date)) / 365.25) AS INT) AS span FROM gaps) s WHERE span < 5""")
 def data_quality(spark, sf):
-    df = stored(spark, sf, "station_daily").where(F.year("date") >= 1999)
+    df = stored(spark, sf, "station_daily")
     df = df.withColumn("temperature", F.when(F.dayofmonth("date") <= 12, F.col("temperature")))
     cols = ["swe", "precipitation", "temperature"]
     span = A.dataset_facts(df).first()["span_years"]

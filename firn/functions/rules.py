@@ -76,7 +76,7 @@ def regional_hazards(region, rain_pct, snow_pct, temp) -> Column:
     ]
     found = F.slice(F.filter(F.array(*tests), lambda h: h.isNotNull()), 1, 3)
     text = F.when(F.size(found) == 0, HAZARDS["none"]).otherwise(F.array_join(found, "; "))
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1000)), F.lit("."))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(text.substr(F.lit(2), F.length(text))), F.lit("."))
 
 
 def change_percent(predicted, baseline) -> Column:

@@ -44,16 +44,29 @@ def add_missing(df: DataFrame, columns: dict) -> DataFrame:
     return df.withColumns({n: c for n, c in columns.items() if n not in df.columns})
 
 
+#: What counts as a number; a cast alone would also take type suffixes such as `1d`.
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+NOT_A_NUMBER = r"^\s*[+-]?(?i:nan)\s*$"
+
+
+def number_of(col) -> Column:
+    """The number a text holds, else NULL."""
+    return F.when(F.col(col).rlike(NUMBER), F.col(col).try_cast("double"))
+
+
 def coerce_numbers(df: DataFrame, skip=()) -> DataFrame:
-    """Turn a text column into numbers if every known value parses; one pass for all columns."""
+    """Turn a text column into numbers if every known value parses; one pass for all columns.
+
+    A `NaN` text is an unknown number.
+    """
     cols = text_columns(df, skip)
     if not cols:
         return df
     bad = df.agg(*[
-        F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c)
+        F.count_if(F.col(c).isNotNull() & number_of(c).isNull() & ~F.col(c).rlike(NOT_A_NUMBER)).alias(c)
         for c in cols
     ]).first()
-    return df.withColumns({c: F.col(c).try_cast("double") for c in cols if bad[c] == 0})
+    return df.withColumns({c: number_of(c) for c in cols if bad[c] == 0})
 
 
 def find_date_column(df: DataFrame, name="date") -> str:

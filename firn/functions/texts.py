@@ -141,7 +141,7 @@ def labelled_fields(df: DataFrame, text="text", fields=(), sections=(), lower=()
         for label in sections:
             own = F.filter(blocks, _with_label(label))
             body = F.flatten(F.transform(own, lambda b: F.transform(
-                F.slice(F.split(b, "\n"), 2, 1_000_000_000), strip)))
+                F.slice(F.split(b, "\n"), F.lit(2), F.size(F.split(b, "\n"))), strip)))
             out[name(label)] = F.filter(
                 body, lambda x: (x != "") & ~x.startswith(":") & ~_any_of(x, labels))
     return df.withColumns(out)
@@ -200,7 +200,7 @@ def parse_explanations(df: DataFrame, text="text") -> DataFrame:
 def split_sections(df: DataFrame, marker: str, text="text") -> DataFrame:
     """One numbered row per part after each marker; the part before the first one is dropped."""
     parts = F.split(text, rf"\Q{marker}\E")
-    rest = F.slice(parts, 2, 1_000_000_000)
+    rest = F.slice(parts, F.lit(2), F.size(parts))
     return df.select("*", F.posexplode(rest).alias("__at", "__part")).select(
         *df.columns, (F.col("__at") + 1).alias("part"), strip("__part").alias("part_text"))
 

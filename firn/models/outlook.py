@@ -4,9 +4,10 @@ Climate indices give temperature, both give rain, all of them give snow. Any num
 scenarios is predicted in one pass.
 """
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from firn import schemas as K
 from firn.functions.scalars import period_label
@@ -35,7 +36,7 @@ class WinterOutlook:
     trees: int = 180
     seed: int = 42
     half_life: float = 7.0
-    max_depth: int = 12
+    max_depth: int = 30
     chain: dict = field(default_factory=dict)
 
     def fit(self, history: DataFrame) -> "WinterOutlook":
@@ -62,10 +63,17 @@ class WinterOutlook:
         return add_region(done, "area_weight").withColumn("period", period_label("water_year", "month"))
 
     def save(self, folder: str):
+        """The three models and the outlook's own settings below one folder."""
+        config = {k: getattr(self, k) for k in ("trees", "seed", "half_life", "max_depth")}
+        spark = SparkSession.active()
+        spark.createDataFrame([(json.dumps(config),)], "config string").coalesce(1).write.mode(
+            "overwrite").text(f"{folder}/config")
         for label, f in self.chain.items():
             f.save(f"{folder}/{label}")
 
     def restore(self, spark, folder: str) -> "WinterOutlook":
+        for name, value in json.loads(spark.read.text(f"{folder}/config").first()[0]).items():
+            setattr(self, name, value)
         self.chain = {label: Forecaster.load(spark, f"{folder}/{label}") for label, _ in CHAIN}
         return self
 

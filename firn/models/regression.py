@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from firn.operators.aggregates import error_metrics
 
@@ -51,10 +51,10 @@ class Linear:
 
 @dataclass
 class Forest:
-    """Bagged trees. Spark limits the depth to 30."""
+    """Bagged trees, as deep as Spark can grow them by default."""
 
     trees: int = 100
-    max_depth: int = 12
+    max_depth: int = 30
     min_leaf: int = 2
     features: str = "all"
     bootstrap: bool = True
@@ -62,9 +62,11 @@ class Forest:
     seed: int = 42
 
     def stage(self, df, label, weight):
+        if self.max_depth > 30:
+            raise ValueError("Spark grows trees to depth 30 at most")
         model = RandomForestRegressor(
             featuresCol="features", labelCol=label, numTrees=self.trees,
-            maxDepth=min(self.max_depth or 30, 30), minInstancesPerNode=self.min_leaf,
+            maxDepth=self.max_depth, minInstancesPerNode=self.min_leaf,
             featureSubsetStrategy=self.features, bootstrap=self.bootstrap, maxBins=self.max_bins,
             seed=self.seed)
         return model.setWeightCol(weight) if weight else model
@@ -96,6 +98,10 @@ class Boosting:
         return model.setWeightCol(weight) if weight else model
 
 
+def quoted(name):
+    return f"`{name}`"
+
+
 SETTINGS = {"linear": Linear, "forest": Forest, "boosting": Boosting}
 
 
@@ -113,7 +119,7 @@ class Forecaster:
         """Rows with an unknown input or label take no part."""
         plain = [c for c in self.inputs if c in df.columns]
         used = df.na.drop("any", subset=[*plain, self.label])
-        assembler = VectorAssembler(inputCols=self.inputs, outputCol="features", handleInvalid="skip")
+        assembler = VectorAssembler(inputCols=self.inputs, outputCol="features", handleInvalid="keep")
         stages = [*self.encoders, assembler, self.settings.stage(used, self.label, weight)]
         self.model = Pipeline(stages=stages).fit(used)
         return self
@@ -124,8 +130,13 @@ class Forecaster:
         return self.model
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add `prediction`; rows with an unknown input are left out."""
-        return self._fitted().transform(df).drop("features")
+        """Add `prediction`, NULL where a numeric input is unknown; every row stays."""
+        known = F.lit(True)
+        for f in df.schema:
+            if f.name in self.inputs and isinstance(f.dataType, T.NumericType):
+                known = known & F.col(quoted(f.name)).isNotNull() & ~F.isnan(quoted(f.name))
+        done = self._fitted().transform(df).drop("features")
+        return done.withColumn("prediction", F.when(known, F.col("prediction")))
 
     def evaluate(self, df: DataFrame, *by) -> DataFrame:
         return error_metrics(self.transform(df), self.label, "prediction", *by)

@@ -1,7 +1,7 @@
 """Sequence forecasting: scaled windows of earlier rows as one flat feature vector."""
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (
@@ -10,7 +10,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from firn.models.features import fit_scaler, temporal_split, unscale
-from firn.models.regression import Boosting
+from firn.models.regression import SETTINGS, Boosting
 from firn.operators.series import Series
 from firn.operators.windows import sequence_windows
 
@@ -31,11 +31,20 @@ class SequenceForecaster:
     scaler: dict | None = None
     model: object = None
 
+    def _known(self, df: DataFrame) -> DataFrame:
+        return df.na.drop("any", subset=[*self.inputs, self.target])
+
+    def _fit_scaler(self, rows: DataFrame):
+        self.scaler = fit_scaler(rows, list(dict.fromkeys([*self.inputs, self.target])), "minmax")
+
+    def _split(self, df: DataFrame):
+        return temporal_split(df, self.validation_share, self.series.order[0], self.series.keys[0])
+
     def prepare(self, df: DataFrame) -> DataFrame:
         """Scaled sequences with `features` (flat) and `label` (scaled target)."""
-        used = df.na.drop("any", subset=[*self.inputs, self.target])
+        used = self._known(df)
         if self.scaler is None:
-            self.scaler = fit_scaler(used, list(dict.fromkeys([*self.inputs, self.target])), "minmax")
+            self._fit_scaler(used)
         scaled = {f"__s_{c}": (F.col(c) - m) / s for c, (m, s) in self.scaler.items()}
         made = sequence_windows(
             used.withColumns(scaled), [f"__s_{c}" for c in self.inputs], f"__s_{self.target}",
@@ -44,12 +53,21 @@ class SequenceForecaster:
 
     def parts(self, df: DataFrame):
         """(train, validation) in time order."""
-        return temporal_split(self.prepare(df), self.validation_share, self.series.order[0],
-                              self.series.keys[0])
+        return self._split(self.prepare(df))
 
     def fit(self, df: DataFrame) -> "SequenceForecaster":
-        train, _ = self.parts(df)
-        self.model = self.settings.stage(train, "label", None).fit(train)
+        """Every row trains. Boosting keeps the newest share out of the scaling and the trees and
+        stops when the error on it no longer falls."""
+        settings = self.settings
+        early = isinstance(settings, Boosting) and settings.validation is None and self.validation_share > 0
+        if early and self.scaler is None:
+            self._fit_scaler(self._split(self._known(df))[0])
+        rows = self.prepare(df)
+        if early:
+            settings = replace(settings, validation="__late")
+            train, late = self._split(rows)
+            rows = train.withColumn("__late", F.lit(False)).unionByName(late.withColumn("__late", F.lit(True)))
+        self.model = settings.stage(rows, "label", None).fit(rows)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -60,17 +78,27 @@ class SequenceForecaster:
         return done.withColumn("prediction", unscale("prediction", self.scaler[self.target])).drop(
             "features", "sequence", "label")
 
-
-
     def save(self, folder: str):
-        """Model and scaling below one folder."""
+        """Model, scaling and all settings below one folder."""
         self.model.write().overwrite().save(f"{folder}/model")
         rows = [(c, *pair) for c, pair in self.scaler.items()]
         spark = SparkSession.active()
         spark.createDataFrame(rows, "name string, centre double, scale double").coalesce(1).write.mode(
             "overwrite").json(f"{folder}/scaler")
+        kind = next(k for k, v in SETTINGS.items() if isinstance(self.settings, v))
+        config = {"inputs": self.inputs, "target": self.target, "steps": self.steps, "kind": kind,
+                  "settings": asdict(self.settings), "validation_share": self.validation_share,
+                  "series": asdict(self.series)}
+        spark.createDataFrame([(json.dumps(config),)], "config string").coalesce(1).write.mode(
+            "overwrite").text(f"{folder}/config")
 
     def restore(self, spark, folder: str) -> "SequenceForecaster":
+        """The saved model; its settings replace the ones of this object."""
+        config = json.loads(spark.read.text(f"{folder}/config").first()[0])
+        self.inputs, self.target, self.steps = config["inputs"], config["target"], config["steps"]
+        self.validation_share = config["validation_share"]
+        self.settings = SETTINGS[config["kind"]](**config["settings"])
+        self.series = Series(**{k: tuple(v) if isinstance(v, list) else v for k, v in config["series"].items()})
         rows = spark.read.schema("name string, centre double, scale double").json(f"{folder}/scaler").collect()
         self.scaler = {r.name: (r.centre, r.scale) for r in rows}
         path = f"{folder}/model"

@@ -4,8 +4,9 @@ The normal equations are sums of outer products. Spark adds them up per station
 sums in every task, so a hot station is no problem; only the small solve runs in Python.
 """
 
+import json
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -96,13 +97,13 @@ class SeasonalTrend:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add `prediction`, `lower` and `upper`; stations without a model are left out."""
+        """Add `prediction`, `lower` and `upper`, NULL for stations without a model."""
         from statistics import NormalDist
 
         if self.table is None:
             raise RuntimeError("Call fit before predict")
         z = NormalDist().inv_cdf(0.5 + self.interval / 2)
-        joined = join_same(df, self.table.drop("row_count"), self.keys)
+        joined = join_same(df, self.table.drop("row_count"), self.keys, "left")
         fitted = F.aggregate(F.zip_with("coef", self.design(), lambda a, b: a * b), F.lit(0.0),
                              lambda s, x: s + x)
         back = F.exp if self.mode == "multiplicative" else (lambda c: c)
@@ -123,12 +124,16 @@ class SeasonalTrend:
         return self.transform(grid)
 
     def save(self, folder: str):
+        """Model rows and all settings below one folder."""
         self.table.write.mode("overwrite").parquet(f"{folder}/stations")
+        config = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "table"}
         spark = self.table.sparkSession
-        spark.createDataFrame([(self.start, self.span)], "start double, span double").coalesce(1).write.mode(
-            "overwrite").json(f"{folder}/scale")
+        spark.createDataFrame([(json.dumps(config),)], "config string").coalesce(1).write.mode(
+            "overwrite").text(f"{folder}/config")
 
     def restore(self, spark, folder: str) -> "SeasonalTrend":
+        """The saved model; its settings replace the ones of this object."""
+        for name, value in json.loads(spark.read.text(f"{folder}/config").first()[0]).items():
+            setattr(self, name, tuple(value) if isinstance(value, list) else value)
         self.table = spark.read.parquet(f"{folder}/stations")
-        self.start, self.span = spark.read.json(f"{folder}/scale").select("start", "span").first()
         return self

@@ -245,7 +245,7 @@ def missing_columns(df: DataFrame, required):
 
 
 def unknown_values(df: DataFrame, col: str, dimension: DataFrame) -> DataFrame:
-    return df.select(col).distinct().join(F.broadcast(dimension.select(col)), col, "left_anti")
+    return df.select(col).distinct().join(dimension.select(col), col, "left_anti")
 
 
 def changed_values(before: DataFrame, after: DataFrame, col: str) -> DataFrame:

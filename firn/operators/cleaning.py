@@ -228,17 +228,20 @@ def clean(df: DataFrame, targets=("swe", "snow_depth"), strategy="median", thres
 
     Station and date always stay, and so do the targets. The deduplicated table is written
     once; the passes after it read single columns of it. Filling and capping cannot make a
-    column constant or wide, so which columns go is decided from one pass.
+    column constant or wide, so which columns go is decided from one pass; `drop` removes rows,
+    so it is decided after that.
     """
     keep = tuple(dict.fromkeys([*keep, *targets]))
     df = coerce_numbers(nan_to_null(df), skip=KEYS)
     df = add_calendar(parse_dates(df, series.order[0]), series.order[0])
     df = materialize(drop_duplicates(df))
     facts = column_facts(df, wide=True)
-    useless = {
-        *sparse_columns(df, threshold, keep, facts), *constant_columns(df, keep, facts),
-        *wide_text_columns(df, keep=keep, facts=facts),
-    }
+    df = df.drop(*sparse_columns(df, threshold, keep, facts))
+    if strategy == "drop":
+        df = materialize(df.na.drop("any"))
+        facts = column_facts(df, wide=True)
+    facts = {c: facts[c] for c in df.columns if c in facts}
+    useless = {*constant_columns(df, keep, facts), *wide_text_columns(df, keep=keep, facts=facts)}
     df = handle_missing(df.drop(*useless), strategy, 1.0, KEYS, series)
     present = [t for t in targets if t in numeric_columns(df)]
     return cap_zscore(df, present or numeric_columns(df, KEYS), outlier_threshold)

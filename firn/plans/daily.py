@@ -97,7 +97,7 @@ def run_daily(snow: DataFrame, climate: DataFrame, index: DataFrame, settings=No
     The feature table is written once, because splitting, scaling and every boosting round
     read it again.
     """
-    s = settings or FeatureSettings(lags=(1, 7, 30), windows=(7, 30))
+    s = settings or FeatureSettings(lags=(1, 7, 30), windows=(7, 30), include_current=False)
     joined = join_sources(clean(snow, (s.target, "snow_depth"), series=s.series),
                           clean(climate, (), series=s.series), (s.series.order[0], *s.series.keys))
     shared = [c[:-5] for c in joined.columns if c.endswith("_snow")]

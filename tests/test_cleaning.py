@@ -171,3 +171,18 @@ def test_clamp_keeps_null(spark):
     df = spark.createDataFrame([(-1.0,), (None,), (2.0,)], "x double")
     assert [r.x for r in C.clamp_at_zero(df, ["x"]).collect()] == [0.0, None, 2.0]
     assert math.isclose(C.clamp_at_zero(df, ["x"]).agg(F.sum("x")).first()[0], 2.0)
+
+
+def test_number_texts(spark):
+    df = spark.createDataFrame([("1d", "1", "NaN"), ("2f", " 2.5e1 ", "3"), (None, "-.5", None)], "code string, number string, gap string")
+    out = coerce_numbers(df)
+    assert dict(out.dtypes) == {"code": "string", "number": "double", "gap": "double"}
+    assert sorted(r.number for r in out.collect()) == [-0.5, 1.0, 25.0]
+    assert out.where("gap IS NOT NULL").count() == 1
+
+
+def test_columns_are_judged_after_rows_are_dropped(spark):
+    rows = [("s", f"2020-01-{d:02d}", float(d), "a" if d == 1 else "b", None if d == 1 else "x" * (d % 3)) for d in range(1, 11)]
+    df = spark.createDataFrame(rows, "station_id string, date string, swe double, kind string, note string")
+    out = C.clean(df, ("swe",), "drop")
+    assert "kind" not in out.columns and "note" in out.columns and out.count() == 9

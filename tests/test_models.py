@@ -171,3 +171,35 @@ def test_daily_run(spark, stations):
     metrics = out["metrics"].first()
     assert metrics.row_count > 0 and metrics.rmse > 0
     assert out["importance"].count() == len(out["model"].inputs)
+
+
+def test_every_row_gets_a_place_in_the_predictions(spark):
+    df = spark.createDataFrame([(float(i), 2.0 * i) for i in range(20)] + [(None, 1.0), (float("nan"), 1.0)], "a double, y double")
+    for settings in (Linear(), Forest(trees=2, max_depth=3), Boosting(rounds=2, max_depth=2)):
+        out = Forecaster(settings, ["a"], "y").fit(df).transform(df)
+        assert out.count() == 22 and out.where("prediction IS NULL").count() == 2
+    with pytest.raises(ValueError):
+        Forest(max_depth=31).stage(df, "y", None)
+
+
+def test_trend_keeps_settings_and_unknown_stations(spark, tmp_path):
+    days = spark.range(0, 200).select(
+        F.lit("s").alias("station_id"), F.date_add(F.lit("2010-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+        (50 + 0.01 * F.col("id")).alias("swe"))
+    model = SeasonalTrend(changepoints=3, waves=2, interval=0.8).fit(days)
+    both = days.unionByName(days.limit(5).withColumn("station_id", F.lit("t")))
+    out = model.transform(both)
+    assert out.count() == 205 and out.where("prediction IS NULL").count() == 5
+    model.save(str(tmp_path))
+    again = SeasonalTrend().restore(spark, str(tmp_path))
+    assert (again.changepoints, again.waves, again.interval, again.keys) == (3, 2, 0.8, ("station_id",))
+    same_rows(again.transform(both), out)
+
+
+def test_sequence_boosting_stops_by_the_newest_rows(spark, stations, tmp_path):
+    model = SequenceForecaster(["swe"], steps=2, settings=Boosting(rounds=3, max_depth=2)).fit(stations)
+    assert model.model.getNumTrees <= 3
+    model.save(str(tmp_path))
+    again = SequenceForecaster([]).restore(spark, str(tmp_path))
+    assert again.inputs == ["swe"] and again.steps == 2 and again.settings == model.settings
+    same_rows(again.transform(stations), model.transform(stations))
