@@ -150,7 +150,8 @@ def clear(text):
     """The text with look-alikes, bracketed and spoken signs and spoken digits written plainly, or None if it has none."""
     low = text.lower()
     strange = not text.isascii() and _STRANGE.search(text)
-    if not (strange or "dot" in low or "punkt" in low or "punto" in low or "point" in low or _BRACKETED.search(text) or spoken_digits(low)):
+    signs = strange or "dot" in low or "punkt" in low or "punto" in low or "point" in low or _BRACKETED.search(text)
+    if not (signs or "at" in low and _BARE_AT.search(text) or "plus" in low and _PLUS.search(text) or spoken_digits(low)):
         return None
     t = Traced(text)
     if strange:

@@ -161,6 +161,17 @@ def test_disguised_personal_data(text, kind, part):
     assert base == [] and [(pii.KINDS[k], text[s:e]) for k, s, e in every] == [(kind, part)]
 
 
+@pytest.mark.parametrize("more", ["", " the point"])
+@pytest.mark.parametrize("text, kind, part", [
+    ("write to john.doe at example.com", "email", "john.doe at example.com"),
+    ("call plus 49 176 5550123", "phone", "plus 49 176 5550123"),
+    ("call PLUS-49 176 5550123", "phone", "PLUS-49 176 5550123"),
+])
+def test_disguises_need_no_other_sign(text, kind, part, more):
+    base, every = pii.personal_spans(text + more)
+    assert base == [] and [(pii.KINDS[k], text[s:e]) for k, s, e in every] == [(kind, part)]
+
+
 @pytest.mark.parametrize("text", ["look at the dot now", "one or two at a time", "Привет, мир", "é at the point", "un, deux, trois", "it was at home. dot com boom"])
 def test_clean_texts_stay_clean(text):
     assert pii.personal_spans(text) == ([], [])
