@@ -129,6 +129,11 @@ def drop_near_duplicates(df, id_col="doc_id", text_col="text", shingle=SHINGLE):
     first = groups.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min("order").alias("o")).select("o.*")
     alone = groups.where("component_id IS NULL")
     first = first.union(alone.groupBy("fp").agg(F.min("order").alias("o")).select("o.*"))
+    return kept_rows(df, groups, first, id_col, text_col)
+
+
+def kept_rows(df, groups, first, id_col, text_col):
+    """The rows of `df` that `first` names by id and row_key, each once."""
     first = materialize(first.select(F.col("id").alias("_id"), F.col("row_key").alias("_key")))
     i, k = fresh(df, "_id", "_key")
     keyed = df.withColumn(k, row_key_of(df, id_col, text_col))
