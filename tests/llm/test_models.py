@@ -126,6 +126,21 @@ def test_vectors_against_brute_force(spark):
     assert graph.near_vectors(df.limit(0)).count() == 0
 
 
+def test_audit_is_not_hidden_by_a_hot_group(spark):
+    rng = np.random.default_rng(8)
+    hot = rng.normal(size=(1, 16)) + rng.normal(size=(150, 16)) * 0.02
+    small = rng.normal(size=(20, 16)).repeat(2, axis=0) + rng.normal(size=(40, 16)) * 0.01
+    x = np.concatenate([hot, small])
+    m = [1000] + [1] * (len(x) - 1)
+    rows = [(i, "0/16", [float(a) for a in v], m[i]) for i, v in enumerate(x)]
+    classes = spark.createDataFrame(rows, "node long, space string, v array<double>, m long")
+    schema = "node long, links long, hits long, root long"
+    found = [(i, sum(m[:150]) - m[i], 149, 0) for i in range(150)]  # all of the hot group, none of the pairs
+    assert graph.audit(classes, spark.createDataFrame(found, schema)) == pytest.approx(150 / 190)
+    pairs = [(i, 1, 1, i) for i in range(150, 190)]
+    assert graph.audit(classes, spark.createDataFrame(found + pairs, schema)) == 1.0
+
+
 def test_vectors_over_many_shards_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(graph, "SHARD", 60)
     monkeypatch.setattr(graph, "BLOCK", 90)
