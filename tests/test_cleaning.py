@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import same_rows
+from rowcheck import same_rows
 from pyspark.sql import functions as F
 
 from firn.functions.scalars import coerce_numbers, find_date_column, nan_to_null, one_hot

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import same_rows
+from rowcheck import same_rows
 from pyspark.sql import functions as F
 
 from firn.models import features as M

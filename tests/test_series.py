@@ -1,7 +1,7 @@
 """The ways around hot keys give what the plain windows give."""
 
 import pytest
-from conftest import same_rows
+from rowcheck import same_rows
 from pyspark.sql import functions as F
 
 from firn.functions.scalars import water_year

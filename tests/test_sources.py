@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from conftest import same_rows
+from rowcheck import same_rows
 from pyspark.sql import functions as F
 
 from firn import schemas as K
