@@ -38,6 +38,28 @@ def row_key(id_col, text_col):
     return F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col))
 
 
+#: Keys with more than one of so many rows are hot; there are fewer of them than this.
+SHARE = 1000
+
+
+def attach(left, right, on, weight):
+    """Left outer join of rows with one row per key, safe for hot keys.
+
+    `right` has one row per value of the column `on` and, in `weight`, at least the number of
+    rows of `left` that bear it. Keys with more than a SHARE-th of the total weight are fewer than SHARE, so
+    their rows of `right` are broadcast; all other keys are shuffled. Both tables should be
+    written ones, since they are read twice. Null keys find nothing.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot, = fresh(left, "_hot")
+    rest = [c for c in right.columns if c != on]
+    heavy = right.where(F.col(weight) > F.lit(total / SHARE))
+    light = right.where(F.col(weight) <= F.lit(total / SHARE))
+    marked = left.join(F.broadcast(heavy.select(on, F.struct(*rest).alias(hot))), on, "left")
+    found = marked.where(F.col(hot).isNotNull()).select(*left.columns, *[F.col(f"{hot}.{c}").alias(c) for c in rest])
+    return found.unionByName(marked.where(F.col(hot).isNull()).drop(hot).join(light, on, "left").select(*left.columns, *rest))
+
+
 def pieces(batches, column):
     """Slices of the Arrow batches that hold about PIECE bytes of the column, one row at least."""
     for batch in batches:
