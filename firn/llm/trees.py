@@ -17,16 +17,16 @@ def subtree_totals(tree, values, rounds=500):
     to the shared folder. An empty table gives no rows.
     """
     own, carried = [f"own{i}" for i in range(len(values))], [f"carried{i}" for i in range(len(values))]
-    live = materialize(tree.select(
-        "node", "parent", *[F.col(v).cast("long").alias(o) for v, o in zip(values, own)], *[F.lit(0).cast("long").alias(c) for c in carried]))
+    live = tree.select(
+        "node", "parent", *[F.col(v).cast("long").alias(o) for v, o in zip(values, own)], *[F.lit(0).cast("long").alias(c) for c in carried])
     raked, spliced = [], []
     for number in range(rounds):
-        if live.isEmpty():
-            return _expanded(raked, spliced, values, own)
         kids = live.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n"), F.min("node").alias("child"))
         chain = (F.col("n") == 1) & F.col("parent").isNotNull() & (F.pmod(F.xxhash64("node", F.lit(number)), F.lit(2)) == 1)
         now = live.join(kids, "node", "left")
         now = materialize(now.withColumns({"n": F.coalesce("n", F.lit(0)), "out": F.coalesce(chain, F.lit(False))}))
+        if now.isEmpty():
+            return _expanded(raked, spliced, values, own, tree.select("node", *values))
         leaves = now.where("n = 0")
         raked.append(leaves.select("node", *own))
         # a chain node and its only child, which stays; both keys are unique
@@ -45,12 +45,12 @@ def subtree_totals(tree, values, rounds=500):
         else:
             left = left.withColumns({"up": F.lit(None).cast(now.schema["parent"].dataType), **{f"more_{c}": F.lit(None).cast("long") for c in carried}})
         plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
-        live = materialize(left.select(
-            "node", F.coalesce("up", "parent").alias("parent"), *[plus(o, f"gain_{o}") for o in own], *[plus(c, f"more_{c}") for c in carried]))
+        live = left.select(
+            "node", F.coalesce("up", "parent").alias("parent"), *[plus(o, f"gain_{o}") for o in own], *[plus(c, f"more_{c}") for c in carried])
     raise RuntimeError(f"the tree did not fold up in {rounds} rounds; it holds a cycle or a parent that is no node")
 
 
-def _expanded(raked, spliced, values, own):
+def _expanded(raked, spliced, values, own, empty):
     """The totals of all nodes: those of raked ones stand, the others follow from their child's."""
     known = []
     for leaves, chain in zip(reversed(raked), reversed(spliced)):
@@ -61,7 +61,9 @@ def _expanded(raked, spliced, values, own):
             later = later.select(F.col("node").alias("child"), *[F.col(o).alias(f"of_{o}") for o in own])
             known.append(materialize(chain.join(later, "child").select(F.col("top").alias("node"), *[(F.col(o) + F.col(f"of_{o}")).alias(o) for o in own])))
         known.append(leaves)
-    out = known[0] if known else None
+    if not known:
+        return empty
+    out = known[0]
     for part in known[1:]:
         out = out.unionByName(part)
     return out.select("node", *[F.col(o).alias(v) for o, v in zip(own, values)])
