@@ -1,6 +1,6 @@
 """From raw documents to training shards: language ID, near-dedup, decontamination, mixing, sharding."""
 
-from firn.llm import contamination, language, mixing, nearcopies, sharding
+from firn.llm import contamination, language, mixing, sharding, simhash
 from firn.session import materialize
 
 
@@ -10,11 +10,8 @@ def identify(spark, docs, sf_dir):
 
 
 def dedup(spark, docs, sf_dir):
-    """One document of every group of near copies: Jaccard 0.8 or more of their five-word runs.
-
-    Not op2's links: a SimHash within 2 bits keeps most pairs at 0.8 apart.
-    """
-    return nearcopies.drop_near_copies(docs)
+    """One document of every group of near copies stays, as op2 links them: 3-word shingles, at most 2 bits."""
+    return simhash.drop_near_duplicates(docs, shingle=3)
 
 
 def decontaminate(spark, docs, sf_dir):
