@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from firn.llm.common import attach
+from firn.llm.sql import CRC_TABLE, crc_sql
 from firn.llm.trees import subtree_totals
 from firn.session import materialize
 
@@ -181,15 +182,6 @@ def prefix_trie(df, conv_col="conv_id", turn_col="turn", role_col="role", text_c
     return out.select(F.col("conv").alias("conv_id"), "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", empty).alias("ends_sha256"))
 
 
-#: The table of the byte-wise CRC-32, for SQL.
-CRC_TABLE = "(SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i))"
-
-
-def crc_sql(numbers, tab="tab"):
-    """The unsigned CRC-32 of a list of byte values."""
-    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {numbers}), lambda c, x: xor(c >> 8, {tab}[(xor(c, x) & 255) + 1])), 4294967295)"
-
-
 #: The same rows in DuckDB; a node is named by the list of its turns.
 TRIE_SQL = f"""
 WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS txt,

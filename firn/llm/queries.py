@@ -1,6 +1,6 @@
 """One query per operator, over its whole table, and its SQL where SQL can state it."""
 
-from firn.llm import contamination, conversations, exact, graph, language, lm, mixing, pii, quality, sharding, simhash, substrings
+from firn.llm import contamination, conversations, exact, graph, language, lm, mixing, pii, quality, sharding, simhash, spelling, substrings
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,10 @@ def op10_lm_scores(spark, sf_dir):
     return lm.score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_spelling_groups(spark, sf_dir):
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("id", "doc_id")
 
@@ -60,5 +64,5 @@ def op13_prefix_trie(spark, sf_dir):
     return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_simhash, op3_language, op4_sharding, op5_decontamination, op6_quality, op7_substrings, op8_personal_data, op9_mixing, op10_lm_scores, op12_exact_dedup, op13_prefix_trie)}
-SQL = {"op9_mixing": mixing.MIX_SQL, "op12_exact_dedup": exact.EXACT_SQL, "op13_prefix_trie": conversations.TRIE_SQL}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_simhash, op3_language, op4_sharding, op5_decontamination, op6_quality, op7_substrings, op8_personal_data, op9_mixing, op10_lm_scores, op11_spelling_groups, op12_exact_dedup, op13_prefix_trie)}
+SQL = {"op9_mixing": mixing.MIX_SQL, "op11_spelling_groups": spelling.SPELLING_SQL, "op12_exact_dedup": exact.EXACT_SQL, "op13_prefix_trie": conversations.TRIE_SQL}
