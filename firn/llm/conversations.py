@@ -60,7 +60,7 @@ def rebuilt(turns):
     """Two tables: the conversations (conv, n, h, taken, length) and their turns (conv, depth, last, t1, t2, words).
 
     Conversation c begins with the first h turns of conversation c - c % 20, where h is
-    crc32(c) % 4, and goes on with its own turns after its first h.
+    crc32(c) % 4, and goes on with its own turns after its first h. The remainder has the sign of c.
     """
     turns = materialize(turns)
     convs = turns.groupBy("conv").agg(F.count("*").alias("n")).withColumns({

