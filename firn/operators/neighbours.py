@@ -1,202 +1,224 @@
 """Exact k-nearest-neighbour filling without comparing every pair of rows.
 
-Distance is Euclidean over the numbers both rows know, scaled by the share known. For every
-set of shared columns the donors are put into a tree of quantile cells. Rows with a gap walk
-down the tree level by level as joins: a cell is dropped once its nearest corner is farther
-than a distance within which k donors are certain. Only donors of the last cells are compared.
+Distance is Euclidean over the numbers both rows know, scaled by the share known. All columns
+are filled in the same passes: a row takes part once per column, as a donor of its value or as
+a gap. The donors of a column lie in a K-d tree. Its top is fitted on a sample and cuts them
+into cells; a task builds the rest of the tree of a cell (`kdtree`). A gap first searches its own
+cell. The k-th distance found there bounds the other cells it has to visit.
 
 Copies are merged first: equal gap rows search once, and of donors at the same place only the
 k smallest values can matter, because ties go to the smaller value.
 """
 
-import math
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from firn.functions.scalars import numeric_columns
+from firn.operators.kdtree import Nearest, Tree, scales
 from firn.operators.series import join_same
 from firn.session import materialize
 
-LEAF = 32
-STEP = 2
-MAX_BITS = 12
-MAX_SPACES = 4096
-
-
-def _pattern(cols):
-    """Bit mask of the known columns."""
-    bits = [F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)]
-    return reduce(lambda a, b: a + b, bits)
-
-
-def _spaces(gaps, donors, cols):
-    """[(receiver pattern, shared set, donor patterns)] for the patterns that occur."""
-    def seen(df):
-        rows = df.select(_pattern(cols).alias("p")).distinct().limit(MAX_SPACES + 1).collect()
-        if len(rows) > MAX_SPACES:
-            raise ValueError("Too many patterns of missing columns; fill some columns first")
-        return [r[0] for r in rows]
-
-    known = seen(donors)
-    spaces = {}
-    for r in seen(gaps):
-        for d in known:
-            if r & d:
-                spaces.setdefault((r, r & d), []).append(d)
-    return [(r, s, ds) for (r, s), ds in sorted(spaces.items())]
-
-
-def _members(mask, cols):
-    return [c for i, c in enumerate(cols) if mask >> i & 1]
-
-
-def _padded(values, width, kind):
-    return F.array(*values, *[F.lit(None).cast(kind)] * (width - len(values)))
-
-
-def _total(width, term):
-    """Sum over the places, written out so that it runs as generated code; unknown places add 0."""
-    parts = [F.coalesce(term(i), F.lit(0.0)) for i in range(width)]
-    return reduce(lambda a, b: a + b, parts)
-
-
-def _square(d):
-    return d * d
-
-
-def _nearest(width):
-    q, box = F.col("q"), F.col("box")
-    return _total(width, lambda i: F.when(q[i].isNotNull(), _square(
-        F.greatest(box[i]["lo"] - q[i], q[i] - box[i]["hi"], F.lit(0.0)))))
-
-
-def _farthest(width):
-    q, box = F.col("q"), F.col("box")
-    return _total(width, lambda i: F.when(q[i].isNotNull(), _square(
-        F.greatest(F.abs(q[i] - box[i]["lo"]), F.abs(q[i] - box[i]["hi"])))))
-
-
-def _points(donors, target, cols, spaces, k, width):
-    """Donors per space: place, value, number of copies and finest cell; and the cell bits."""
-    merged = materialize(donors.groupBy(*cols, target).agg(F.count("*").alias("m")))
-    total = merged.count()
-    bits = math.ceil(math.log2(max(total / LEAF, 2)) / width)
-    bits = min(MAX_BITS, max(STEP, math.ceil(bits / STEP) * STEP))
-    shares = [i / 2 ** bits for i in range(1, 2 ** bits)]
-    cuts = merged.agg(*[F.percentile_approx(c, shares, 4 * 2 ** bits).alias(c) for c in cols]).first()
-    inner = {c: sorted(set(cuts[c] or [])) or [0.0] for c in cols}
-    cells = Bucketizer(
-        splitsArray=[[-float("inf"), *inner[c], float("inf")] for c in cols], inputCols=list(cols),
-        outputCols=[f"__c_{c}" for c in cols], handleInvalid="keep").transform(merged)
-    places = []
-    for i, (_, shared, patterns) in enumerate(spaces):
-        own = _members(shared, cols)
-        place = F.struct(
-            F.lit(i).alias("space"), _padded([F.col(c) for c in own], width, "double").alias("x"),
-            _padded([F.col(f"__c_{c}").cast("int") for c in own], width, "int").alias("cell"))
-        places.append(F.when(_pattern(cols).isin(*patterns), place))
-    spread = cells.withColumn("__p", F.explode(F.filter(F.array(*places), lambda p: p.isNotNull())))
-    flat = spread.select("__p.*", F.col(target).alias("v"), "m").groupBy("space", "x", "cell", "v").agg(
-        F.sum("m").alias("m"))
-    first = W.partitionBy("space", "x").orderBy("v")
-    kept = flat.withColumn("__i", F.row_number().over(first)).where(F.col("__i") <= k).drop("__i")
-    return materialize(kept), bits
-
-
-def _coarser(cell, bits):
-    return F.transform(cell, lambda i: F.shiftright(i, bits))
-
-
-def _nodes(points, shift, width):
-    """Cells of one level with their number of donors and bounding box."""
-    box = F.array(*[
-        F.struct(F.min(F.col("x")[i]).alias("lo"), F.max(F.col("x")[i]).alias("hi"))
-        for i in range(width)])
-    cell = _coarser("cell", shift) if shift else F.col("cell")
-    level = points.select("space", cell.alias("cell"), "x", "m").groupBy("space", "cell").agg(
-        F.sum("m").alias("n"), box.alias("box"))
-    return level.withColumn("parent", _coarser("cell", STEP))
-
-
-def _prune(front, k, width):
-    """Keep the cells that may hold one of the k nearest donors."""
-    measured = front.withColumns({
-        "near": F.col("factor") * _nearest(width), "far": F.col("factor") * _farthest(width)})
-    by_far = W.partitionBy("key").orderBy("far").rowsBetween(W.unboundedPreceding, 0)
-    sure = measured.withColumn("__n", F.sum("n").over(by_far))
-    bound = F.min(F.when(F.col("__n") >= k, F.col("far"))).over(W.partitionBy("key"))
-    kept = sure.withColumn("__bound", bound).where(
-        F.col("__bound").isNull() | (F.col("near") <= F.col("__bound")))
-    return kept.select("key", "space", "factor", "q", "cell")
-
-
-def neighbour_means(df: DataFrame, target: str, cols, k=5) -> DataFrame:
-    """The other columns and `fill` for every distinct row with a gap in `target`."""
-    others = [c for c in cols if c != target]
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    donors = numbers.where(F.col(target).isNotNull())
+#: Donors of a cell, about; cells of a tree at most, beyond which cells grow; sampled donors per cell.
+CELL, CELLS, FIT = 8_000, 16_384, 32
+#: Gaps that search a cell in one task; more are dealt to several tasks, each with the cell's donors.
+GAPS = 200_000
+_BATCH = 2048
+
+
+def _places(df: DataFrame, cols, fill) -> DataFrame:
+    """(t, x, v): every row once per column to fill, `x` its other numbers; NaN stands for unknown."""
+    number = [F.coalesce(F.col(c), F.lit(float("nan"))) for c in cols]
+    unknown = F.lit(float("nan"))
+    one = [F.struct(F.lit(t).alias("t"), F.array(*[unknown if c == cols[t] else n for c, n in zip(cols, number)]).alias("x"),
+                    F.col(cols[t]).alias("v")) for t in fill]
+    return df.select(F.explode(F.array(*one)).alias("p")).select("p.*")
+
+
+def _donors(places: DataFrame, k) -> DataFrame:
+    """(t, x, v, m): the distinct donors and how many rows they stand for."""
+    merged = places.where("v IS NOT NULL").groupBy("t", "x", "v").agg(F.count("*").alias("m"))
+    first = W.partitionBy("t", "x").orderBy("v")
+    return merged.withColumn("i", F.row_number().over(first)).where(F.col("i") <= k).drop("i")
+
+
+def _tops(donors: DataFrame) -> dict:
+    """{t: Tree} whose leaves are the cells, fitted on about FIT donors per cell."""
+    sizes = {r.t: r["count"] for r in donors.groupBy("t").count().collect()}
+    wanted = {t: max(1, min(CELLS, n // CELL)) for t, n in sizes.items()}
+    share = reduce(lambda e, t: e.when(F.col("t") == t, FIT * wanted[t] / sizes[t]), sizes, F.when(F.lit(False), 0.0))
+    # at least one donor per column, so that each has a tree
+    one = donors.groupBy("t").agg(F.min("x").alias("x"))
+    picked = donors.where(F.pmod(F.xxhash64("t", "x", "v"), F.lit(1 << 30)) < share * (1 << 30)).select("t", "x")
+    rows = {}
+    for r in picked.unionByName(one).collect():
+        rows.setdefault(r.t, []).append(r.x)
+    return {t: Tree(np.array(sorted(x), float), FIT if wanted[t] > 1 else len(x)) for t, x in rows.items()}
+
+
+def _matrix(column):
+    """A list column as a matrix; all lists are equally long."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def _located(df: DataFrame, tops: dict, own: bool) -> DataFrame:
+    """Add `cell`: of a donor where it belongs (`own`), of a gap where it searches first."""
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in df.schema)}, cell long"
+    names = [*df.columns, "cell"]
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                t, x = b.column("t").to_numpy(), _matrix(b.column("x"))
+                cell = np.zeros(len(t), np.int64)
+                for i in np.unique(t).tolist():
+                    rows = t == i
+                    cell[rows] = tops[i].place(x[rows]) if own else tops[i].home(x[rows])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _bounded(tops: dict, donors: DataFrame, width) -> dict:
+    """The trees with the boxes their cells really fill; a column some donor does not know sets no bound."""
+    known = [F.when(~F.isnan(F.col("x")[i]), F.col("x")[i]) for i in range(width)]
+    box = donors.groupBy("t", "cell").agg(
+        F.count("*").alias("n"), *[F.count(v).alias(f"n{i}") for i, v in enumerate(known)],
+        *[F.min(v).alias(f"lo{i}") for i, v in enumerate(known)], *[F.max(v).alias(f"hi{i}") for i, v in enumerate(known)])
+    boxes = {(r.t, r.cell): r for r in box.collect()}
+    for t, tree in tops.items():
+        leaves = np.flatnonzero(tree.column < 0)
+        low, high = np.full((len(leaves), width), np.inf), np.full((len(leaves), width), -np.inf)
+        for j, at in enumerate(leaves.tolist()):
+            r = boxes.get((t, at))
+            for i in range(width if r else 0):
+                full = r[f"n{i}"] == r.n
+                low[j, i], high[j, i] = (r[f"lo{i}"], r[f"hi{i}"]) if full else (-np.inf, np.inf)
+        tree.bound_by(low, high)
+    return tops
+
+
+def _visits(gaps: DataFrame, tops: dict, width) -> DataFrame:
+    """(t, cell, key, x, bound) for the cells within the bound of a gap, without its own."""
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, _BATCH):
+                p = b.slice(lo, _BATCH)
+                t, x = p.column("t").to_numpy(), _matrix(p.column("x"))
+                bound, own = p.column("bound").to_numpy(zero_copy_only=False), p.column("cell").to_numpy()
+                for i in np.unique(t).tolist():
+                    rows = np.flatnonzero(t == i)
+                    who, cell, _ = tops[i].reach(x[rows], scales(x[rows], width), bound[rows])
+                    who = rows[who]
+                    other = cell != own[who]
+                    who, cell = who[other], cell[other]
+                    at = pa.array(who)
+                    yield pa.RecordBatch.from_arrays(
+                        [p.column("t").take(at), pa.array(cell), p.column("key").take(at), p.column("x").take(at), pa.array(bound[who])],
+                        names=["t", "cell", "key", "x", "bound"])
+
+    return gaps.select("t", "cell", "key", "x", "bound").mapInArrow(run, "t int, cell long, key long, x array<double>, bound double")
+
+
+def _searched(donors: DataFrame, gaps: DataFrame, k, width) -> DataFrame:
+    """(key, d, v, m): of every gap (t, cell, key, x, bound) the nearest donors of that cell."""
+    crowd = gaps.groupBy("t", "cell").agg(F.count("*").alias("n")).where(F.col("n") > GAPS)
+    crowd = crowd.select("t", "cell", F.ceil(F.col("n") / GAPS).cast("int").alias("parts"))
+    spread = donors.join(F.broadcast(crowd), ["t", "cell"], "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    dealt = gaps.join(F.broadcast(crowd), ["t", "cell"], "left").withColumn(
+        "part", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1)).cast("long")).cast("int"))
+    none, head = F.lit(None), ["t", "cell", "part"]
+    both = spread.select(*head, F.lit(0).alias("kind"), none.cast("long").alias("key"), "x", "v", "m", none.cast("double").alias("bound")).unionByName(
+        dealt.select(*head, F.lit(1).alias("kind"), "key", "x", none.cast("double").alias("v"), none.cast("long").alias("m"), "bound"))
+
+    def run(batches):
+        at, parts, near = None, [], None
+        for b in batches:
+            t, cell, part, kind = (b.column(i).to_numpy() for i in range(4))
+            change = np.flatnonzero((np.diff(t) != 0) | (np.diff(cell) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
+            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), b.num_rows]):
+                if lo == hi:
+                    continue
+                here = (int(t[lo]), int(cell[lo]), int(part[lo]))
+                if here != at:
+                    at, parts, near = here, [], None
+                p = b.slice(lo, hi - lo)
+                if kind[lo] == 0:
+                    parts.append((_matrix(p.column("x")), p.column("v").to_numpy(zero_copy_only=False), p.column("m").to_numpy(zero_copy_only=False).astype(np.int64)))
+                    continue
+                if not parts:  # a cell that only the sample filled
+                    continue
+                near = near or Nearest(*(np.concatenate(c) for c in zip(*parts)), k, width)
+                for i in range(0, hi - lo, _BATCH):
+                    q = p.slice(i, _BATCH)
+                    row, d, v, m = near.search(_matrix(q.column("x")), q.column("bound").to_numpy(zero_copy_only=False))
+                    yield pa.RecordBatch.from_arrays([q.column("key").take(pa.array(row)), pa.array(d), pa.array(v), pa.array(m)], names=["key", "d", "v", "m"])
+
+    # a number of its own keeps small but busy cells from being put together in one task
+    tasks = int(donors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = both.repartition(tasks, *head).sortWithinPartitions(*head, "kind")
+    return rows.mapInArrow(run, "key long, d double, v double, m long")
+
+
+def neighbour_means(df: DataFrame, cols, fill, k=5) -> DataFrame:
+    """(t, x, fill): for every distinct gap the mean of its k nearest donors.
+
+    `t` counts the columns, `x` holds the other numbers of the row. `fill` is null where no donor
+    shares a known column.
+    """
+    width = len(cols)
+    places = _places(df, cols, [cols.index(c) for c in fill])
+    donors = materialize(_donors(places, k))
     # The short key is written with the rows, so it stays the same whenever they are read again.
-    gaps = materialize(numbers.where(F.col(target).isNull()).select(*others).distinct().withColumn(
-        "key", F.monotonically_increasing_id()))
-    spaces = _spaces(gaps, donors, others)
-    mean = donors.agg(F.avg(target)).scalar()
-    if not spaces:
-        return gaps.select(*others, mean.alias("fill"))
-    width = max(len(_members(s, others)) for _, s, _ in spaces)
-    points, bits = _points(donors, target, others, spaces, k, width)
-    roots = []
-    for i, (receiver, shared, _) in enumerate(spaces):
-        own = _members(shared, others)
-        root = F.struct(
-            F.lit(i).alias("space"), F.lit(len(cols) / len(own)).alias("factor"),
-            _padded([F.col(c) for c in own], width, "double").alias("q"))
-        roots.append(F.when(_pattern(others) == receiver, root))
-    front = gaps.select("key", F.explode(F.filter(F.array(*roots), lambda r: r.isNotNull())).alias("__r"))
-    front = front.select("key", "__r.*")
-    # The first level has at most 2^(STEP * width) cells per space.
-    top = _nodes(points, bits - STEP, width).drop("parent")
-    small = 2 ** (STEP * width) * len(spaces) <= 100_000
-    front = _prune(front.join(F.broadcast(top) if small else top, "space"), k, width)
-    for shift in range(bits - 2 * STEP, -1, -STEP):
-        level = _nodes(points, shift, width).withColumnRenamed("cell", "__child")
-        down = front.join(
-            level.withColumnRenamed("parent", "cell"), ["space", "cell"]).drop("cell")
-        front = _prune(down.withColumnRenamed("__child", "cell"), k, width)
-    q, x = F.col("q"), F.col("x")
-    distance = F.col("factor") * _total(width, lambda i: _square(q[i] - x[i]))
-    near = front.join(points, ["space", "cell"]).select("key", distance.alias("d"), "v", "m")
+    gaps = materialize(places.where("v IS NULL").select("t", "x").distinct().withColumn("key", F.monotonically_increasing_id()))
+    tops = _tops(donors)
+    if not tops:
+        return gaps.select("t", "x", F.lit(None).cast("double").alias("fill"))
+    donors = materialize(_located(donors, tops, own=True))
+    tops = _bounded(tops, donors, width)
+    open_ = F.exists("x", lambda e: ~F.isnan(e)) & F.col("t").isin(*tops)
+    searching = materialize(_located(gaps.where(open_), tops, own=False))
+    near = materialize(_searched(donors, searching.withColumn("bound", F.lit(float("inf"))), k, width))
+    last = near.groupBy("key").agg(F.sum("m").alias("n"), F.max("d").alias("d"))
+    bound = F.when(F.col("n") >= k, F.col("d")).otherwise(F.lit(float("inf")))
+    further = searching.join(last, "key", "left").withColumn("bound", F.coalesce(bound, F.lit(float("inf"))))
+    further = materialize(_visits(further, tops, width))
+    near = near.unionByName(_searched(donors, further, k, width))
     order = W.partitionBy("key").orderBy("d", "v")
-    best = near.withColumn("__i", F.row_number().over(order)).where(F.col("__i") <= k)
+    best = near.withColumn("i", F.row_number().over(order)).where(F.col("i") <= k)
     before = F.coalesce(F.sum("m").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     share = F.greatest(F.least(F.col("m"), k - before), F.lit(0))
-    taken = best.withColumn("__w", share).groupBy("key").agg(
-        (F.sum(F.col("v") * F.col("__w")) / F.sum("__w")).alias("__fill"))
-    found = gaps.join(taken, "key", "left")
-    return found.select(*others, F.coalesce("__fill", mean).alias("fill"))
+    taken = best.withColumn("w", share).groupBy("key").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("fill"))
+    return gaps.join(taken, "key", "left").select("t", "x", "fill")
 
 
 def fill_knn(df: DataFrame, cols=None, k=5, fill=None) -> DataFrame:
     """Fill every gap with the mean of the k nearest rows that know the value.
 
     `cols` are the columns that make up the distance, `fill` those to fill (all by default).
-    Distances always use the values from before the filling.
+    Distances always use the values from before the filling. A gap that shares no known column
+    with any donor gets the column's mean; a column without any value stays unknown.
     """
     cols = list(cols or numeric_columns(df))
-    numbers = materialize(df.select(*cols))
-    any_gap = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in fill or cols])
+    fill = list(fill or cols)
+    q = lambda c: F.col(f"`{c}`")
+    numbers = materialize(df.select(*[q(c).cast("double").alias(c) for c in cols]))
+    facts = numbers.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(fill)], *[F.count(F.when(q(c).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(fill)]).first()
+    gappy = [c for i, c in enumerate(fill) if facts[f"n{i}"]]
+    if not gappy:
+        return df
+    means = materialize(neighbour_means(numbers.toDF(*[f"c{i}" for i in range(len(cols))]), [f"c{i}" for i in range(len(cols))], [f"c{cols.index(c)}" for c in gappy], k))
+    any_gap = reduce(lambda a, b: a | b, [q(c).isNull() for c in gappy])
     whole, out = df.where(~any_gap), df.where(any_gap)
-    out = out.withColumns({f"__k_{c}": F.col(c).cast("double") for c in cols})
-    for target in fill or cols:
-        if numbers.where(F.col(target).isNull()).isEmpty():
-            continue
-        others = [c for c in cols if c != target]
-        # Written, because the search is long and the rows join with its short result.
-        means = materialize(neighbour_means(numbers, target, cols, k).select(
-            *[F.col(c).alias(f"__k_{c}") for c in others], F.lit(True).alias("__gap"), "fill"))
-        keyed = out.withColumn("__gap", F.col(f"__k_{target}").isNull())
-        joined = join_same(keyed, means, [*[f"__k_{c}" for c in others], "__gap"], "left")
-        out = joined.withColumn(target, F.coalesce(F.col(target), "fill")).drop("fill", "__gap")
-    return whole.select(*[F.col(c).cast(out.schema[c].dataType).alias(c) for c in df.columns]).unionByName(
-        out.select(*df.columns))
+    nan = F.lit(float("nan"))
+    place = lambda c: F.when(q(c).isNull(), F.array(*[nan if o == c else F.coalesce(q(o).cast("double"), nan) for o in cols]))
+    out = out.withColumns({f"__x{i}": place(c) for i, c in enumerate(gappy)})
+    for i, c in enumerate(gappy):
+        own = means.where(F.col("t") == cols.index(c)).select(F.col("x").alias(f"__x{i}"), F.col("fill").alias("__fill"))
+        out = out.join(own, f"__x{i}", "left")
+        out = out.withColumn(c, F.coalesce(q(c).cast("double"), "__fill", F.lit(facts[f"m{fill.index(c)}"]))).drop("__fill")
+    return whole.select(*[q(c).cast(out.schema[c].dataType).alias(c) for c in df.columns]).unionByName(out.select(*[q(c) for c in df.columns]))

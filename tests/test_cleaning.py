@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from firn.functions.scalars import coerce_numbers, find_date_column, nan_to_null, one_hot
 from firn.operators import cleaning as C
 from firn.operators.isolation import drop_isolated
+from firn.operators import neighbours
+from firn.operators.kdtree import Nearest
 from firn.operators.neighbours import fill_knn
 from firn.operators.quantiles import exact_quantiles
 
@@ -81,6 +83,37 @@ def test_knn_equals_brute_force(spark, seed, n, hot):
         assert np.allclose([g[c] for g in got], _brute(rows, i, 5))
 
 
+def test_knn_over_many_cells_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 40)
+    monkeypatch.setattr(neighbours, "GAPS", 10)
+    test_knn_equals_brute_force(spark, 3, 500, 0.3)
+
+
+def test_knn_of_columns_without_help(spark):
+    rows = [(1, None, None, 2.0), (2, 4.0, None, None), (3, 8.0, None, None), (4, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, a double, `b.x` double, c double")
+    got = {r[0]: tuple(r)[1:] for r in fill_knn(df, ["a", "b.x", "c"]).collect()}
+    assert got == {1: (6.0, None, 2.0), 2: (4.0, None, 2.0), 3: (8.0, None, 2.0), 4: (6.0, None, 2.0)}
+    assert fill_knn(df.limit(0), ["a", "c"]).count() == 0
+
+
+@pytest.mark.parametrize("width", [2, 8])
+def test_knn_compares_few_pairs(width):
+    """Four times the donors and gaps cost about four times the pairs, not sixteen."""
+    rng = np.random.default_rng(1)
+
+    def compared(n):
+        base = rng.normal(size=(n, 2)) @ rng.normal(size=(2, width)) + 0.01 * rng.normal(size=(n, width))
+        near = Nearest(base, rng.normal(size=n), np.ones(n, np.int64), 5, width)
+        q = base[rng.permutation(n)] + 0.01
+        q[:: 4, 0] = np.nan
+        near.search(q, np.full(n, np.inf))
+        return near.compared
+
+    small, large = compared(2_000), compared(8_000)
+    assert large < 6 * small and large < 8_000 * 8_000 / 20
+
+
 def test_isolation_drops_the_far_rows(spark):
     rng = np.random.default_rng(0)
     x = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(1000, 2)))]
