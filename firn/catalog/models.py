@@ -138,11 +138,44 @@ def trend_only(spark, sf):
 @job("m7_seasonal_trend")
 def seasonal_trend(spark, sf):
     rows = daily(spark, sf)
-    model = SeasonalTrend(regressors=("temperature",), changepoints=10, waves=4).fit(rows)
+    model = SeasonalTrend(regressors=("temperature",)).fit(rows)
     return model.transform(rows).select(
         "station_id", day_text().alias("date"), "swe", "prediction", "lower", "upper")
 
 
+_DAY = "date_diff('day', DATE '1970-01-01', date)"
+
+
+@job("m7_components", f"""
+WITH o AS (SELECT station_id, date, {_DAY}::DOUBLE AS t, temperature AS x, swe AS y FROM station_daily WHERE swe IS NOT NULL AND temperature IS NOT NULL),
+lines AS (SELECT station_id, regr_slope(x, t) AS bx, regr_intercept(x, t) AS ax, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, greatest(avg(y * y), 1) AS scale FROM o GROUP BY 1),
+extra AS (SELECT station_id, sum((x - ax - bx * t) * (y - a - b * t)) / (sum((x - ax - bx * t) ** 2) + 0.0001 * any_value(scale)) AS c FROM o JOIN lines USING (station_id) GROUP BY 1),
+model AS (SELECT station_id, c, b - c * bx AS b, a - c * ax AS a FROM lines JOIN extra USING (station_id))
+SELECT d.station_id, CAST(date AS VARCHAR) AS date, {r2(f'a + b * {_DAY}')} AS trend, {r2('c * temperature')} AS extra,
+  {r2(f'a + b * {_DAY} + c * temperature')} AS prediction
+FROM station_daily d JOIN model USING (station_id)""")
+def trend_components(spark, sf):
+    """Trend and regressor parts without waves, where the fit has a closed form."""
+    rows = daily(spark, sf)
+    model = SeasonalTrend(regressors=("temperature",), changepoints=0, waves=0).fit(rows)
+    return model.transform(rows, components=True).select(
+        "station_id", day_text().alias("date"), *[fixed2(c).alias(c) for c in ("trend", "extra", "prediction")])
+
+
+@job("m7_future", """
+WITH last AS (SELECT station_id, max(date) AS d FROM station_daily GROUP BY 1)
+SELECT station_id, CAST(step AS INT) AS step, CAST(d + CAST(step AS INTEGER) AS VARCHAR) AS date, true AS known, true AS adds_up, true AS inside
+FROM last, (SELECT unnest(range(1, 31)) AS step) s""")
+def trend_future(spark, sf):
+    """Thirty days ahead at full size: every value known, inside its band, and the sum of its parts."""
+    rows = daily(spark, sf)
+    done = SeasonalTrend().fit(rows).future(rows, 30, components=True)
+    parts = F.col("trend") + F.col("season") + F.col("extra")
+    return done.select(
+        "station_id", "step", day_text().alias("date"), F.col("prediction").isNotNull().alias("known"),
+        (F.abs(parts - F.col("prediction")) < 1e-6).alias("adds_up"), F.col("prediction").between(F.col("lower"), F.col("upper")).alias("inside"))
+
+
 @job("m8_sequence_input", f"""
 WITH used AS (SELECT * FROM station_daily WHERE swe IS NOT NULL AND precipitation IS NOT NULL),
 scaled AS (SELECT station_id, date, {_scaled('used', 'precipitation', 'minmax')} AS p, {_scaled('used', 'swe', 'minmax')} AS s FROM used),
@@ -160,10 +193,37 @@ def sequence_input(spark, sf):
 @job("m8_sequence_forecast")
 def sequence_forecast(spark, sf):
     rows = daily(spark, sf)
-    model = SequenceForecaster(["precipitation", "swe"], steps=3, settings=Linear("ridge", 0.1)).fit(rows)
+    model = SequenceForecaster(["precipitation", "swe"], settings=Linear("ridge", 0.1)).fit(rows)
     return error_metrics(model.transform(rows), "swe", "prediction")
 
 
+@job("m10_sequence_steps", f"""
+WITH RECURSIVE known AS (SELECT station_id, date, swe, lag(swe) OVER (PARTITION BY station_id ORDER BY date) AS before
+    FROM station_daily WHERE swe IS NOT NULL),
+line AS (SELECT regr_slope(swe, before) AS b, regr_intercept(swe, before) AS a FROM known),
+steps AS (SELECT station_id, 0 AS step, max(date) AS last, arg_max(swe, date) AS p, count(*) AS n FROM known GROUP BY 1
+  UNION ALL SELECT station_id, step + 1, last, a + b * p, n FROM steps, line WHERE step < 30)
+SELECT station_id, step, CAST(last + CAST(step AS INTEGER) AS VARCHAR) AS date, {r4('p')} AS prediction FROM steps WHERE step > 0""")
+def sequence_steps(spark, sf):
+    """A linear model on windows of one row, where thirty rolled steps have a closed form."""
+    rows = daily(spark, sf)
+    model = SequenceForecaster(["swe"], steps=1, settings=Linear()).fit(rows)
+    done = model.forecast(rows, 30)
+    return done.select("station_id", "step", day_text().alias("date"), fixed4("prediction").alias("prediction"))
+
+
+@job("m10_sequence_windows", """
+SELECT station_id, CAST(step AS INT) AS step, n >= 7 AS known
+FROM (SELECT station_id, count(*) AS n FROM station_daily WHERE swe IS NOT NULL AND precipitation IS NOT NULL GROUP BY 1) s,
+     (SELECT unnest(range(1, 31)) AS step) t""")
+def sequence_steps_ahead(spark, sf):
+    """Thirty steps of week-long windows of two inputs; stations with a week of known rows have them all."""
+    rows = daily(spark, sf)
+    model = SequenceForecaster(["precipitation", "swe"], settings=Linear("ridge", 0.1)).fit(rows)
+    done = model.forecast(rows, 30)
+    return done.select("station_id", "step", F.col("prediction").isNotNull().alias("known"))
+
+
 @job("m9_predict", f"""WITH {MOMENTS}
 SELECT {OBS}, swe, {r4('my - c / v * mx + c / v * precipitation')} AS prediction
 FROM station_daily, m""")

@@ -1,7 +1,8 @@
 """Seasonal-trend regression per station: piecewise trend, yearly waves, extra regressors.
 
-The normal equations are sums of outer products. Spark adds them up per station with partial
-sums in every task, so a hot station is no problem; only the small solve runs in Python.
+The normal equations are sums of outer products. The rows of a station come to a task sorted by
+station, and each Arrow batch adds one matrix product per station to them. Hot stations are dealt to several
+tasks; the few partial matrices of a station are summed and solved, many stations at once.
 """
 
 import json
@@ -9,12 +10,14 @@ import math
 from dataclasses import dataclass, fields
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from firn.operators.series import join_same
+from firn.operators.series import Series, hot_keys, join_same
+from firn.session import materialize
+
+#: Tasks that share the rows of a hot station; stations solved at once.
+PARTS, AT_ONCE = 64, 64
 
 
 @dataclass
@@ -46,10 +49,13 @@ class SeasonalTrend:
     def _day(self):
         return F.datediff(self.date, F.lit("1970-01-01").cast("date")).cast("double")
 
+    def _cuts(self):
+        return [self.changepoint_range * (i + 1) / self.changepoints for i in range(self.changepoints)]
+
     def design(self):
         """The row's regressors as one array column."""
         t = (self._day() - self.start) / self.span
-        cuts = [self.changepoint_range * (i + 1) / self.changepoints for i in range(self.changepoints)]
+        cuts = self._cuts()
         turn = 2 * math.pi / 365.25
         waves = [fn(self._day() * (turn * k)) for k in range(1, self.waves + 1) for fn in (F.sin, F.cos)]
         return F.array(F.lit(1.0), t, *[F.greatest(t - c, F.lit(0.0)) for c in cuts], *waves,
@@ -70,50 +76,124 @@ class SeasonalTrend:
         if lo is None:
             raise ValueError("No rows to fit")
         self.start, self.span = lo, max(hi - lo, 1.0)
-        p = self._names()
-        rows = used.select(*self.keys, F.concat(self.design(), F.array(self._y())).alias("__x"))
-        upper = F.flatten(F.transform("__x", lambda a, i: F.transform(
-            F.slice("__x", i + 1, p + 1), lambda b: a * b)))
-        sums = rows.select(*self.keys, array_to_vector(upper).alias("__g")).groupBy(*self.keys).agg(
-            vector_to_array(Summarizer.sum(F.col("__g"))).alias("gram"), F.count("*").alias("row_count"))
-        penalty = self._penalty()
-
-        @F.pandas_udf("struct<coef: array<double>, sigma: double>")
-        def solve(gram: pd.Series, n: pd.Series) -> pd.DataFrame:
-            out = []
-            for g, count in zip(gram, n):
-                full = np.zeros((p + 1, p + 1))
-                full[np.triu_indices(p + 1)] = g
-                full = full + np.triu(full, 1).T
-                xx, xy, yy = full[:p, :p], full[:p, p], full[p, p]
-                scale = max(yy / count, 1e-12)
-                coef = np.linalg.solve(xx + np.diag(np.array(penalty) * max(scale, 1.0)) + 1e-10 * np.eye(p), xy)
-                sse = max(float(yy - 2 * coef @ xy + coef @ xx @ coef), 0.0)
-                out.append((coef.tolist(), math.sqrt(sse / max(count - 1, 1))))
-            return pd.DataFrame(out, columns=["coef", "sigma"])
-
-        self.table = sums.select(*self.keys, "row_count", solve("gram", "row_count").alias("__m")).select(
-            *self.keys, "row_count", "__m.coef", "__m.sigma")
+        part = F.lit(0)
+        hot = hot_keys(used, Series(self.keys, (self.date,)))
+        if hot is not None:
+            used = join_same(used, hot.withColumn("__hot", F.lit(True)), self.keys, "left")
+            part = F.when(F.col("__hot"), F.pmod(F.xxhash64(self.date, self.target, *self.regressors), F.lit(PARTS))).otherwise(F.lit(0))
+        group = F.struct(*self.keys)
+        rows = used.select(group.alias("g"), part.cast("int").alias("part"), self._day().alias("day"), *[
+            F.col(r).cast("double").alias(f"r{i}") for i, r in enumerate(self.regressors)], self._y().alias("y"))
+        rows = rows.repartition("g", "part").sortWithinPartitions("g", "part")
+        kind = rows.schema["g"].dataType.simpleString()
+        sums = rows.mapInArrow(self._products(), f"g {kind}, gram array<double>, n long")
+        solved = sums.repartition("g").sortWithinPartitions("g").mapInArrow(
+            self._solve(), f"g {kind}, row_count long, coef array<double>, sigma double")
+        self.table = materialize(solved.select("g.*", "row_count", "coef", "sigma"))
         return self
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Add `prediction`, `lower` and `upper`, NULL for stations without a model."""
+    def _products(self):
+        """Per station and task the upper part of the matrix of all products of its design and target."""
+        start, span, cuts, waves, width = self.start, self.span, self._cuts(), self.waves, self._names()
+        upper = np.triu_indices(width + 1)
+
+        def run(batches):
+            last, total, n = None, None, 0
+
+            def row():
+                return pa.RecordBatch.from_arrays([last, pa.array([total[upper].tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], names=["g", "gram", "n"])
+
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                g = b.column("g").to_pylist()
+                day = b.column("day").to_numpy()
+                t = (day - start) / span
+                turn = 2 * math.pi / 365.25
+                x = np.column_stack([
+                    np.ones(len(t)), t, *[np.maximum(t - c, 0.0) for c in cuts],
+                    *[fn(day * (turn * k)) for k in range(1, waves + 1) for fn in (np.sin, np.cos)],
+                    *[b.column(c).to_numpy() for c in b.schema.names if c not in ("g", "part", "day", "y")], b.column("y").to_numpy()])
+                starts = [i for i in range(len(g)) if i == 0 or g[i] != g[i - 1]]
+                for lo, hi in zip(starts, [*starts[1:], len(g)]):
+                    if last is None or g[lo] != last[0].as_py():
+                        if last is not None:
+                            yield row()
+                        last, total, n = b.column("g").slice(lo, 1), np.zeros((width + 1, width + 1)), 0
+                    total += x[lo:hi].T @ x[lo:hi]
+                    n += hi - lo
+            if last is not None:
+                yield row()
+
+        return run
+
+    def _solve(self):
+        width, penalty = self._names(), np.array(self._penalty())
+
+        def run(batches):
+            keys, grams, counts = [], [], []
+
+            def solved(count):
+                full = np.zeros((count, width + 1, width + 1))
+                up = np.triu_indices(width + 1)
+                full[:, up[0], up[1]] = np.array(grams[:count])
+                full += np.triu(full, 1).transpose(0, 2, 1)
+                n = np.array(counts[:count], float)
+                xx, xy, yy = full[:, :width, :width], full[:, :width, width], full[:, width, width]
+                scale = np.maximum(yy / n, 1.0)
+                ridge = (penalty[None, :] * scale[:, None] + 1e-10)[:, :, None] * np.eye(width)
+                coef = np.linalg.solve(xx + ridge, xy[:, :, None])[:, :, 0]
+                sse = np.maximum(yy - 2 * (coef * xy).sum(axis=1) + np.einsum("ki,kij,kj->k", coef, xx, coef), 0.0)
+                sigma = np.sqrt(sse / np.maximum(n - 1, 1))
+                out = pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays(keys[:count]), pa.array(counts[:count], pa.int64()), pa.array(coef.tolist(), pa.list_(pa.float64())), pa.array(sigma)],
+                    names=["g", "row_count", "coef", "sigma"])
+                del keys[:count], grams[:count], counts[:count]
+                return out
+
+            for b in batches:
+                gram = b.column("gram").flatten().to_numpy().reshape(b.num_rows, -1)
+                for i, (g, n) in enumerate(zip(b.column("g").to_pylist(), b.column("n").to_pylist())):
+                    if keys and keys[-1][0].as_py() == g:  # another part of the same station
+                        grams[-1] = grams[-1] + gram[i]
+                        counts[-1] += n
+                        continue
+                    if len(keys) >= AT_ONCE:
+                        yield solved(len(keys))
+                    keys.append(b.column("g").slice(i, 1))
+                    grams.append(gram[i])
+                    counts.append(n)
+            if keys:
+                yield solved(len(keys))
+
+        return run
+
+    def transform(self, df: DataFrame, components=False) -> DataFrame:
+        """Add `prediction`, `lower` and `upper`, NULL for stations without a model.
+
+        With `components` also `trend`, `season` and `extra` (the regressors), which add up to the
+        prediction, or multiply to it in multiplicative mode.
+        """
         from statistics import NormalDist
 
         if self.table is None:
             raise RuntimeError("Call fit before predict")
         z = NormalDist().inv_cdf(0.5 + self.interval / 2)
         joined = join_same(df, self.table.drop("row_count"), self.keys, "left")
-        fitted = F.aggregate(F.zip_with("coef", self.design(), lambda a, b: a * b), F.lit(0.0),
-                             lambda s, x: s + x)
+        terms = F.zip_with("coef", self.design(), lambda a, b: a * b)
+        add = lambda part: F.when(F.col("coef").isNotNull(), F.aggregate(part, F.lit(0.0), lambda s, x: s + x))
+        ends = [0, 2 + self.changepoints, 2 + self.changepoints + 2 * self.waves, self._names()]
+        parts = {name: add(F.slice("__terms", lo + 1, hi - lo)) for name, lo, hi in zip(("trend", "season", "extra"), ends, ends[1:])}
+        fitted = add(F.col("__terms"))
         back = F.exp if self.mode == "multiplicative" else (lambda c: c)
-        return joined.withColumn("__fit", fitted).withColumns({
+        return joined.withColumn("__terms", terms).withColumn("__fit", fitted).withColumns({
+            **({name: back(part) for name, part in parts.items()} if components else {}),
             "prediction": back(F.col("__fit")),
             "lower": back(F.col("__fit") - z * F.col("sigma")),
             "upper": back(F.col("__fit") + z * F.col("sigma")),
-        }).drop("__fit", "coef", "sigma")
+        }).drop("__fit", "__terms", "coef", "sigma")
 
-    def future(self, history: DataFrame, periods=30, step_days=1) -> DataFrame:
+    def future(self, history: DataFrame, periods=30, step_days=1, components=False) -> DataFrame:
         """Predictions for the days after the last one of every station (no extra regressors)."""
         if self.regressors:
             raise ValueError("Give future regressor values to transform instead")
@@ -121,7 +201,7 @@ class SeasonalTrend:
         steps = F.explode(F.sequence(F.lit(1), F.lit(periods)))
         grid = last.withColumn("step", steps).withColumn(
             self.date, F.date_add("__last", F.col("step") * step_days)).drop("__last")
-        return self.transform(grid)
+        return self.transform(grid, components)
 
     def save(self, folder: str):
         """Model rows and all settings below one folder."""

@@ -93,8 +93,8 @@ def index_trend(index: DataFrame, col="oni", windows=(3, 12)) -> DataFrame:
     )
 
 
-def sequence_windows(df, features, target, steps, series=Series(), hot="find") -> DataFrame:
-    """`steps` earlier feature vectors and the current target; short histories are dropped."""
+def sequence_windows(df, features, target, steps, series=Series(), hot="find", short=False) -> DataFrame:
+    """`steps` earlier feature vectors and the current target; short histories are dropped unless `short`."""
 
     def build(w):
         frame = w.rowsBetween(-steps, -1)
@@ -102,4 +102,5 @@ def sequence_windows(df, features, target, steps, series=Series(), hot="find") -
         return {"sequence": F.collect_list(vector).over(frame)}
 
     made = over_rows(df, series, steps, build, hot)
-    return made.where(F.size("sequence") == steps).withColumn("label", F.col(target))
+    kept = made if short else made.where(F.size("sequence") == steps)
+    return kept.withColumn("label", F.col(target))

@@ -182,6 +182,45 @@ def test_every_row_gets_a_place_in_the_predictions(spark):
         Forest(max_depth=31).stage(df, "y", None)
 
 
+def test_trend_parts_of_hot_stations_and_components(spark, monkeypatch):
+    from firn.models import trend
+    from firn.operators.series import Series, hot_keys
+
+    days = spark.range(0, 900).select(
+        F.when(F.col("id") < 800, "hot").otherwise("cold").alias("station_id"), F.date_add(F.lit("2010-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+        (5 + F.sin("id") + 0.001 * F.col("id")).alias("swe"), F.cos(F.col("id") * 0.7).alias("x"))
+    made = lambda: SeasonalTrend(regressors=("x",), changepoints=2, waves=2).fit(days).transform(days, components=True)
+    plain = made()
+    monkeypatch.setattr(trend, "hot_keys", lambda df, s: hot_keys(df, Series(s.keys, s.order, 500)))
+    same_rows(made(), plain, 6)
+    off = F.abs(F.col("trend") + F.col("season") + F.col("extra") - F.col("prediction"))
+    assert plain.agg(F.max(off)).first()[0] < 1e-9
+    times = SeasonalTrend(changepoints=2, waves=2, mode="multiplicative").fit(days).transform(days, components=True)
+    off = F.abs(F.col("trend") * F.col("season") * F.col("extra") - F.col("prediction"))
+    assert times.agg(F.max(off)).first()[0] < 1e-9
+
+
+def test_rolled_steps_of_a_sequence_model(spark):
+    days = spark.range(0, 60).select(
+        F.lit("s").alias("station_id"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+        (10 + 5 * F.sin(F.col("id") * 0.5)).alias("swe"), F.cos(F.col("id") * 0.3).alias("x"))
+    few = days.limit(2).withColumn("station_id", F.lit("few"))
+    model = SequenceForecaster(["x", "swe"], steps=4, settings=Linear("ridge", 0.001)).fit(days)
+    every = model.transform(days.unionByName(few).withColumn("swe", F.when(F.col("date") != "2020-01-20", F.col("swe"))))
+    assert every.count() == 62 and every.where("prediction IS NULL").count() == 4 + 2 + 1
+    early = days.where("date < '2020-02-20'")
+    ahead = {(r.station_id, r.step): r.prediction for r in model.forecast(early.unionByName(few), 6).collect()}
+    first = model.transform(days).where("date = '2020-02-20'").first().prediction
+    assert np.isclose(ahead["s", 1], first) and ahead["few", 1] is None and len(ahead) == 12
+    # with the other input given, later steps follow from the rows before them and the predictions
+    given = {r.step: r.prediction for r in model.forecast(early, 6, days.select("station_id", "date", "x")).collect()}
+    grown = early
+    for step in range(1, 7):
+        day = days.where(F.col("date") == F.date_add(F.lit("2020-02-19").cast("date"), step))
+        assert np.isclose(given[step], model.transform(grown.unionByName(day)).orderBy(F.desc("date")).first().prediction)
+        grown = grown.unionByName(day.withColumn("swe", F.lit(given[step])))
+
+
 def test_trend_keeps_settings_and_unknown_stations(spark, tmp_path):
     days = spark.range(0, 200).select(
         F.lit("s").alias("station_id"), F.date_add(F.lit("2010-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
