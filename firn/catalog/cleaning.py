@@ -6,8 +6,9 @@ from firn.catalog.joins import history
 from firn.catalog.registry import day_text, fixed4, job
 from firn.catalog.views import r4, stored, view
 from firn.operators import cleaning as C
-from firn.operators.isolation import drop_isolated
+from firn.operators.isolation import anomaly_scores, drop_isolated
 from firn.operators.neighbours import fill_knn as fill_neighbours
+from firn.session import materialize
 
 OBS = "station_id, CAST(date AS VARCHAR) AS date"
 
@@ -168,6 +169,22 @@ def isolation_forest(spark, sf):
         "date", day_text())
 
 
+@job("c11_isolation_rows", f"""WITH {SPIKED}
+SELECT count(*) AS row_count, true AS five_percent_gone, true AS incomplete_stay, true AS far_rows_gone_first FROM spiked""")
+def isolation_rows(spark, sf):
+    """What the forest drops: five of a hundred complete rows, and those farther out than the kept ones."""
+    rows = spiked(spark, sf)
+    cols = ["swe", "precipitation", "temperature"]
+    scored = materialize(anomaly_scores(rows, cols))
+    kept = drop_isolated(rows, cols)
+    facts = scored.agg(F.count("*").alias("row_count"), F.count("anomaly_score").alias("known"), F.corr(F.abs(F.col("swe") - scored.agg(F.avg("swe")).scalar()), "anomaly_score").alias("far"))
+    left = kept.agg(F.count("*").alias("kept"), F.count(F.when(F.col("swe").isNull() | F.col("precipitation").isNull() | F.col("temperature").isNull(), 1)).alias("incomplete"))
+    gone = 1 - (F.col("kept") - F.col("incomplete")) / F.col("known")
+    return facts.crossJoin(left).select(
+        "row_count", gone.between(0.04, 0.0501).alias("five_percent_gone"), (F.col("incomplete") == F.col("row_count") - F.col("known")).alias("incomplete_stay"),
+        (F.col("far") > 0).alias("far_rows_gone_first"))
+
+
 @job("c12_drop_constant_columns", f"""WITH {WIDER}
 SELECT {OBS}, swe, precipitation, temperature, rare, row_code FROM wider""")
 def drop_constant(spark, sf):

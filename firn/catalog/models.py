@@ -11,6 +11,7 @@ from firn.catalog.rules import importance
 from firn.catalog.views import r2, r4, stored, view
 from firn.catalog.windows import _over
 from firn.models import features as M
+from firn.models.boosting import BoostedTrees
 from firn.models.experiments import DEFAULT_EXPERIMENTS, run_experiments
 from firn.models.forecast import forecast_steps
 from firn.models.outlook import WinterOutlook, backtest
@@ -124,6 +125,39 @@ def boosting(spark, sf):
     return f.fit(train).evaluate(test)
 
 
+@job("m6_gap_split", f"""
+WITH base AS (SELECT avg(swe) AS m FROM station_daily),
+flags AS (SELECT station_id, date, swe, CASE WHEN precipitation > 25 THEN 1 WHEN precipitation <= 25 THEN 0 END AS f FROM station_daily),
+s AS (SELECT coalesce(sum(swe - m) FILTER (f = 0), 0) AS g0, count(*) FILTER (f = 0) AS n0, coalesce(sum(swe - m) FILTER (f = 1), 0) AS g1,
+    count(*) FILTER (f = 1) AS n1, coalesce(sum(swe - m) FILTER (f IS NULL), 0) AS g, count(*) FILTER (f IS NULL) AS n FROM flags, base WHERE swe IS NOT NULL),
+gains AS (SELECT *, (g0 + g) ** 2 / (n0 + n + 1) + g1 ** 2 / (n1 + 1) >= g0 ** 2 / (n0 + 1) + (g1 + g) ** 2 / (n1 + n + 1) AS gap_low FROM s),
+sides AS (SELECT gap_low, CASE WHEN gap_low THEN (g0 + g) / (n0 + n + 1) ELSE g0 / (n0 + 1) END AS low,
+    CASE WHEN gap_low THEN g1 / (n1 + 1) ELSE (g1 + g) / (n1 + n + 1) END AS high FROM gains)
+SELECT {OBS}, {r4('m + CASE WHEN f = 0 OR (f IS NULL AND gap_low) THEN low ELSE high END')} AS prediction FROM flags, base, sides""")
+def gap_split(spark, sf):
+    """One boosted tree on a flag: rows that do not know it go the way learned for them."""
+    flag = F.when(F.col("precipitation") > 25, 1.0).when(F.col("precipitation") <= 25, 0.0)
+    rows = daily(spark, sf).withColumn("flag", flag)
+    model = BoostedTrees(["flag"], "swe", rounds=1, max_depth=1, learning_rate=1.0, row_share=1.0, column_share=1.0).fit(rows)
+    return model.transform(rows).select("station_id", day_text().alias("date"), fixed4("prediction").alias("prediction"))
+
+
+def boosted(spark, sf):
+    rows = training(spark, sf).withColumn("late", F.pmod(F.xxhash64("station_id", "date"), F.lit(5)) == 0)
+    return rows, BoostedTrees(SIMPLE, "swe", validation="late").fit(rows)
+
+
+@job("m6_boosted_rows", """
+SELECT count(*) AS row_count, count(*) AS predicted, true AS better_than_mean FROM station_daily""")
+def boosted_rows(spark, sf):
+    """Two hundred rounds of depth six, fewer where the held-out error stops falling; every row is answered."""
+    rows, model = boosted(spark, sf)
+    done = model.transform(rows)
+    error = lambda p: F.sum(F.when(F.col("swe").isNotNull(), F.pow(F.col("swe") - p, 2)))
+    return done.agg(F.count("*").alias("row_count"), F.count("prediction").alias("predicted"),
+                    (error(F.col("prediction")) < error(F.lit(model.base))).alias("better_than_mean"))
+
+
 @job("m7_trend_only", f"""
 WITH line AS (SELECT station_id, regr_slope(swe, date_diff('day', DATE '1970-01-01', date)) AS b,
     regr_intercept(swe, date_diff('day', DATE '1970-01-01', date)) AS a FROM station_daily WHERE swe IS NOT NULL GROUP BY 1)
@@ -276,6 +310,18 @@ def model_importance(spark, sf):
     return Forecaster(Forest(trees=8, max_depth=5), SIMPLE, "swe").fit(training(spark, sf)).importance()
 
 
+@job("m11_split_counts", """
+SELECT count(*) > 0 AS any_split, true AS equal_to_nodes, true AS sums_to_one FROM station_daily""")
+def split_counts(spark, sf):
+    """Importance by split counts against the model's node table."""
+    model = BoostedTrees(SIMPLE, "swe", rounds=5, max_depth=4).fit(training(spark, sf))
+    nodes = model.node_table(spark).where("feature IS NOT NULL")
+    counted = nodes.groupBy("feature").agg(F.count("*").alias("n"))
+    both = model.importance().join(counted, "feature", "full").crossJoin(nodes.agg(F.count("*").alias("total")))
+    return both.agg((F.max("total") > 0).alias("any_split"), F.bool_and(F.abs(F.col("importance") - F.col("n") / F.col("total")) < 1e-12).alias("equal_to_nodes"),
+                    (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"))
+
+
 def small_outlook(spark, sf):
     return WinterOutlook(trees=10, max_depth=6).fit(history(spark, sf))
 

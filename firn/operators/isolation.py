@@ -1,13 +1,16 @@
 """Isolation-forest outlier removal: trees from small samples, scores on every row.
 
-The forest is small by definition (`trees` x `sample` rows), so it is grown from one bounded
-sample and shipped to the tasks that score the table. The cut is an exact quantile.
+Every tree samples by a hash of the rows and grows in a task of its own. The forest is small by
+definition (`trees` x `sample` rows) and shipped to the tasks that score the table. The cut is an
+exact quantile.
 """
 
+import json
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from firn.functions.scalars import numeric_columns
@@ -17,6 +20,10 @@ from firn.session import materialize
 TREES, SAMPLE = 100, 256
 
 
+def quoted(name):
+    return f"`{name}`"
+
+
 def _path_bonus(n):
     """Mean depth of an unsuccessful search among n points."""
     if n <= 1:
@@ -27,7 +34,7 @@ def _path_bonus(n):
 
 
 def _grow(points, rng, depth, limit):
-    """Nested (feature, cut, left, right) tuples; a leaf is its expected path length."""
+    """Nested (feature, cut, left, right); a leaf is its expected path length."""
     spread = points.max(axis=0) - points.min(axis=0) if len(points) else np.zeros(1)
     usable = np.flatnonzero(spread > 0)
     if depth >= limit or len(points) <= 1 or len(usable) == 0:
@@ -49,33 +56,62 @@ def _depths(node, x, rows, out):
     _depths(right, x, rows[~below], out)
 
 
+def _numbers(df, cols):
+    return [F.col(quoted(c)).cast("double") for c in cols]
+
+
+def _spread(h, tree):
+    """The hash of a row for one tree."""
+    with np.errstate(over="ignore"):
+        h = (h ^ np.uint64((tree + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _sampled(df: DataFrame, cols, seed, trees, sample) -> DataFrame:
+    """(tree, h, x): every tree's rows with the smallest hashes, at most `sample` from each task."""
+    rows = df.select(F.xxhash64(F.lit(seed), *[F.col(quoted(c)) for c in df.columns]).alias("h"), F.array(*_numbers(df, cols)).alias("x"))
+    rows = rows.where(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    width = len(cols)
+
+    def run(batches):
+        held_h, held_x = [np.zeros(0, np.uint64)] * trees, [np.zeros((0, width))] * trees
+        for b in batches:
+            if not b.num_rows:
+                continue
+            base, x = b.column("h").to_numpy().view(np.uint64), b.column("x").flatten().to_numpy().reshape(-1, width)
+            for t in range(trees):
+                h = np.concatenate([held_h[t], _spread(base, t)])
+                every = np.concatenate([held_x[t], x])
+                if len(h) > sample:
+                    small = np.argpartition(h, sample - 1)[:sample]
+                    h, every = h[small], every[small]
+                held_h[t], held_x[t] = h, every
+        for t in range(trees):
+            if len(held_h[t]):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(held_h[t]), t, np.int32)), pa.array((held_h[t] ^ np.uint64(1 << 63)).view(np.int64)), pa.array(held_x[t].tolist(), pa.list_(pa.float64()))],
+                    names=["tree", "h", "x"])
+
+    return rows.mapInArrow(run, "tree int, h long, x array<double>")
+
+
 def grow_forest(df: DataFrame, cols, seed=42, trees=TREES, sample=SAMPLE):
-    """Trees over a small random sample; every row, copies too, is as likely as any other.
+    """Each tree grows in its own task from the `sample` rows with the smallest hashes for it.
 
-    Big tables are thinned first, so each task hands on a few rows. Only the sample, `trees` x
-    `sample` rows at most, reaches the driver.
+    A row's hash comes from the seed and all its columns, so the layout of the table does not
+    matter, and one rule serves every size; equal rows have equal hashes and are all alike. Only
+    the finished trees reach the driver.
     """
-    known = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
-    want, total = trees * sample, known.count()
-    if total > want:
-        known = known.withColumn("__r", F.rand(seed)).where(
-            F.col("__r") < min(1.0, 2 * want / total + 1e-9)).orderBy("__r").limit(want).drop("__r")
-    else:
-        known = known.orderBy(*cols)
-    pool = np.array([tuple(r) for r in known.collect()], dtype=float).reshape(-1, len(cols))
-    if len(pool) == 0:
-        return [], 1
-    size = min(sample, len(pool))
-    limit = max(1, math.ceil(math.log2(max(size, 2))))
-    forest = []
-    for t in range(trees):
-        rng = np.random.default_rng([seed, t])
-        if len(pool) >= trees * sample:
-            rows = np.arange(t, trees * sample, trees)
-        else:
-            rows = rng.choice(len(pool), size, replace=False)
-        forest.append(_grow(pool[rows], rng, 0, limit))
-    return forest, size
+    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(text=rows.x.map(lambda v: tuple(v))).sort_values(["h", "text"]).head(sample)
+        points = np.array(rows.x.tolist(), float).reshape(len(rows), -1)
+        limit = max(1, math.ceil(math.log2(max(len(points), 2))))
+        tree = _grow(points, np.random.default_rng([seed, key[0]]), 0, limit)
+        return pd.DataFrame({"tree": [key[0]], "size": [len(points)], "body": [json.dumps(tree)]})
+
+    grown = _sampled(df, cols, seed, trees, sample).groupBy("tree").applyInPandas(grow, "tree int, size int, body string").collect()
+    grown = sorted(grown, key=lambda r: r.tree)
+    return [json.loads(r.body) for r in grown], (grown[0]["size"] if grown else 1)
 
 
 def anomaly_scores(df: DataFrame, cols=None, seed=42, trees=TREES, sample=SAMPLE,
@@ -97,7 +133,7 @@ def anomaly_scores(df: DataFrame, cols=None, seed=42, trees=TREES, sample=SAMPLE
         result = np.exp2(-total / max(len(shipped.value), 1) / scale)
         return pd.Series(np.where(known, result, np.nan))
 
-    scored = df.withColumn(name, score(*[F.col(c).cast("double") for c in cols]))
+    scored = df.withColumn(name, score(*_numbers(df, cols)))
     return scored.withColumn(name, F.when(~F.isnan(name), F.col(name)))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from firn.functions.scalars import coerce_numbers, find_date_column, nan_to_null, one_hot
 from firn.operators import cleaning as C
-from firn.operators.isolation import drop_isolated
+from firn.operators.isolation import anomaly_scores, drop_isolated
 from firn.operators import neighbours
 from firn.operators.kdtree import Nearest
 from firn.operators.neighbours import fill_knn
@@ -128,6 +128,21 @@ def test_isolation_drops_the_far_rows(spark):
     assert 0.94 <= thin.count() / len(x) <= 0.98 and thin.where("id >= 1000").count() == 0
 
 
+def test_isolation_does_not_follow_the_layout(spark):
+    rng = np.random.default_rng(1)
+    x = [(i, float(a), None if i % 50 == 0 else float(b)) for i, (a, b) in enumerate(rng.normal(size=(3000, 2)))]
+    df = spark.createDataFrame(x + x[:40], "id int, `a.x` double, b double")
+    score = lambda n: sorted((r.id, r.anomaly_score) for r in anomaly_scores(df.repartition(n), ["a.x", "b"], trees=20, sample=64).collect() if r.anomaly_score is not None)
+    three, seven = score(3), score(7)
+    assert three == seven and len(three) == 3040 - 61 and len({v for _, v in three}) > 100
+
+
+def test_isolation_of_small_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, None)], "id int, a double")
+    assert anomaly_scores(df, ["a"], trees=5).where("anomaly_score IS NOT NULL").count() == 2
+    assert drop_isolated(df.limit(0), ["a"], trees=5).count() == 0
+
+
 def test_interpolation_edges(spark):
     rows = [("a", 1, None), ("a", 2, 10.0), ("a", 3, None), ("a", 6, 50.0), ("a", 9, None), ("b", 2, None)]
     df = spark.createDataFrame(rows, "station_id string, d int, swe double").select(
