@@ -35,11 +35,22 @@ def merge_shared(df: DataFrame, cols, suffixes=("_snow", "_clim")) -> DataFrame:
 
 
 def join_index_exact(df: DataFrame, index: DataFrame, date="date", index_date="date") -> DataFrame:
-    """Index values on days that carry the index date itself; a calendar-bounded broadcast."""
-    index = index.withColumnRenamed(index_date, "__index_date")
-    one = index.groupBy("__index_date").agg(*[
-        F.any_value(c).alias(c) for c in index.columns if c != "__index_date"])
-    return df.join(F.broadcast(one), df[date] == one["__index_date"], "left").drop("__index_date")
+    """Index values on days that carry the index date itself; a calendar-bounded broadcast.
+
+    Of several index rows of a day the latest counts, of equal ones the largest.
+    """
+    cols = [c for c in index.columns if c != index_date]
+    one = _one_per_day(index, index_date, "__index_date")
+    return df.join(F.broadcast(one), df[date].cast("date") == one["__index_date"], "left").select(
+        *[df[c] for c in df.columns], *[one[c] for c in cols])
+
+
+def _one_per_day(index: DataFrame, index_date, name) -> DataFrame:
+    """The last row of every calendar day; among equals the largest, so that reruns agree."""
+    cols = [c for c in index.columns if c != index_date]
+    last = F.max(F.struct(F.col(index_date).alias("__at"), *cols)).alias("__row")
+    known = index.where(F.col(index_date).isNotNull())
+    return known.groupBy(F.col(index_date).cast("date").alias(name)).agg(last).select(name, *[F.col(f"__row.{c}").alias(c) for c in cols])
 
 
 def join_index_month(df: DataFrame, index: DataFrame, date="date", index_date="date") -> DataFrame:
@@ -60,9 +71,7 @@ def join_index_as_of(df: DataFrame, index: DataFrame, date="date", index_date="d
     so it is broadcast, and the one keyless window runs over at most that many rows.
     """
     cols = [c for c in index.columns if c != index_date]
-    per_day = index.where(F.col(index_date).isNotNull()).groupBy(
-        F.col(index_date).cast("date").alias("__from")).agg(
-        *[F.any_value(c).alias(c) for c in cols])
+    per_day = _one_per_day(index, index_date, "__from")
     following = F.lead("__from").over(W.orderBy("__from"))
     valid = (
         per_day.withColumn("__until", F.coalesce(F.date_sub(following, 1), F.col("__from")))

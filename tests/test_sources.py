@@ -92,3 +92,11 @@ def test_written_tables_go_to_the_named_folder(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(session, "configured_folder", lambda s: None)
     assert session.shared_folder(spark) == session.shared_folder(spark)
     same_rows(session.materialize(df), df)
+
+
+def test_repeated_index_dates_give_the_last_row(spark):
+    days = spark.createDataFrame([("2020-01-05",), ("2020-01-09",)], "d string").select(F.col("d").cast("date").alias("date"))
+    at = F.col("t").cast("timestamp").alias("date")
+    index = spark.createDataFrame([("2020-01-05 06:00:00", 1.0), ("2020-01-05 18:00:00", 0.5), ("2020-01-05 18:00:00", 0.7), (None, 9.0)], "t string, oni double").select(at, "oni")
+    assert [tuple(r)[1] for r in J.join_index_exact(days, index).orderBy("date").collect()] == [0.7, None]
+    assert [tuple(r)[1] for r in J.join_index_as_of(days, index).orderBy("date").collect()] == [0.7, 0.7]
