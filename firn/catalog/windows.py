@@ -1,11 +1,13 @@
 """Window features over the station and index views."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from firn.catalog.registry import day_text, fixed4, job
 from firn.catalog.views import r4, stored, view
 from firn.functions import scalars as N
-from firn.operators import aggregates as A, windows as W
+from firn.operators import aggregates as A, suggested as S, windows as W
 from firn.operators.joins import split_years
 from firn.operators.series import Series, positions
 from firn.session import materialize
@@ -62,6 +64,45 @@ def rolling_sum(spark, sf):
     return shown(W.add_window_columns(stations(spark, sf, "precipitation"), made, 90), *made)
 
 
+MADE = [*LAG_NAMES, *[f"{c}_roll_mean_{n}" for n in W.WINDOWS for c in ("swe", "temperature")],
+        *[f"swe_roll_std_{n}" for n in W.WINDOWS], *[f"precipitation_roll_sum_{n}" for n in W.WINDOWS]]
+_FN = {"mean": "avg", "std": "stddev_samp", "sum": "sum"}
+
+
+def _made_sql(name):
+    col, kind, *rest = re.fullmatch(r"([a-z]+)_(?:roll_)?(lag|mean|std|sum)_(\d+)", name).groups()
+    if kind == "lag":
+        return f"lag({col}, {rest[0]}) OVER (PARTITION BY station_id ORDER BY date) AS {name}"
+    return f"{r4(f'{_FN[kind]}({col}) {_over(int(rest[0]))}')} AS {name}"
+
+
+@job("r14_made_features", "SELECT station_id, CAST(date AS VARCHAR) AS date, " + ", ".join(map(_made_sql, MADE))
+     + " FROM station_daily")
+def made_features(spark, sf):
+    """All lags and windows from their names alone, in one window pass."""
+    df = S.make_features(stations(spark, sf, *OBS), MADE)
+    return df.select("station_id", day_text().alias("date"), *LAG_NAMES,
+                     *[fixed4(c).alias(c) for c in MADE if c not in LAG_NAMES])
+
+
+@job("r14_suggested_features", f"""
+SELECT station_id, CAST(d.date AS VARCHAR) AS date, CAST(dayofyear(d.date) AS INT) AS day_of_year,
+  CAST(year(d.date) - CASE WHEN month(d.date) >= 10 THEN 0 ELSE 1 END AS INT) AS water_year, swe_lag_7, swe_lag_30,
+  {r4('p30')} AS precipitation_roll_sum_30, {r4('anomaly')} AS temperature_anomaly,
+  CASE WHEN oni <= -0.5 THEN 'La Niña' WHEN oni <= 0.5 THEN 'Neutral' WHEN oni IS NOT NULL THEN 'El Niño' END AS enso_phase
+FROM (SELECT station_id, date, lag(swe, 7) OVER (PARTITION BY station_id ORDER BY date) AS swe_lag_7,
+    lag(swe, 30) OVER (PARTITION BY station_id ORDER BY date) AS swe_lag_30, sum(precipitation) {_over(30)} AS p30,
+    temperature - avg(temperature) OVER (PARTITION BY month(date)) AS anomaly FROM station_daily) d
+LEFT JOIN index_monthly i ON last_day(d.date) = i.date""")
+def suggested_features(spark, sf):
+    """Every feature the rules suggest for the station table and the index, made."""
+    df = S.make_suggested(stations(spark, sf, *OBS), "swe", view(spark, sf, "index_monthly"))
+    return df.select(
+        "station_id", day_text().alias("date"), "day_of_year", "water_year", "swe_lag_7", "swe_lag_30",
+        fixed4("precipitation_roll_sum_30").alias("precipitation_roll_sum_30"),
+        fixed4("temperature_anomaly").alias("temperature_anomaly"), "enso_phase")
+
+
 @job("w5_index_trend", f"""
 SELECT CAST(date AS VARCHAR) AS date, oni,
        {r4('avg(oni) OVER (ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS oni_3month_avg,
