@@ -44,19 +44,19 @@ def recency_normal(spark, sf):
 
 
 @job("a4_trajectory", f"""WITH {COMPARED_SQL}
-SELECT period, month, {r4('sum(precipitation_mm * area_weight)')} AS precipitation_mm,
-       {r4('sum(snowfall_cm * area_weight)')} AS snowfall_cm FROM compared GROUP BY 1, 2""")
+SELECT water_year, period, month, {r4('sum(precipitation_mm * area_weight)')} AS precipitation_mm,
+       {r4('sum(snowfall_cm * area_weight)')} AS snowfall_cm FROM compared GROUP BY 1, 2, 3""")
 def trajectory(spark, sf):
-    return round_columns(A.trajectory(compared(spark, sf)), "period", "month")
+    return round_columns(A.trajectory(compared(spark, sf), "water_year"), "water_year", "period", "month")
 
 
 @job("a5_percent_of_normal", f"""WITH {COMPARED_SQL}
-SELECT region, month, {r4('100 * precipitation_mm / greatest(precipitation_mm_normal, 0.01)')} AS precipitation_mm_pct_normal,
+SELECT water_year, region, month, {r4('100 * precipitation_mm / greatest(precipitation_mm_normal, 0.01)')} AS precipitation_mm_pct_normal,
        {r4('100 * snowfall_cm / greatest(snowfall_cm_normal, 0.01)')} AS snowfall_cm_pct_normal FROM compared""")
 def percent_of_normal(spark, sf):
     df = A.percent_of_normal(compared(spark, sf))
-    return round_columns(df.select("region", "month", "precipitation_mm_pct_normal",
-                                   "snowfall_cm_pct_normal"), "region", "month")
+    return round_columns(df.select("water_year", "region", "month", "precipitation_mm_pct_normal",
+                                   "snowfall_cm_pct_normal"), "water_year", "region", "month")
 
 
 def _pct(top, bottom):
@@ -64,35 +64,35 @@ def _pct(top, bottom):
 
 
 @job("a6_phase_rollup", f"""WITH {COMPARED_SQL}
-SELECT phase_id, phase_label, phase_months,
+SELECT water_year, phase_id, phase_label, phase_months,
        {r4('sum(temperature_anomaly * area_weight) / sum(area_weight)')} AS predicted_temp_c,
        {r4('sum(precipitation_mm * area_weight)')} AS precipitation_mm,
        {r4(_pct('precipitation_mm * area_weight', 'precipitation_mm_normal * area_weight'))} AS precipitation_pct_normal,
        {r4('sum(snowfall_cm * area_weight)')} AS snowfall_cm
-FROM compared JOIN {PHASE_VALUES} ON compared.month = phases.month GROUP BY 1, 2, 3""")
+FROM compared JOIN {PHASE_VALUES} ON compared.month = phases.month GROUP BY 1, 2, 3, 4""")
 def phase_rollup(spark, sf):
-    df = A.phase_rollup(compared(spark, sf)).drop("phase_order")
-    return round_columns(df, "phase_id", "phase_label", "phase_months")
+    df = A.phase_rollup(compared(spark, sf), "water_year").drop("phase_order")
+    return round_columns(df, "water_year", "phase_id", "phase_label", "phase_months")
 
 
 @job("a7_region_rollup", f"""WITH {COMPARED_SQL}
-SELECT region, {r4('sum(precipitation_mm)')} AS precipitation_mm, {r4('sum(precipitation_mm_normal)')} AS normal_mm,
+SELECT water_year, region, {r4('sum(precipitation_mm)')} AS precipitation_mm, {r4('sum(precipitation_mm_normal)')} AS normal_mm,
        {r4('sum(snowfall_cm)')} AS snowfall_cm, {r4('sum(snowfall_cm_normal)')} AS normal_snow_cm,
        {r4(_pct('precipitation_mm', 'precipitation_mm_normal'))} AS precipitation_pct_normal,
        {r4(_pct('snowfall_cm', 'snowfall_cm_normal'))} AS snowfall_pct_normal,
-       {r4('avg(temperature_anomaly)')} AS temperature_anomaly_c FROM compared GROUP BY 1""")
+       {r4('avg(temperature_anomaly)')} AS temperature_anomaly_c FROM compared GROUP BY 1, 2""")
 def region_rollup(spark, sf):
-    return round_columns(A.region_rollup(compared(spark, sf)), "region")
+    return round_columns(A.region_rollup(compared(spark, sf), "water_year"), "water_year", "region")
 
 
 @job("a8_statewide", f"""WITH {COMPARED_SQL}
-SELECT {r4('sum(precipitation_mm * area_weight)')} AS precipitation_mm, {r4('sum(snowfall_cm * area_weight)')} AS snowfall_cm,
+SELECT water_year, {r4('sum(precipitation_mm * area_weight)')} AS precipitation_mm, {r4('sum(snowfall_cm * area_weight)')} AS snowfall_cm,
        {r4('sum(temperature_anomaly * area_weight) / sum(area_weight)')} AS temperature_anomaly_c,
        {r4('100 * sum(precipitation_mm * area_weight) / sum(precipitation_mm_normal * area_weight)')} AS precipitation_pct_normal,
        {r4('100 * sum(snowfall_cm * area_weight) / sum(snowfall_cm_normal * area_weight)')} AS snowfall_pct_normal
-FROM compared""")
+FROM compared GROUP BY 1""")
 def statewide(spark, sf):
-    return round_columns(A.statewide(compared(spark, sf)))
+    return round_columns(A.statewide(compared(spark, sf), "water_year"), "water_year")
 
 
 @job("a9_forecast_context", f"""

@@ -17,7 +17,7 @@ REGION_VALUES = "(VALUES " + ", ".join(
     for i, (r, lat, elev, w, label) in enumerate(K.REGIONS)
 ) + ") AS regions(region_order, region, latitude, elevation_m, area_weight, label)"
 
-# The recency-weighted normal and the 2001 winter beside it, for the checks.
+# The recency-weighted normal and every winter beside it, for the checks.
 NORMAL_SQL = """
 weighted AS (SELECT *, pow(2.0, -((SELECT max(water_year) FROM winter_history) - water_year) / 7.0) AS w
              FROM winter_history),
@@ -28,7 +28,7 @@ compared AS (SELECT h.*, r.area_weight, r.label, precipitation_mm_normal, snowfa
     concat(CAST(CASE WHEN h.month >= 10 THEN water_year - 1 ELSE water_year END AS VARCHAR), '-',
            lpad(CAST(h.month AS VARCHAR), 2, '0')) AS period
   FROM winter_history h JOIN {REGION_VALUES.replace(' AS regions', ' AS r')} ON h.region = r.region
-  LEFT JOIN normal n ON h.region = n.region AND h.month = n.month WHERE water_year = 2001)"""
+  LEFT JOIN normal n ON h.region = n.region AND h.month = n.month)"""
 
 
 def history(spark, sf):
@@ -36,9 +36,9 @@ def history(spark, sf):
 
 
 def compared(spark, sf, half_life=7.0):
-    """Winter 2001 as the forecast, all winters as the climatology."""
+    """Every winter as a forecast, all winters as the climatology."""
     h = history(spark, sf)
-    return J.compare_with_normal(J.as_forecast(h, 2001), A.recency_normal(h, half_life))
+    return J.compare_with_normal(J.as_forecast(h), A.recency_normal(h, half_life))
 
 
 @job("j1_snow_climate", """
@@ -86,11 +86,11 @@ def region_lookup(spark, sf):
 
 
 @job("j5_forecast_vs_normal", f"""WITH {COMPARED_SQL}
-SELECT region, month, precipitation_mm, snowfall_cm, {r4('precipitation_mm_normal')} AS precipitation_mm_normal,
+SELECT water_year, region, month, precipitation_mm, snowfall_cm, {r4('precipitation_mm_normal')} AS precipitation_mm_normal,
        {r4('snowfall_cm_normal')} AS snowfall_cm_normal FROM compared""")
 def forecast_vs_normal(spark, sf):
     return compared(spark, sf).select(
-        "region", "month", "precipitation_mm", "snowfall_cm",
+        "water_year", "region", "month", "precipitation_mm", "snowfall_cm",
         fixed4("precipitation_mm_normal").alias("precipitation_mm_normal"),
         fixed4("snowfall_cm_normal").alias("snowfall_cm_normal"))
 

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from firn.catalog.aggregates import PHASE_VALUES, _pct
-from firn.catalog.joins import COMPARED_SQL, history
+from firn.catalog.joins import COMPARED_SQL, REGION_VALUES, history
 from firn.catalog.registry import day_text, fixed2, fixed4, job
 from firn.catalog.rules import importance
 from firn.catalog.views import r2, r4, stored, view
@@ -345,11 +345,26 @@ def observed_scenarios(spark, sf):
 
 @job("m14_outlook_predict")
 def outlook_predict(spark, sf):
-    done = small_outlook(spark, sf).predict(observed_scenarios(spark, sf).where("analog_year = 2001"))
-    return done.select("water_year", "period", "month", "region", "area_weight", "temperature_anomaly",
+    """The next winter under the index sets of every observed one."""
+    done = small_outlook(spark, sf).predict(observed_scenarios(spark, sf))
+    return done.select("analog_year", "water_year", "period", "month", "region", "area_weight", "temperature_anomaly",
                        "precipitation_mm", "snowfall_cm")
 
 
+@job("m14_outlook_cells", f"""
+WITH sets AS (SELECT DISTINCT water_year AS analog_year, (SELECT max(water_year) + 1 FROM winter_history) AS water_year FROM winter_history)
+SELECT analog_year, water_year, m AS month, region, area_weight, true AS finite, true AS not_negative
+FROM sets, {REGION_VALUES}, (VALUES (11), (12), (1), (2), (3), (4)) AS months(m)""")
+def outlook_cells(spark, sf):
+    """All 42 cells of every scenario, each a finite number, rain and snow never below zero."""
+    done = small_outlook(spark, sf).predict(observed_scenarios(spark, sf))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    return done.select(
+        "analog_year", "water_year", "month", "region", "area_weight",
+        (finite("temperature_anomaly") & finite("precipitation_mm") & finite("snowfall_cm")).alias("finite"),
+        ((F.col("precipitation_mm") >= 0) & (F.col("snowfall_cm") >= 0)).alias("not_negative"))
+
+
 @job("m15_backtest")
 def outlook_backtest(spark, sf):
     return backtest(history(spark, sf), 2, trees=10, max_depth=6)
@@ -372,51 +387,53 @@ def model_scenarios(spark, sf):
 
 
 @job("m16_outlook_summary", f"""WITH {COMPARED_SQL},
-state AS (SELECT sum(precipitation_mm * area_weight) AS rain, sum(snowfall_cm * area_weight) AS snow,
+state AS (SELECT water_year, sum(precipitation_mm * area_weight) AS rain, sum(snowfall_cm * area_weight) AS snow,
     sum(temperature_anomaly * area_weight) / sum(area_weight) AS temp,
     100 * sum(precipitation_mm * area_weight) / sum(precipitation_mm_normal * area_weight) AS rain_pct,
-    100 * sum(snowfall_cm * area_weight) / sum(snowfall_cm_normal * area_weight) AS snow_pct FROM compared),
-phases2 AS (SELECT phase_id, sum(temperature_anomaly * area_weight) / sum(area_weight) AS temp, sum(precipitation_mm * area_weight) AS rain,
+    100 * sum(snowfall_cm * area_weight) / sum(snowfall_cm_normal * area_weight) AS snow_pct FROM compared GROUP BY 1),
+phases2 AS (SELECT water_year, phase_id, sum(temperature_anomaly * area_weight) / sum(area_weight) AS temp, sum(precipitation_mm * area_weight) AS rain,
     {_pct('precipitation_mm * area_weight', 'precipitation_mm_normal * area_weight')} AS rain_pct, sum(snowfall_cm * area_weight) AS snow
-  FROM compared JOIN {PHASE_VALUES} ON compared.month = phases.month GROUP BY 1)
-SELECT 'statewide' AS grain, {r4('temp')} AS c, {r4('temp * 9 / 5')} AS f_delta, {r4('rain')} AS mm, {r4('rain / 25.4')} AS rain_in,
+  FROM compared JOIN {PHASE_VALUES} ON compared.month = phases.month GROUP BY 1, 2)
+SELECT water_year, 'statewide' AS grain, {r4('temp')} AS c, {r4('temp * 9 / 5')} AS f_delta, {r4('rain')} AS mm, {r4('rain / 25.4')} AS rain_in,
   {r4('snow')} AS cm, {r4('snow / 2.54')} AS snow_in, CASE WHEN rain_pct >= 110 THEN 'wet' WHEN rain_pct <= 90 THEN 'dry' ELSE 'near_normal' END AS category,
   CASE WHEN rain_pct <= 85 OR snow_pct <= 85 THEN 'High' ELSE 'Moderate' END AS water_level,
   CASE WHEN rain_pct <= 85 AND temp >= 0.5 THEN 'High' WHEN rain_pct >= 115 THEN 'Low' ELSE 'Moderate' END AS fire_level FROM state
-UNION ALL SELECT phase_id, {r4('temp')}, {r4('temp * 9 / 5')}, {r4('rain')}, {r4('rain / 25.4')}, {r4('snow')}, {r4('snow / 2.54')},
+UNION ALL SELECT water_year, phase_id, {r4('temp')}, {r4('temp * 9 / 5')}, {r4('rain')}, {r4('rain / 25.4')}, {r4('snow')}, {r4('snow / 2.54')},
   CASE WHEN rain_pct >= 110 THEN 'wet' WHEN rain_pct <= 90 THEN 'dry' ELSE 'near_normal' END, NULL, NULL FROM phases2""")
 def outlook_summary(spark, sf):
     h = history(spark, sf)
-    tables = O.summarize(J.as_forecast(h, 2001), h)
+    tables = O.summarize(J.as_forecast(h), h, by=("water_year",))
     state, phases = tables["statewide"], tables["season_phases"]
     extra = state.select(
-        F.lit("statewide").alias("grain"), F.col("wetness").alias("category"),
+        "water_year", F.lit("statewide").alias("grain"), F.col("wetness").alias("category"),
         F.col("water_allocation.level").alias("water_level"), F.col("wildfire_risk.level").alias("fire_level")
-    ).unionByName(phases.select(F.col("phase_id").alias("grain"), "category"), allowMissingColumns=True)
-    return tables["display"].join(extra, "grain").select(
-        "grain", fixed4("temperature.c").alias("c"), fixed4("temperature.f_delta").alias("f_delta"),
+    ).unionByName(phases.select("water_year", F.col("phase_id").alias("grain"), "category"), allowMissingColumns=True)
+    return tables["display"].join(extra, ["water_year", "grain"]).select(
+        "water_year", "grain", fixed4("temperature.c").alias("c"), fixed4("temperature.f_delta").alias("f_delta"),
         fixed4("precipitation.mm").alias("mm"), fixed4("precipitation.in").alias("rain_in"),
         fixed4("snowfall.cm").alias("cm"), fixed4("snowfall.in").alias("snow_in"), "category",
         "water_level", "fire_level")
 
 
 @job("s6_nested_outlook", f"""WITH {COMPARED_SQL}
-SELECT count(DISTINCT period) AS months, 3::BIGINT AS phases, count(DISTINCT region) AS regions, count(*) AS cells,
+SELECT water_year, count(DISTINCT period) AS months, count(DISTINCT CASE WHEN month IN (11, 12) THEN 1 WHEN month IN (1, 2) THEN 2 ELSE 3 END) AS phases,
+  count(DISTINCT region) AS regions, count(*) AS cells,
   {r4('sum(precipitation_mm * area_weight)')} AS precipitation_mm,
   {r4("max(CASE WHEN region = 'central_sierra' THEN s END)")} AS central_sierra_snow
-FROM (SELECT *, sum(snowfall_cm) OVER (PARTITION BY region) AS s FROM compared) x""")
+FROM (SELECT *, sum(snowfall_cm) OVER (PARTITION BY water_year, region) AS s FROM compared) x GROUP BY 1""")
 def nested_outlook(spark, sf):
-    """The nested row as JSON text and back, as a reader of the file sees it."""
+    """The nested row of every winter as JSON text and back, as a reader of the file sees it."""
     h = history(spark, sf)
-    row = O.nested(O.summarize(J.as_forecast(h, 2001), h))
+    by = ("water_year",)
+    row = O.nested(O.summarize(J.as_forecast(h), h, by=by), by)
     text = row.select(F.to_json(F.struct("*")).alias("outlook"))
-    schema = ("precipitation_mm double, trajectory array<struct<period:string>>, season_phases array<struct<phase_id:string>>, "
+    schema = ("water_year int, precipitation_mm double, trajectory array<struct<period:string>>, season_phases array<struct<phase_id:string>>, "
               "regional_summary array<struct<region:string,snowfall_cm:double>>, regional_monthly array<struct<region:string>>")
     doc = text.select(F.from_json("outlook", schema).alias("d"))
     size = lambda c: F.size(f"d.{c}").cast("bigint")
     sierra = F.filter("d.regional_summary", lambda r: r["region"] == "central_sierra")
     return doc.select(
-        size("trajectory").alias("months"), size("season_phases").alias("phases"),
+        "d.water_year", size("trajectory").alias("months"), size("season_phases").alias("phases"),
         size("regional_summary").alias("regions"), size("regional_monthly").alias("cells"),
         fixed4("d.precipitation_mm").alias("precipitation_mm"),
         fixed4(F.element_at(sierra, 1)["snowfall_cm"]).alias("central_sierra_snow"))

@@ -133,8 +133,8 @@ def scenario_literal(s):
         F.lit(category).alias("category"))
 
 
-def as_forecast(history: DataFrame, year: int) -> DataFrame:
-    """One observed winter in the shape of a forecast."""
-    picked = history.where(F.col("water_year") == year)
+def as_forecast(history: DataFrame, year: int | None = None) -> DataFrame:
+    """All observed winters, or one of them, in the shape of a forecast."""
+    picked = history if year is None else history.where(F.col("water_year") == year)
     return add_region(picked, "area_weight").withColumn(
         "period", period_label("water_year", "month"))
