@@ -18,6 +18,7 @@ from firn.models.outlook import WinterOutlook, backtest
 from firn.models.regression import Boosting, Forecaster, Forest, Linear, normalise
 from firn.models.sequence import SequenceForecaster
 from firn.models.trend import SeasonalTrend
+from firn.models.validation import GRID, Setting, cross_validate, random_folds, ranked, time_blocks
 from firn.operators import joins as J, whatif as Q
 from firn.operators.aggregates import error_metrics
 from firn.plans import daily as D, outlook as O
@@ -464,6 +465,64 @@ def experiments(spark, sf):
     return run_experiments(rows, [e | {"settings": quick[e["model"]]} for e in DEFAULT_EXPERIMENTS])
 
 
+FAMILY = tuple(Setting(k) for k in SLOPES)
+_FOLD = "CAST(concat('0x', substr(md5(concat(station_id, '|', CAST(date AS VARCHAR), '|42')), 1, 8)) AS BIGINT) % 5"
+_BLOCKS = """days AS (SELECT date, count(*) AS n FROM station_daily GROUP BY 1),
+placed AS (SELECT date, CAST(floor((sum(n) OVER (ORDER BY date) - n) * 6 / (SELECT sum(n) FROM days)) AS BIGINT) AS fold FROM days)"""
+
+
+def _folds_sql(rows, settings, trained):
+    """Fold metrics of one input in closed form; `trained` relates rows (o) to the fold (f) they train."""
+    values = ", ".join(f"('{s.name}', '{s.kind}', {s.alpha}::DOUBLE, {s.l1_ratio}::DOUBLE)" for s in settings)
+    return f"""{rows}, known AS (SELECT * FROM o WHERE x IS NOT NULL AND y IS NOT NULL),
+m AS (SELECT f.fold, avg(x) AS mx, avg(y) AS my, covar_pop(y, x) AS c, var_pop(x) AS v, count(*) AS n
+  FROM known o JOIN (SELECT DISTINCT fold FROM known) f ON {trained} GROUP BY 1),
+models AS (SELECT *, CASE kind WHEN 'linear' THEN c / v WHEN 'ridge' THEN c / (v + alpha / n)
+    WHEN 'lasso' THEN sign(c) * greatest(abs(c) - alpha, 0) / v
+    ELSE sign(c) * greatest(abs(c) - alpha * l1_ratio, 0) / (v + alpha * (1 - l1_ratio)) END AS b
+  FROM m, (VALUES {values}) AS s(name, kind, alpha, l1_ratio)),
+errors AS (SELECT name, o.fold, n, y, y - my - b * (x - mx) AS e FROM known o JOIN models ON o.fold = models.fold),
+folds AS (SELECT name, CAST(fold AS INT) AS fold, n AS train_rows, count(*) AS row_count, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae,
+  1 - avg(e * e) / var_pop(y) AS r2 FROM errors GROUP BY 1, 2, 3)"""
+
+
+_SHOWN = ", ".join(f"{r4(c)} AS {c}" for c in ("rmse", "mae", "r2"))
+_RANDOM = f"WITH o AS (SELECT precipitation AS x, swe AS y, {_FOLD} AS fold FROM station_daily)"
+_ROLLING = f"WITH {_BLOCKS}, o AS (SELECT precipitation AS x, swe AS y, fold FROM station_daily d JOIN placed p ON d.date = p.date)"
+
+
+def _shown(df, *keys):
+    return df.select(*keys, *[fixed4(c).alias(c) for c in ("rmse", "mae", "r2")])
+
+
+def folded(spark, sf, make, settings, **how):
+    rows = materialize(make(daily(spark, sf).select("station_id", "date", "swe", "precipitation")))
+    return cross_validate(rows, ["precipitation"], "swe", settings, **how)
+
+
+@job("m17_fold_metrics", f"""{_folds_sql(_RANDOM, GRID, 'o.fold <> f.fold')}
+SELECT name, fold, train_rows, row_count, {_SHOWN} FROM folds""")
+def fold_metrics(spark, sf):
+    """Every setting of the grid on each of five folds, from sums of products."""
+    return _shown(folded(spark, sf, random_folds, GRID), "name", "fold", "train_rows", "row_count")
+
+
+@job("m17_rolling_folds", f"""{_folds_sql(_ROLLING, FAMILY, 'o.fold < f.fold')}
+SELECT name, fold, train_rows, row_count, {_SHOWN} FROM folds""")
+def rolling_folds(spark, sf):
+    """Each sixth of the time predicted from all time before it."""
+    return _shown(folded(spark, sf, time_blocks, FAMILY, rolling=True), "name", "fold", "train_rows", "row_count")
+
+
+@job("m17_settings_grid", f"""{_folds_sql(_RANDOM, GRID, 'o.fold <> f.fold')}
+SELECT name, folds, row_count, {_SHOWN} FROM (
+  SELECT name, count(*) AS folds, CAST(sum(row_count) AS BIGINT) AS row_count, avg(rmse) AS rmse, avg(mae) AS mae, avg(r2) AS r2
+  FROM folds GROUP BY 1) t""")
+def settings_grid(spark, sf):
+    """The grid in one ranked table; ranks are left out, as settings of little penalty tie."""
+    return _shown(ranked(folded(spark, sf, random_folds, GRID)), "name", "folds", "row_count")
+
+
 _WY = "CAST(year(date) - CASE WHEN month(date) >= 10 THEN 0 ELSE 1 END AS INT)"
 _LAG = "lag({c}, {k}) OVER (PARTITION BY station_id ORDER BY date) AS {c}_lag_{k}"
 
