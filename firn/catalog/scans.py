@@ -1,13 +1,16 @@
 """Scans, scalar features and calendar columns over the test views."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from firn.catalog.registry import day_text, fixed4, job
-from firn.catalog.views import r4, view
+from firn.catalog.views import r4, table, view
 from firn.functions import scalars as N
 from firn.operators import aggregates as A
-from firn.session import materialize
+from firn.session import materialize, shared_folder
 from firn.sources import readers
+from firn.sources.sinks import write_daily
 
 STATIONS = ("ST1", "ST2", "ST3", "ST5", "ST8")
 OBS = ["station_id", "date", "swe", "precipitation", "temperature"]
@@ -18,45 +21,85 @@ def observations(df):
     return df.withColumn("date", day_text())
 
 
+def snow_files(spark, sf):
+    """The station view as the files of a source: folders by year with all columns of the schema."""
+    folder = f"{shared_folder(spark)}/snow-{uuid.uuid4().hex}"
+    write_daily(view(spark, sf, "station_daily").withColumn("snow_depth", F.lit(None).cast("double")), folder)
+    return {"cdec": folder}
+
+
+def climate_files(spark, sf):
+    folder = f"{shared_folder(spark)}/climate-{uuid.uuid4().hex}"
+    write_daily(view(spark, sf, "climate_daily").withColumns({c: F.lit(None).cast("double") for c in ("temperature", "precipitation")}), folder)
+    return {"noaa": folder}
+
+
+def index_files(spark, sf):
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    view(spark, sf, "index_monthly").write.parquet(folder)
+    return folder
+
+
 @job("s1_snow_scan", f"""
 SELECT {OBS_SQL} FROM station_daily
 WHERE station_id IN ('ST1','ST2','ST3','ST5','ST8') AND date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'""")
 def snow_scan(spark, sf):
-    df = readers.pick(view(spark, sf, "station_daily"), STATIONS, "1996-01-01", "1999-12-31")
+    df = readers.load_snow(spark, snow_files(spark, sf), "cdec", STATIONS, "1996-01-01", "1999-12-31")
     return observations(df.select(*OBS))
 
 
+@job("s1_station_table", f"""
+SELECT {OBS_SQL} FROM station_daily
+WHERE station_id IN (SELECT concat('ST', CAST(s_suppkey AS VARCHAR)) FROM supplier WHERE s_acctbal > 5000) AND date >= DATE '1995-01-01'""")
+def station_table_scan(spark, sf):
+    """Stations from another table, by a semi-join."""
+    listed = table(spark, sf, "supplier").where("s_acctbal > 5000").select(
+        F.concat(F.lit("ST"), F.col("s_suppkey").cast("string")).alias("station_id"))
+    return observations(readers.load_snow(spark, snow_files(spark, sf), "cdec", listed, "1995-01-01").select(*OBS))
+
+
+@job("s1_periods", f"""
+SELECT {OBS_SQL} FROM station_daily WHERE EXISTS (SELECT 1 FROM index_monthly i
+  WHERE oni >= 2 AND station_daily.date BETWEEN date_trunc('month', i.date) AND i.date + 30)""")
+def periods_scan(spark, sf):
+    """Days of the strongest index months and the thirty after them; folders of other years are not read."""
+    strong = readers.load_index(spark, index_files(spark, sf)).where("oni >= 2").select(
+        F.trunc("date", "month").alias("start"), F.date_add("date", 30).alias("end"))
+    return observations(readers.during(readers.load_snow(spark, snow_files(spark, sf), "cdec", "all"), strong).select(*OBS))
+
+
 @job("s2_climate_scan", """
 SELECT station_id, CAST(date AS VARCHAR) AS date, humidity, wind_speed FROM climate_daily
 WHERE station_id IN ('ST1','ST2','ST3','ST5','ST8') AND date >= DATE '1997-06-01'""")
 def climate_scan(spark, sf):
-    return observations(readers.pick(view(spark, sf, "climate_daily"), STATIONS, "1997-06-01"))
+    df = readers.load_climate(spark, climate_files(spark, sf), "noaa", STATIONS, "1997-06-01")
+    return observations(df.select("station_id", "date", "humidity", "wind_speed"))
 
 
 @job("s3_index_scan", """
 SELECT CAST(date AS VARCHAR) AS date, oni, mei, nino34, soi FROM index_monthly
 WHERE date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'""")
 def index_scan(spark, sf):
-    df = readers.pick(view(spark, sf, "index_monthly"), None, "1996-01-01", "2000-12-31")
-    return observations(df)
+    return observations(readers.load_index(spark, index_files(spark, sf), "1996-01-01", "2000-12-31"))
 
 
 @job("s4_trailing_window", f"""
 SELECT {OBS_SQL} FROM station_daily
-WHERE date >= DATE '1998-01-01' AND date <= DATE '2000-06-30'""")
+WHERE date >= DATE '1980-01-01' AND date <= DATE '1998-06-30'""")
 def trailing_scan(spark, sf):
-    start = readers.trailing_start("2000-06-30", 2)
-    return observations(readers.pick(view(spark, sf, "station_daily"), "all", start, "2000-06-30")
-                        .select(*OBS))
+    """Without a start the scan goes back twenty years from the given day."""
+    df = readers.load_snow(spark, snow_files(spark, sf), "cdec", "all", as_of="1998-06-30")
+    return observations(df.select(*OBS))
 
 
 @job("s5_bundle", """
-SELECT 'snowpack' AS name, count(*) AS row_count FROM station_daily
-UNION ALL SELECT 'climate', count(*) FROM climate_daily
-UNION ALL SELECT 'enso', count(*) FROM index_monthly""")
+SELECT 'snowpack' AS name, count(*) AS row_count FROM station_daily WHERE date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31'
+UNION ALL SELECT 'climate', count(*) FROM climate_daily WHERE date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31'
+UNION ALL SELECT 'enso', count(*) FROM index_monthly WHERE date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31'""")
 def bundle(spark, sf):
-    named = {"snowpack": "station_daily", "climate": "climate_daily", "enso": "index_monthly"}
-    return A.bundle_counts({n: view(spark, sf, v) for n, v in named.items()})
+    named = readers.load_bundle(spark, snow_files(spark, sf), climate_files(spark, sf), index_files(spark, sf),
+                                "1993-01-01", "1997-12-31", stations="all")
+    return A.bundle_counts(named)
 
 
 @job("n1_number_coercion", """

@@ -13,10 +13,13 @@ def _read(spark, path, schema, fmt):
 def pick(df: DataFrame, stations=None, start=None, end=None) -> DataFrame:
     """Station list and inclusive date range as plain predicates, so they reach the scan.
 
-    `stations="all"` keeps every station. A `year` column, as folders by year have, is limited
-    too, so whole folders are skipped.
+    `stations="all"` keeps every station; a DataFrame with `station_id` keeps its stations by a
+    semi-join, for lists too long to write into a plan. A `year` column, as folders by year
+    have, is limited too, so whole folders are skipped.
     """
-    if stations is not None and stations != "all":
+    if isinstance(stations, DataFrame):
+        df = df.join(stations.select("station_id"), "station_id", "left_semi")
+    elif stations is not None and stations != "all":
         df = df.where(F.col("station_id").isin(*stations))
     for bound, side in ((start, "__ge__"), (end, "__le__")):
         if bound is not None:
@@ -26,6 +29,20 @@ def pick(df: DataFrame, stations=None, start=None, end=None) -> DataFrame:
     return df
 
 
+def during(df: DataFrame, periods: DataFrame) -> DataFrame:
+    """Rows of `df` whose date lies in any of the (start, end) periods, both days included.
+
+    Periods become the years they touch, so the join is an equi-join on `year`. On a table in
+    folders by year Spark prunes the folders at run time by the years it finds. Periods that
+    overlap keep a row once; those without a start or an end, or with both reversed, keep none.
+    """
+    years = periods.where("start <= end").select(
+        "start", "end", F.explode(F.sequence(F.year("start"), F.year("end"))).alias("__year"))
+    year = df["year"] if "year" in df.columns else F.year(df["date"])
+    inside = (df["date"] >= years["start"]) & (df["date"] <= years["end"])
+    return df.join(years, (year == years["__year"]) & inside, "left_semi")
+
+
 def trailing_start(as_of: str, years: int) -> str:
     """First of January `years` before `as_of`, the default window of the scans."""
     return f"{int(as_of[:4]) - years:04d}-01-01"
@@ -33,7 +50,10 @@ def trailing_start(as_of: str, years: int) -> str:
 
 def load_snow(spark, paths: dict, source="cdec", stations=None, start=None, end=None, as_of=None,
               fmt="parquet") -> DataFrame:
-    """Snow observations of one source. `paths` maps sources to folders."""
+    """Snow observations of one source. `paths` maps sources to folders.
+
+    Without `stations` the default ones are read; a list, a DataFrame or "all" overrides them.
+    """
     if source not in K.SNOW_SOURCES:
         raise ValueError(f"Unknown snow source {source!r}; expected one of {K.SNOW_SOURCES}")
     df = _read(spark, paths[source], K.SNOW_SCHEMA, fmt)
@@ -59,11 +79,14 @@ def _defaults(df, stations, start, end, as_of, years):
 
 
 def load_bundle(spark: SparkSession, snow_paths, climate_paths, index_path, start=None, end=None,
-                as_of=None, fmt="parquet", views=False) -> dict:
-    """All sources by name; with `views` also as temporary views of those names."""
+                as_of=None, fmt="parquet", views=False, stations=None) -> dict:
+    """All sources by name; with `views` also as temporary views of those names.
+
+    `stations` is for both station sources; without it each reads its default ones.
+    """
     bundle = {
-        "snowpack": load_snow(spark, snow_paths, start=start, end=end, as_of=as_of, fmt=fmt),
-        "climate": load_climate(spark, climate_paths, start=start, end=end, as_of=as_of, fmt=fmt),
+        "snowpack": load_snow(spark, snow_paths, stations=stations, start=start, end=end, as_of=as_of, fmt=fmt),
+        "climate": load_climate(spark, climate_paths, stations=stations, start=start, end=end, as_of=as_of, fmt=fmt),
         "enso": load_index(spark, index_path, start, end, as_of, fmt),
     }
     if views:

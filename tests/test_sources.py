@@ -49,6 +49,26 @@ def test_filters_reach_the_scan(spark, files):
     assert "temperature" not in plan.split("ReadSchema")[1]
 
 
+def test_folders_are_pruned_at_run_time(spark, files):
+    """The folders read are those of the period's years, known only when the query runs."""
+    periods = spark.createDataFrame([("2020-06-01", "2020-12-31"), ("2020-06-15", "2021-01-31"), ("2024-07-02", "2024-01-01"), (None, "2004-05-05")],
+                                    "s string, e string").select(F.col("s").cast("date").alias("start"), F.col("e").cast("date").alias("end"))
+    df = readers.during(readers.load_snow(spark, {"cdec": str(files / "pq")}, stations="all"), periods)
+    assert {(r.station_id, str(r.date)) for r in df.collect()} == {(s, "2020-06-30") for s in ("CAC001", "NAC001", "XX")}
+    assert df.count() == 3
+    flat = readers.during(readers.load_snow(spark, {"cdec": str(files / "pq")}, stations="all").drop("year"), periods)
+    same_rows(flat, df.drop("year"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+
+
+def test_stations_of_a_table(spark, files):
+    listed = spark.createDataFrame([("XX",), ("XX",), ("nowhere",), (None,)], "station_id string")
+    got = readers.load_snow(spark, {"cdec": str(files / "pq")}, stations=listed)
+    assert got.count() == 5 and {r.station_id for r in got.collect()} == {"XX"}
+    assert readers.load_snow(spark, {"cdec": str(files / "pq")}, stations=listed.where("false")).count() == 0
+
+
 def test_bundle(spark, files):
     b = readers.load_bundle(spark, {"cdec": str(files / "pq")}, {"noaa": str(files / "clim")}, str(files / "idx"),
                             "2004-01-01", "2024-06-30", views=True)
