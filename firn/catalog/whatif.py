@@ -27,7 +27,7 @@ _PHASE = "CASE WHEN oni <= -0.5 THEN 'La Niña' WHEN oni <= 0.5 THEN 'Neutral' W
 
 INDEXED = f"""indexed AS (SELECT station_id, d.date, swe, precipitation, temperature, oni, {_PHASE} AS enso_phase
   FROM station_daily d LEFT JOIN index_monthly i ON last_day(d.date) = i.date)"""
-MOVED = f"""{INDEXED}, moved AS (SELECT scenario, station_id, date, swe, precipitation, temperature, oni,
+MOVED = f"""{INDEXED}, moved AS (SELECT scenario, station_id, date, swe, precipitation, temperature, oni, enso_phase,
     {_SWE} AS swe_new, precipitation * pm AS precipitation_new, temperature + dt AS temperature_new,
     coalesce(set_oni, oni) AS oni_new, coalesce(set_phase, enso_phase) AS enso_phase_new
   FROM indexed, {SCENARIO_VALUES})"""
@@ -91,6 +91,28 @@ def text_change_log(spark, sf):
     return Q.text_change_log(indexed(spark, sf), SCENARIOS)
 
 
+@job("q6_full_change_log", f"""WITH {MOVED}, labelled AS (
+    SELECT scenario, 'enso_phase' AS column_name, enso_phase AS old, enso_phase_new AS new FROM moved
+    UNION ALL SELECT scenario, 'station_id', station_id, station_id FROM moved),
+sides AS (SELECT DISTINCT scenario, column_name, old AS v, true AS is_old FROM labelled
+    UNION ALL SELECT DISTINCT scenario, column_name, new, false FROM labelled),
+differ AS (SELECT scenario, column_name, v, bool_or(is_old) AS gone FROM sides GROUP BY 1, 2, 3 HAVING bool_or(is_old) <> bool_or(NOT is_old)),
+numbers AS (""" + " UNION ALL ".join(
+    f"SELECT scenario, '{c}' AS column_name, avg({c}) AS before, avg({c}_new) AS after FROM moved GROUP BY 1"
+    for c in ("swe", "precipitation", "temperature", "oni")) + f""")
+SELECT scenario, column_name, 'number' AS kind, {r4('before')} AS before, {r4('after')} AS after,
+  NULL AS before_values, NULL AS after_values FROM numbers WHERE abs(before - after) > 1e-9
+UNION ALL SELECT scenario, column_name, 'text', NULL, NULL,
+  coalesce(string_agg(coalesce(v, '(unknown)'), '|' ORDER BY coalesce(v, '(unknown)')) FILTER (gone), ''),
+  coalesce(string_agg(coalesce(v, '(unknown)'), '|' ORDER BY coalesce(v, '(unknown)')) FILTER (NOT gone), '') FROM differ GROUP BY 1, 2""")
+def full_change_log(spark, sf):
+    """Numeric and text changes of every column and scenario in one table."""
+    df = Q.full_change_log(indexed(spark, sf), SCENARIOS)
+    return df.select(
+        "scenario", "column_name", "kind", fixed4("before").alias("before"), fixed4("after").alias("after"),
+        *[F.array_join(f"{s}_values", "|").alias(f"{s}_values") for s in ("before", "after")])
+
+
 _RUN = f"""WITH {MOVED},
 o AS (SELECT avg(swe) AS p FROM station_daily),
 n AS (SELECT scenario, avg(swe_new) AS p FROM moved GROUP BY 1)"""

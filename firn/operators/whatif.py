@@ -7,9 +7,8 @@ every scenario and nothing loops on the driver.
 from pyspark.sql import DataFrame, functions as F
 
 from firn.functions.rules import scenario_summary
-from firn.functions.scalars import numeric_columns
+from firn.functions.scalars import numeric_columns, text_columns
 from firn.operators.joins import fan_out
-from firn.operators.series import join_same
 
 # How the second index follows the first, and the snow-line factor.
 SECOND_INDEX_SHARE = 0.8
@@ -21,7 +20,7 @@ def applied_columns(df: DataFrame) -> dict:
 
     Order: direct values, then shifts, multipliers, index, phase and snow line.
     """
-    numbers, phase = F.col("scenario.parameters"), F.col("scenario.phase")
+    numbers = F.col("scenario.parameters")
     out = {}
     for c in numeric_columns(df):
         direct, old = numbers[c], F.col(c).cast("double")
@@ -40,10 +39,16 @@ def applied_columns(df: DataFrame) -> dict:
             new = F.when(lift > 0, new * factor).otherwise(new)
         out[c] = new
     if "enso_phase" in df.columns:
-        out["enso_phase"] = F.coalesce(phase, F.col("enso_phase"))
+        out["enso_phase"] = moved_text(F.lit("enso_phase"), F.col("enso_phase"))
     return out
 
 
+def moved_text(column, value):
+    """What a scenario makes of one value of the text column `column` (its name as a Column)."""
+    phase = F.col("scenario.phase")
+    return F.when((column == "enso_phase") & phase.isNotNull(), phase).otherwise(value)
+
+
 def apply_scenario(df: DataFrame) -> DataFrame:
     """The same rows with the scenario's values in place."""
     return df.withColumns(applied_columns(df.drop("scenario")))
@@ -110,19 +115,47 @@ def change_log(fanned: DataFrame) -> DataFrame:
         "before <> after")
 
 
-def text_change_log(base: DataFrame, scenarios, col="enso_phase") -> DataFrame:
-    """(scenario, column, value, change): phases a scenario takes out of or brings into the data.
+def text_change_log(base: DataFrame, scenarios, cols=None) -> DataFrame:
+    """(scenario, column_name, value, change): values a scenario takes out of or brings into a text column.
 
-    Only the distinct phases are fanned out, never the rows.
+    One pass over the rows: every text column (or those of `cols`) as (column, value) pairs,
+    made distinct map-side before they shuffle. Only distinct pairs meet the scenarios, and one
+    grouping says on which side each value stands, so no two tables are joined. An unknown
+    value counts as a value. A table without rows or text columns gives no rows.
     """
-    fanned = fan_out(base.select(col).distinct(), scenarios)
+    cols = text_columns(base, ("scenario",)) if cols is None else [cols] if isinstance(cols, str) else list(cols)
+    wide = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols])
+    wide = wide.cast("array<struct<column_name:string,value:string>>")
+    pairs = base.select(F.explode(wide).alias("p")).select("p.*").distinct()
+    after = moved_text(F.col("column_name"), F.col("value"))
+    sides = F.array(F.struct(F.col("value"), F.lit(True).alias("before")), F.struct(after.alias("value"), F.lit(False).alias("before")))
     name = F.col("scenario.name").alias("scenario")
-    before = fanned.select(name, F.col(col).alias("value"))
-    after = apply_scenario(fanned).select(F.col("scenario.name").alias("scenario"), F.col(col).alias("value"))
-    keys = ["scenario", "value"]
-    gone = join_same(before, after, keys, "left_anti").withColumn("change", F.lit("removed"))
-    come = join_same(after.distinct(), before, keys, "left_anti").withColumn("change", F.lit("added"))
-    return gone.unionByName(come).withColumn("column_name", F.lit(col))
+    placed = fan_out(pairs, scenarios).where(~after.eqNullSafe(F.col("value")) | F.col("scenario.phase").isNotNull()).select(
+        name, "column_name", F.explode(sides).alias("s")).select("scenario", "column_name", "s.*")
+    known = placed.groupBy("scenario", "column_name", "value").agg(
+        F.bool_or("before").alias("b"), F.bool_or(~F.col("before")).alias("a"))
+    return known.where("a <> b").select(
+        "scenario", "value", F.when(F.col("b"), "removed").otherwise("added").alias("change"), "column_name")
+
+
+def full_change_log(base: DataFrame, scenarios) -> DataFrame:
+    """All changes of all scenarios in one table: numeric columns with their means before and
+    after, text columns with the values they lose (`before_values`) and gain (`after_values`).
+
+    Two passes over the rows, one per kind. The lists hold changed values only, sorted; the
+    scenarios bring in at most one value each, and what they remove is the column's value list.
+    """
+    fanned = fan_out(base, scenarios)
+    nums = change_log(fanned).select(
+        "scenario", "column_name", F.lit("number").alias("kind"), "before", "after",
+        *[F.lit(None).cast("array<string>").alias(f"{s}_values") for s in ("before", "after")])
+    of = lambda change: F.array_sort(F.collect_list(F.when(F.col("change") == change, F.coalesce("value", F.lit("(unknown)")))))
+    none = F.lit(None).cast("double")
+    texts = text_change_log(base, scenarios).groupBy("scenario", "column_name").agg(
+        of("removed").alias("before_values"), of("added").alias("after_values")).select(
+        "scenario", "column_name", F.lit("text").alias("kind"), none.alias("before"), none.alias("after"),
+        "before_values", "after_values")
+    return nums.unionByName(texts)
 
 
 def scenario_predictions(base: DataFrame, scenarios, model=None, target="swe") -> DataFrame:

@@ -81,3 +81,30 @@ def test_change_log(spark):
     assert {(r.scenario, r.value, r.change) for r in texts} == {
         (s, v, c) for s, p in (("Strong El Niño", "El Niño"), ("Strong La Niña", "La Niña"))
         for v, c in (("Neutral", "removed"), (None, "removed"), (p, "added"))}
+
+
+def test_text_changes_of_every_column(spark):
+    df = base(spark).withColumn("wind.dir", F.lit("N"))
+    got = Q.text_change_log(df, K.DEFAULT_SCENARIOS).collect()
+    assert {r.column_name for r in got} == {"enso_phase"} and len(got) == 6
+    same = df.withColumn("enso_phase", F.lit("El Niño"))
+    left = Q.text_change_log(same, K.DEFAULT_SCENARIOS).collect()
+    assert {(r.scenario, r.value, r.change) for r in left} == {
+        ("Strong La Niña", "El Niño", "removed"), ("Strong La Niña", "La Niña", "added")}
+    assert Q.text_change_log(df.where("false"), K.DEFAULT_SCENARIOS).count() == 0
+    assert Q.text_change_log(df.select("swe"), K.DEFAULT_SCENARIOS).count() == 0
+    assert Q.text_change_log(df, K.DEFAULT_SCENARIOS, "wind.dir").count() == 0
+
+
+def test_full_change_log(spark):
+    got = {(r.scenario, r.column_name): r for r in Q.full_change_log(base(spark), K.DEFAULT_SCENARIOS).collect()}
+    r = got["Strong El Niño", "enso_phase"]
+    assert (r.kind, r.before, r.before_values, r.after_values) == ("text", None, ["(unknown)", "Neutral"], ["El Niño"])
+    r = got["Wet Winter", "precipitation"]
+    assert (r.kind, r.before, r.after, r.before_values) == ("number", 5.0, 7.5, None)
+    assert ("Wet Winter", "enso_phase") not in got and ("Wet Winter", "id") not in got
+
+
+def test_text_changes_read_the_rows_once(spark):
+    plan = Q.text_change_log(base(spark), K.DEFAULT_SCENARIOS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
