@@ -43,7 +43,7 @@ def indexed(spark, sf):
 SELECT scenario, station_id, CAST(date AS VARCHAR) AS date, {r4('swe_new')} AS swe, {r4('precipitation_new')} AS precipitation,
        {r4('temperature_new')} AS temperature, {r4('oni_new')} AS oni, enso_phase_new AS enso_phase FROM moved""")
 def apply_scenario(spark, sf):
-    df = Q.apply_scenario(fan_out(indexed(spark, sf), SCENARIOS))
+    df = Q.apply_scenarios(indexed(spark, sf), SCENARIOS)
     return df.select(
         F.col("scenario.name").alias("scenario"), "station_id", day_text().alias("date"),
         *[fixed4(c).alias(c) for c in ("swe", "precipitation", "temperature", "oni")], "enso_phase")

@@ -15,14 +15,32 @@ SECOND_INDEX_SHARE = 0.8
 SNOW_LINE_SCALE, SNOW_LINE_FLOOR = 10_000, 0.5
 
 
-def applied_columns(df: DataFrame) -> dict:
+def parameter_names(scenarios) -> set:
+    """The parameters that any scenario of the list sets."""
+    return {name for s in scenarios for name in s[2]}
+
+
+def can_move(col, names, columns) -> bool:
+    """Whether a scenario with these parameters can change the numeric column `col`."""
+    return (
+        col in names or "temperature" in col.lower() and "temperature_adjustment" in names
+        or "precipitation" in col.lower() and "precipitation_multiplier" in names
+        or col == "nino34" and "oni" in names and "oni" not in columns
+        or col in ("snow_line", "swe") and "snow_line_elevation" in names)
+
+
+def applied_columns(df: DataFrame, names=None) -> dict:
     """{column: value under the scenario} for the columns a scenario can move.
 
-    Order: direct values, then shifts, multipliers, index, phase and snow line.
+    Order: direct values, then shifts, multipliers, index, phase and snow line. With `names`,
+    the parameters in use, columns that none of them can move are left out and so keep their
+    type; a moved column is a double.
     """
     numbers = F.col("scenario.parameters")
     out = {}
     for c in numeric_columns(df):
+        if names is not None and not can_move(c, names, df.columns):
+            continue
         direct, old = numbers[c], F.col(c).cast("double")
         new = old + F.coalesce(direct, F.lit(0.0)) if c == "temperature" else F.coalesce(direct, old)
         if "temperature" in c.lower():
@@ -49,9 +67,14 @@ def moved_text(column, value):
     return F.when((column == "enso_phase") & phase.isNotNull(), phase).otherwise(value)
 
 
-def apply_scenario(df: DataFrame) -> DataFrame:
-    """The same rows with the scenario's values in place."""
-    return df.withColumns(applied_columns(df.drop("scenario")))
+def apply_scenario(df: DataFrame, names=None) -> DataFrame:
+    """The same rows with the scenario's values in place; `names` as in `applied_columns`."""
+    return df.withColumns(applied_columns(df.drop("scenario"), names))
+
+
+def apply_scenarios(df: DataFrame, scenarios) -> DataFrame:
+    """Every row once per scenario with its values in place; untouched columns stay as they are."""
+    return apply_scenario(fan_out(df, scenarios), parameter_names(scenarios))
 
 
 def beside(df: DataFrame, suffix="_scenario") -> DataFrame:
@@ -165,7 +188,7 @@ def scenario_predictions(base: DataFrame, scenarios, model=None, target="swe") -
     """
     if model is None:
         before = mean_predictor(base, target, "original_prediction")
-        moved = apply_scenario(fan_out(before, scenarios))
+        moved = apply_scenarios(before, scenarios)
         if target not in base.columns:
             return moved.withColumn("prediction", F.lit(0.0))
         moved = moved.withColumn("__name", F.col("scenario.name"))
@@ -174,7 +197,7 @@ def scenario_predictions(base: DataFrame, scenarios, model=None, target="swe") -
         return moved.join(F.broadcast(means), "__name", "left").drop("__name")
     before = model.transform(base).withColumnRenamed("prediction", "original_prediction")
     before = before.select(*base.columns, "original_prediction")
-    return model.transform(apply_scenario(fan_out(before, scenarios)))
+    return model.transform(apply_scenarios(before, scenarios))
 
 
 def compare_scenarios(base: DataFrame, scenarios, model=None, target="swe") -> DataFrame:

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from rowcheck import same_rows
 
 from firn import schemas as K
 from firn.operators import whatif as Q
@@ -108,3 +109,13 @@ def test_full_change_log(spark):
 def test_text_changes_read_the_rows_once(spark):
     plan = Q.text_change_log(base(spark), K.DEFAULT_SCENARIOS)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_untouched_columns_keep_their_type(spark):
+    df = base(spark).withColumn("elevation_m", F.lit(2**60 + 1)).withColumn("oni_rank", F.lit(3))
+    got = Q.apply_scenarios(df, K.DEFAULT_SCENARIOS)
+    old = Q.apply_scenario(fan_out(df, K.DEFAULT_SCENARIOS))
+    assert dict(got.dtypes)["elevation_m"] == "bigint" and dict(got.dtypes)["oni_rank"] == "int"
+    assert {r.elevation_m for r in got.select("elevation_m").distinct().collect()} == {2**60 + 1}
+    keep = [c for c in df.columns if c not in ("elevation_m", "oni_rank")]
+    same_rows(got.select("scenario.name", *keep), old.select("scenario.name", *keep))
