@@ -2,6 +2,8 @@
 
 import uuid
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from firn.catalog.aggregates import PHASE_VALUES, _pct
@@ -531,7 +533,7 @@ _LAG = "lag({c}, {k}) OVER (PARTITION BY station_id ORDER BY date) AS {c}_lag_{k
 SELECT d.station_id, CAST(d.date AS VARCHAR) AS date, CAST(year(d.date) AS INT) AS year, CAST(weekofyear(d.date) AS INT) AS week_of_year,
   {_WY.replace('date', 'd.date')} AS water_year, swe_lag_7, temperature_lag_30, {r4('m30')} AS swe_roll_mean_30, {r4('s7')} AS swe_roll_std_7,
   {r4('p90')} AS precipitation_roll_sum_90, {r4('cum')} AS precipitation_cum_wy, {r4('anomaly')} AS temperature_anomaly,
-  {r4('sm')} AS station_mean_swe, {r4('ss')} AS station_std_swe, oni,
+  {r4('cum')} AS precipitation_cum_oct1, {r4('sm')} AS station_mean_swe, {r4('ss')} AS station_std_swe, oni,
   CASE WHEN oni <= -0.5 THEN 'La Niña' WHEN oni <= 0.5 THEN 'Neutral' WHEN oni IS NOT NULL THEN 'El Niño' END AS enso_phase
 FROM (SELECT station_id, date, {_LAG.format(c='swe', k=7)}, {_LAG.format(c='temperature', k=30)}, avg(swe) {_over(30)} AS m30,
     stddev_samp(swe) {_over(7)} AS s7, sum(precipitation) {_over(90)} AS p90,
@@ -541,8 +543,39 @@ FROM (SELECT station_id, date, {_LAG.format(c='swe', k=7)}, {_LAG.format(c='temp
 LEFT JOIN index_monthly i ON last_day(d.date) = i.date""")
 def daily_features(spark, sf):
     df = D.create_features(daily(spark, sf), view(spark, sf, "index_monthly").select("date", "oni"))
-    rounded = ["swe_roll_mean_30", "swe_roll_std_7", "precipitation_roll_sum_90", "precipitation_cum_wy",
+    rounded = ["swe_roll_mean_30", "swe_roll_std_7", "precipitation_roll_sum_90", "precipitation_cum_wy", "precipitation_cum_oct1",
                "temperature_anomaly", "station_mean_swe", "station_std_swe"]
     return df.select(
         "station_id", day_text().alias("date"), "year", "week_of_year", "water_year", "swe_lag_7",
         "temperature_lag_30", *[fixed4(c).alias(c) for c in rounded], "oni", "enso_phase")
+
+
+@job("m18_training_statistics", f"""
+WITH numbered AS (SELECT *, row_number() OVER (ORDER BY date, CAST(concat('0x', substr(md5(station_id), 1, 15)) AS BIGINT)) AS n,
+  count(*) OVER () AS total FROM station_daily),
+parts AS (SELECT *, n <= CAST(floor(total * (1 - 0.2::DOUBLE)) AS BIGINT) AS trains FROM numbered),
+levels AS (SELECT station_id, avg(swe) AS sm, stddev_samp(swe) AS ss FROM parts WHERE trains GROUP BY 1),
+months AS (SELECT month(date) AS m, avg(temperature) AS normal FROM parts WHERE trains GROUP BY 1)
+SELECT p.station_id, CAST(date AS VARCHAR) AS date, CASE WHEN trains THEN 'train' ELSE 'test' END AS part, {r4('sm')} AS station_mean_swe,
+  {r4('ss')} AS station_std_swe, {r4('temperature - normal')} AS temperature_anomaly
+FROM parts p LEFT JOIN levels l ON p.station_id = l.station_id LEFT JOIN months ON month(p.date) = m""")
+def training_statistics(spark, sf):
+    """Station and month statistics of the training rows, on training and test rows."""
+    rows = materialize(daily(spark, sf).withColumn("month", F.month("date")))
+    train, test, _ = D.split_and_scale(rows, method="none", settings=D.FeatureSettings())
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.select("station_id", day_text().alias("date"), "part", *[
+        fixed4(c).alias(c) for c in ("station_mean_swe", "station_std_swe", "temperature_anomaly")])
+
+
+@job("m18_station_encoding", """
+SELECT station_id, CAST(date AS VARCHAR) AS date, dense_rank() OVER (ORDER BY station_id) AS slot, 1.0::DOUBLE AS total,
+  (SELECT count(DISTINCT station_id) FROM station_daily) AS width FROM station_daily""")
+def station_encoding(spark, sf):
+    """The station as a sparse 0/1 vector: one slot per station, in sorted order."""
+    rows = daily(spark, sf).select("station_id", "date")
+    done = Pipeline(stages=M.sparse_one_hot(["station_id"])).fit(rows).transform(rows)
+    hot = vector_to_array("station_id__vector")
+    return done.select(
+        "station_id", day_text().alias("date"), F.array_position(hot, 1.0).alias("slot"),
+        F.aggregate(hot, F.lit(0.0), lambda a, b: a + b).alias("total"), F.size(hot).cast("bigint").alias("width"))

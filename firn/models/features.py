@@ -83,10 +83,13 @@ def random_split(df: DataFrame, test_size=0.2, seed=42, keys=("station_id", "dat
 
 
 def sparse_one_hot(cols):
-    """Pipeline stages that encode text columns of any width as sparse vectors; NULL is all zero."""
+    """Pipeline stages that encode text columns of any width as sparse vectors; NULL is all zero.
+
+    Slots follow the sorted values, so the encoding does not depend on how often they occur.
+    """
     indexed = [f"{c}__index" for c in cols]
     return [
-        StringIndexer(inputCols=list(cols), outputCols=indexed, handleInvalid="keep"),
+        StringIndexer(inputCols=list(cols), outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=indexed, outputCols=[f"{c}__vector" for c in cols], dropLast=True),
     ]
 

@@ -4,10 +4,11 @@ Fitting, prediction and storage are Spark ML; the classes only map settings and
 """
 
 import json
+from collections import Counter
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoderModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -143,23 +144,38 @@ class Forecaster:
         return error_metrics(self.transform(df), self.label, "prediction", *by)
 
     def input_names(self):
-        """One name per vector slot, with category names for encoded inputs."""
-        return self.inputs
+        """The input of every slot of the feature vector; an encoded input has one per category."""
+        widths = {}
+        for stage in self._fitted().stages:
+            if isinstance(stage, OneHotEncoderModel):
+                drop = int(stage.getDropLast())
+                widths |= {c: n - drop for c, n in zip(stage.getOutputCols(), stage.categorySizes)}
+        return [name for name in self.inputs for _ in range(widths.get(name, 1))]
 
     def importance(self) -> DataFrame:
-        """Shares that sum to 1: split gains of trees, absolute coefficients of linear models."""
+        """Shares that sum to 1: split gains of trees, absolute coefficients of linear models.
+
+        One row per input; the categories of an encoded one add up.
+        """
         last = self._fitted().stages[-1]
         raw = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
         values = [abs(float(v)) for v in raw.toArray()]
         spark = self._session()
         names = self.input_names()
-        if len(values) != len(names):
-            names = [f"{names[min(i, len(names) - 1)]}[{i}]" for i in range(len(values))]
-        return normalise(spark.createDataFrame(list(zip(names, values)), "feature string, score double"))
+        scores = dict.fromkeys(names, 0.0)
+        for n, v in zip(names, values, strict=True):
+            scores[n] += v
+        return normalise(spark.createDataFrame(list(scores.items()), "feature string, score double"))
 
     def coefficients(self) -> DataFrame:
         last = self._fitted().stages[-1]
-        pairs = [(n, float(v)) for n, v in zip(self.input_names(), last.coefficients.toArray())]
+        names, values = self.input_names(), last.coefficients.toArray()
+        many = {n for n, k in Counter(names).items() if k > 1}
+        seen = dict.fromkeys(names, 0)
+        pairs = []
+        for n, v in zip(names, values, strict=True):
+            pairs.append((f"{n}[{seen[n]}]" if n in many else n, float(v)))
+            seen[n] += 1
         pairs.append(("(intercept)", float(last.intercept)))
         return self._session().createDataFrame(pairs, "feature string, coefficient double")
 

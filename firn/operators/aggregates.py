@@ -26,12 +26,12 @@ def bundle_counts(bundle: dict) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def month_anomaly(df: DataFrame, col="temperature", name="temperature_anomaly") -> DataFrame:
-    """Difference from the mean of the calendar month.
+def month_anomaly(df: DataFrame, col="temperature", name="temperature_anomaly", source=None) -> DataFrame:
+    """Difference from the mean of the calendar month, over `df` or over the rows of `source`.
 
     Needs a `month` column. The climatology has 12 rows at most plus NULL, so it is broadcast.
     """
-    normal = df.groupBy("month").agg(F.avg(col).alias("__normal"))
+    normal = (df if source is None else source).groupBy("month").agg(F.avg(col).alias("__normal"))
     return (
         df.join(F.broadcast(normal), "month", "left")
         .withColumn(name, F.col(col) - F.col("__normal")).drop("__normal")
@@ -39,8 +39,10 @@ def month_anomaly(df: DataFrame, col="temperature", name="temperature_anomaly")
     )
 
 
-def key_stats(df: DataFrame, col="swe", key="station_id", prefix="station", by_window=False):
-    """Mean and sample deviation of `col` per key on every row.
+def key_stats(df: DataFrame, col="swe", key="station_id", prefix="station", by_window=False, source=None):
+    """Mean and sample deviation of `col` per key on every row, over `df` or the rows of `source`.
+
+    A key that `source` does not have gets NULL.
 
     The statistics combine map-side. The join carries no hint: with adaptive execution a small
     side turns into a broadcast by its measured size and a hot key is split. `by_window` is for
@@ -51,7 +53,7 @@ def key_stats(df: DataFrame, col="swe", key="station_id", prefix="station", by_w
     if by_window:
         w = W.partitionBy(key)
         return df.select("*", mean.over(w).alias(names[0]), std.over(w).alias(names[1]))
-    stats = df.groupBy(key).agg(mean.alias(names[0]), std.alias(names[1]))
+    stats = (df if source is None else source).groupBy(key).agg(mean.alias(names[0]), std.alias(names[1]))
     return df.join(stats, key, "left")
 
 

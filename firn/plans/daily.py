@@ -1,11 +1,11 @@
 """Daily station pipeline: clean, join, build features, split, scale, fit and score."""
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, functions as F
 
 from firn.functions import scalars as N
-from firn.models.features import apply_scaler, fit_scaler, random_split, temporal_split
+from firn.models.features import apply_scaler, fit_scaler, random_split, sparse_one_hot, temporal_split
 from firn.models.regression import Boosting, Forecaster
 from firn.operators import windows as W
 from firn.operators.aggregates import key_stats, month_anomaly
@@ -29,13 +29,16 @@ class FeatureSettings:
     climate: bool = True
     index: bool = True
     stations: bool = True
+    statistics: bool = True
 
 
 def create_features(df: DataFrame, index: DataFrame = None, settings=None) -> DataFrame:
     """All features next to the input columns.
 
     Hot stations are looked for once. Without any, lags, rolling windows, running sums and
-    station statistics share one shuffle on the station.
+    station statistics share one shuffle on the station. Statistics (station level and spread,
+    month means) are those of all rows; switch them off and use `add_statistics` to take them
+    from training rows only.
     """
     s = settings or FeatureSettings()
     date, station = s.series.order[0], s.series.keys[0]
@@ -59,10 +62,10 @@ def create_features(df: DataFrame, index: DataFrame = None, settings=None) -> Da
     if s.climate and "precipitation" in df.columns:
         df = N.add_water_year(df, date)
         df = W.add_water_year_total(df, series=s.series, hot=hot if hot is None else "find")
-    if s.stations and s.target in df.columns:
-        df = key_stats(df, s.target, station, by_window=hot is None)
-    if s.climate and "temperature" in df.columns:
-        df = month_anomaly(df)
+        # The water year starts on October 1, so both totals are one.
+        df = N.add_missing(df, {"precipitation_cum_oct1": F.col("precipitation_cum_wy")})
+    if s.statistics:
+        df = add_statistics(df, s, by_window=hot is None)
     if s.index and index is not None:
         df = join_index_month(df, index, date)
         if "oni" in df.columns:
@@ -75,17 +78,36 @@ def create_features(df: DataFrame, index: DataFrame = None, settings=None) -> Da
     return df
 
 
+def add_statistics(df: DataFrame, settings=None, source=None, by_window=False) -> DataFrame:
+    """Level and spread of the target per station and the anomaly from the mean of the month.
+
+    With `source` the numbers come from its rows, as from training rows for a test set: a
+    station or month it does not have gets NULL.
+    """
+    s = settings or FeatureSettings()
+    if s.stations and s.target in df.columns:
+        df = key_stats(df, s.target, s.series.keys[0], by_window=by_window and source is None, source=source)
+    if s.climate and "temperature" in df.columns:
+        df = month_anomaly(df, source=source)
+    return df
+
+
 def feature_columns(df: DataFrame, target="swe", keys=("station_id", "date")):
     """Numeric inputs of a model: everything but keys and target."""
     return N.numeric_columns(df, (*keys, target))
 
 
 def split_and_scale(df: DataFrame, target="swe", test_size=0.2, method="standard", temporal=True,
-                    seed=42, series=Series()):
-    """(train, test, scaler). The scaler sees the training rows only."""
+                    seed=42, series=Series(), settings=None):
+    """(train, test, scaler). The scaler sees the training rows only.
+
+    With `settings` both parts also get the statistics of the training rows.
+    """
     train, test = (
         temporal_split(df, test_size, series.order[0], series.keys[0]) if temporal
         else random_split(df, test_size, seed, (*series.keys, *series.order)))
+    if settings is not None:
+        train, test = add_statistics(train, settings, train), add_statistics(test, settings, train)
     scaler = fit_scaler(train, feature_columns(df, target), method)
     return apply_scaler(train, scaler), apply_scaler(test, scaler), scaler
 
@@ -95,17 +117,22 @@ def run_daily(snow: DataFrame, climate: DataFrame, index: DataFrame, settings=No
     """Cleaned sources to scored model: features, metrics, importance and the fitted model.
 
     The feature table is written once, because splitting, scaling and every boosting round
-    read it again.
+    read it again. Statistics come from the training rows, and the station enters the model as
+    a sparse 0/1 vector, whose width is the number of stations trained on.
     """
     s = settings or FeatureSettings(lags=(1, 7, 30), windows=(7, 30), include_current=False)
     joined = join_sources(clean(snow, (s.target, "snow_depth"), series=s.series),
                           clean(climate, (), series=s.series), (s.series.order[0], *s.series.keys))
     shared = [c[:-5] for c in joined.columns if c.endswith("_snow")]
     joined = merge_shared(joined, shared)
-    features = materialize(create_features(joined, index, s))
-    train, test, scaler = split_and_scale(features, s.target, test_size, series=s.series)
-    inputs = feature_columns(features, s.target)
-    fitted = Forecaster(model or Boosting(), inputs, s.target).fit(train)
+    features = materialize(create_features(joined, index, replace(s, statistics=False)))
+    train, test, scaler = split_and_scale(
+        features, s.target, test_size, series=s.series, settings=s if s.statistics else None)
+    inputs, encoders = feature_columns(train, s.target), []
+    if s.stations:
+        station = s.series.keys[0]
+        inputs, encoders = [*inputs, f"{station}__vector"], sparse_one_hot([station])
+    fitted = Forecaster(model or Boosting(), inputs, s.target, encoders).fit(train)
     return {
         "features": features, "train": train, "test": test, "scaler": scaler, "model": fitted,
         "metrics": fitted.evaluate(test), "importance": fitted.importance(),

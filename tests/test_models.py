@@ -86,6 +86,8 @@ def test_sparse_encoding(spark):
     df = spark.createDataFrame(rows, "station_id string, y double")
     f = Forecaster(Linear("ridge"), ["station_id__vector"], "y", M.sparse_one_hot(["station_id"])).fit(df)
     assert f.transform(df).count() == 80
+    assert [r.feature for r in f.importance().collect()] == ["station_id__vector"]
+    assert [r.feature for r in f.coefficients().collect()] == [*[f"station_id__vector[{i}]" for i in range(3)], "(intercept)"]
 
 
 @pytest.mark.parametrize("size", [0.2, 0.37, 0.5])
@@ -171,6 +173,16 @@ def test_daily_run(spark, stations):
     metrics = out["metrics"].first()
     assert metrics.row_count > 0 and metrics.rmse > 0
     assert out["importance"].count() == len(out["model"].inputs)
+    assert {"station_id__vector", "precipitation_cum_oct1", "station_mean_swe"} <= set(out["model"].inputs)
+
+
+def test_statistics_of_the_training_rows_only(spark):
+    rows = [("a", f"2020-01-{d:02d}", float(d), 1, float(d)) for d in range(1, 9)] + [("b", "2020-02-01", 100.0, 2, 7.0), ("a", "2020-02-01", 50.0, 2, 9.0)]
+    df = spark.createDataFrame(rows, "station_id string, d string, swe double, month int, temperature double").withColumn("date", F.col("d").cast("date"))
+    train, test, _ = D.split_and_scale(df, method="none", settings=D.FeatureSettings())
+    assert {r.station_mean_swe for r in train.collect()} == {4.5} and {r.temperature_anomaly for r in train.where("d = '2020-01-08'").collect()} == {3.5}
+    got = {r.station_id: r for r in test.collect()}
+    assert got["a"].station_mean_swe == 4.5 and got["b"].station_mean_swe is None and got["a"].temperature_anomaly is None
 
 
 def test_every_row_gets_a_place_in_the_predictions(spark):
