@@ -200,10 +200,29 @@ def scenario_predictions(base: DataFrame, scenarios, model=None, target="swe") -
     return model.transform(apply_scenarios(before, scenarios))
 
 
+def scenario_means(base: DataFrame, scenarios, target="swe") -> DataFrame:
+    """(scenario, mean before, mean after): the mean predictor as one row per scenario, 0 without a target."""
+    name = F.col("scenario.name").alias("__name")
+    if target not in base.columns:
+        return fan_out(base, scenarios).groupBy(name).agg(
+            F.lit(0.0).alias("original_prediction"), F.lit(0.0).alias("prediction"))
+    kept = base.select(target, F.col(target).cast("double").alias("__old"), *[
+        c for c in base.columns if c == "oni" and c != target])  # how nino34 moves depends on oni
+    moved = apply_scenarios(kept, scenarios)
+    return moved.groupBy(name).agg(F.avg("__old").alias("original_prediction"), F.avg(target).alias("prediction"))
+
+
 def compare_scenarios(base: DataFrame, scenarios, model=None, target="swe") -> DataFrame:
-    """One row per scenario: impact, comparison metrics and a summary text."""
-    rows = scenario_predictions(base, scenarios, model, target).select(
-        F.col("scenario.name").alias("__name"), "original_prediction", "prediction")
+    """One row per scenario: impact, comparison metrics and a summary text.
+
+    Without a model every row of a scenario has the same prediction, so one row per scenario
+    with both means stands for all of them and the rows are fanned out and read once.
+    """
+    if model is None:
+        rows = scenario_means(base, scenarios, target)
+    else:
+        rows = scenario_predictions(base, scenarios, model, target).select(
+            F.col("scenario.name").alias("__name"), "original_prediction", "prediction")
     measures = impact_columns("original_prediction", "prediction") | comparison_columns(
         "original_prediction", "prediction")
     measured = rows.groupBy("__name").agg(*[c.alias(n) for n, c in measures.items()])

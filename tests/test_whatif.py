@@ -119,3 +119,15 @@ def test_untouched_columns_keep_their_type(spark):
     assert {r.elevation_m for r in got.select("elevation_m").distinct().collect()} == {2**60 + 1}
     keep = [c for c in df.columns if c not in ("elevation_m", "oni_rank")]
     same_rows(got.select("scenario.name", *keep), old.select("scenario.name", *keep))
+
+
+def test_means_stand_for_all_rows(spark):
+    df = base(spark)
+    got = Q.compare_scenarios(df, K.DEFAULT_SCENARIOS)
+    rows = Q.scenario_predictions(df, K.DEFAULT_SCENARIOS)
+    measures = Q.impact_columns("original_prediction", "prediction") | Q.comparison_columns("original_prediction", "prediction")
+    want = rows.groupBy(F.col("scenario.name").alias("scenario")).agg(*[c.alias(n) for n, c in measures.items()])
+    same_rows(got.select(*want.columns), want)
+    assert {r.percentage_change == 0.0 for r in got.where("scenario = 'Warm Winter'").collect()} == {False}
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("LogicalRDD") + text.count("Generate explode") <= 3
