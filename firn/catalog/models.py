@@ -24,6 +24,7 @@ from firn.models.validation import GRID, Setting, cross_validate, random_folds,
 from firn.operators import joins as J, whatif as Q
 from firn.operators.aggregates import error_metrics
 from firn.plans import daily as D, outlook as O
+from firn.plans.requests import answer_requests
 from firn.schemas import DEFAULT_SCENARIOS
 from firn.session import materialize, shared_folder
 
@@ -380,6 +381,24 @@ def scenario_sweep(spark, sf):
         "analog_year", "temperature_anomaly_c", "precipitation_mm", "snowfall_cm", "wetness")
 
 
+@job("flow_answer_requests", """
+SELECT DISTINCT water_year AS request_id, CASE WHEN water_year % 3 = 0 THEN 'rejected' ELSE 'answered' END AS part,
+  water_year % 3 <> 0 AS has_card, water_year % 3 <> 0 AS has_peak FROM winter_history""")
+def request_flow(spark, sf):
+    """One request per winter, some without a readable year: guard, forecast, cards and peak month."""
+    h = history(spark, sf)
+    year = F.when(F.col("water_year") % 3 == 0, "unknown").otherwise((F.col("water_year") + 1).cast("string"))
+    requests = h.groupBy(F.col("water_year").alias("request_id"), year.alias("year")).agg(
+        *[F.max(c).cast("string").alias(c) for c in ("enso", "pdo", "ao", "pna")])
+    done = answer_requests(materialize(requests), small_outlook(spark, sf), h)
+    texts = [F.col(c).isNotNull() for c in ("temperature", "precipitation", "snowfall", "vs_normal")]
+    peaks = done["peaks"].select("request_id", (F.col("chart_max") >= 1).alias("has_peak"))
+    cards = done["cards"].join(peaks, "request_id").select(
+        "request_id", F.lit("answered").alias("part"), (texts[0] & texts[1] & texts[2] & texts[3]).alias("has_card"), "has_peak")
+    return cards.unionByName(done["rejected"].select(
+        "request_id", F.lit("rejected").alias("part"), F.lit(False).alias("has_card"), F.lit(False).alias("has_peak")))
+
+
 @job("q7_model_scenarios")
 def model_scenarios(spark, sf):
     rows = training(spark, sf)
