@@ -14,9 +14,11 @@ CENTROIDS = 4
 #: Labelled rows per language that the centroids are fitted on, about; the idf covers all rows.
 SAMPLE = 600
 #: A text of EVIDENCE different trigrams or more that has a smaller cosine than FLOOR to every
-#: centroid belongs to no learned language. Shorter ones lie far from any centroid by nature.
+#: centroid belongs to no learned language. With fewer trigrams a text can only cover a smaller
+#: part of a centroid, so the floor falls with their number, to zero at HINT, a word of two or three letters.
 FLOOR = 0.2
 EVIDENCE = 64
+HINT = 4
 UNKNOWN = "und"
 
 #: Every ASCII byte that is no letter counts as a space.
@@ -76,10 +78,10 @@ class LanguageModel:
             block = texts[lo : lo + 256]
             x = vectors(block, self.idf)
             cos = x @ self.centroids.T
-            short = (x > 0).sum(axis=1) < EVIDENCE
+            floor = self.floor * np.clip(((x > 0).sum(axis=1) - HINT) / (EVIDENCE - HINT), 0, 1)
             best = cos.argmax(axis=1)
             top = np.clip(cos[np.arange(len(block)), best], 0, 1)
-            near = short | (top >= self.floor)
+            near = top >= floor
             for t, b, s, ok in zip(block, best.tolist(), top.tolist(), near.tolist()):
                 out.append((self.langs[b], s, ok) if has_letter(t) else (UNKNOWN, 0.0, False))
         return out
@@ -141,7 +143,8 @@ def predict_language(df, model, text_col="text", keep=None):
     """The columns `keep` (all by default) and `lang_pred`, `score`, `accepted` under names still free.
 
     A null text or one without any letter is `und`, score 0, not accepted. A text whose nearest
-    centroid is farther than the model's floor keeps the nearest language but is not accepted.
+    centroid is farther than the model's floor, which is lower for short texts, keeps the nearest
+    language but is not accepted.
     Without a model every row is `und`, not accepted. Empty tables give no rows.
     """
     keep = df.columns if keep is None else list(keep)
@@ -173,7 +176,13 @@ def identify(df):
 
 
 def keep_identified(df, **options):
-    """The rows whose text fits a learned language, unchanged."""
+    """The rows whose text fits a learned language, unchanged; repeated rows are judged alike.
+
+    Null texts, texts without a letter and texts far from all learned languages go. Where no row
+    has both a text and a language nothing can be learned, and all rows stay. Empty stays empty.
+    """
     model = fit_language(training_rows(df), **options)
+    if model is None:
+        return df
     tagged = predict_language(df, model)
     return tagged.where(F.col(tagged.columns[-1])).select(*df.columns)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import fixtures as fx
 from firn.llm import contamination, graph, language, simhash
@@ -40,6 +41,15 @@ def test_far_texts_are_rejected(spark):
     short = "Oh."
     got = model.predict([noise, short, docs.first().text])
     assert [g[2] for g in got] == [False, True, True]
+    assert [g[2] for g in model.predict(["zxq wvk qqq zzz xj", "Пример текста", "qwrtzp lkjhg"])] == [False] * 3
+    few = [r.text for r in docs.select("text").distinct().collect() if r.text and 0 < len(r.text) < 80]
+    assert len(few) > 10 and np.mean([g[2] for g in model.predict(few)]) > 0.98
+
+
+def test_without_labels_no_document_goes(spark):
+    docs = fx.odd_documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert fx.rows_of(language.keep_identified(docs)) == fx.rows_of(docs)
+    assert language.keep_identified(fx.empty(spark)).count() == 0
 
 
 def slow_alignment(a, b):
@@ -155,6 +165,21 @@ def test_vectors_over_many_shards_and_blocks(spark, monkeypatch):
     assert sum(r.component_id == want[r.id][1] for r in got) >= 0.98 * len(got)
 
 
+def test_many_cut_shards_make_one_flat_plan(spark, monkeypatch):
+    """Cutting is a join with a table of large shards, so the plan does not grow with their number."""
+    monkeypatch.setattr(graph, "BLOCK", 2)
+    rng = np.random.default_rng(9)
+    centres = {"s": rng.normal(size=(600, 8))}
+    rows = [(i, "s", 1, i, [float(v) for v in x]) for i, x in enumerate(np.repeat(centres["s"], 3, axis=0) + rng.normal(size=(1800, 8)) * 1e-3)]
+    rows += [(5000 + i, "none", 1, 5000 + i, [float(i), 1.0]) for i in range(7)]  # a space without centres is cut, too
+    classes = spark.createDataFrame(rows, "node long, space string, m long, least long, v array<double>")
+    got = {r.node: r.n for r in graph.link_classes(classes, centres, 1).groupBy("node").agg(F.sum("hits").alias("n")).collect()}
+    assert sum(got[i] >= 2 for i in range(1800)) > 1700
+    x = np.array([[float(i), 1.0] for i in range(7)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert [got[5000 + i] for i in range(7)] == ((x @ x.T >= graph.COSINE).sum(axis=1) - 1).tolist()
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
