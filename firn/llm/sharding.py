@@ -10,8 +10,9 @@ from firn.session import materialize
 
 BUCKET_BYTES = 64 << 20
 BUCKETS = 256
-#: Copies of one (id, text) from which on they are scattered one by one.
-HOT = 10_000
+#: Bytes that all copies of one (id, text) may take in a bucket, ROW for each and its text; beyond, they are scattered singly.
+HOT = BUCKET_BYTES // 8
+ROW = 100
 
 
 def fisher_yates(n, rng):
@@ -29,11 +30,12 @@ def scattered(df, id_col, text_col, seed, hot, names):
     a, b, copy = names
     key = lambda s: F.xxhash64(F.lit(seed), F.lit(s), F.col(id_col), F.col(text_col))
     d = df.withColumn(a, key(1)).withColumn(b, key(2))
-    often = d.groupBy(a).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + 8).alias("bytes"))
+    size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0))
+    often = d.groupBy(a).agg(F.count("*").alias("n"), F.sum(size + 8).alias("bytes"))
     often = materialize(often)
     rows, size = often.agg(F.sum("n"), F.sum("bytes")).first()
-    crowd = often.where(F.col("n") > hot).select(F.col(a).alias("h"))
-    many = crowd.count()  # at most rows / hot
+    crowd = often.where((F.col("n") > 1) & (F.col("bytes") + F.col("n") * (ROW - 8) > hot)).select(F.col(a).alias("h"))
+    many = crowd.count()  # at most bytes / hot
     if not many:
         return d.withColumn(copy, F.lit(0).cast("long")), rows or 0, size or 0
     crowd = F.broadcast(crowd) if many <= 10_000 else crowd
@@ -49,8 +51,8 @@ def shuffle_shards(df, shards=24, id_col="doc_id", text_col="text", seed=11, buc
     Pass two puts each bucket into a fixed order and shuffles it by Fisher-Yates. The buckets one
     after the other are a permutation of the table, cut into shards whose row counts differ by one
     at most. The result is a function of the rows and the seed. Rows equal in id and text change
-    places freely; where thousands of them are equal in all columns they count as copies of one
-    row and are dealt singly. Nulls hash as such. An empty table stays empty.
+    places freely; where together they pass `hot` bytes, those equal in all columns count as copies
+    of one row and are dealt singly. Nulls hash as such. An empty table stays empty.
     """
     a, b, copy, bucket, shard, slot = fresh(df, "_a", "_b", "_copy", "_bucket", "shard", "slot")
     d, rows, size = scattered(df, id_col, text_col, seed, hot, (a, b, copy))
