@@ -167,7 +167,7 @@ def clear(text):
 
 
 def personal_spans(text):
-    """(plain spans, all spans), each by kind, then start; added ones overlap no plain one of their kind."""
+    """(plain spans, all spans), each by kind, then start; an added one may hold a plain one but lies in none of its kind."""
     base = plain_spans(text)
     t = clear(text)
     if t is None:
@@ -175,7 +175,7 @@ def personal_spans(text):
     out = list(base)
     for kind, lo, hi in plain_spans(t.text):
         a, b = t.start[lo], t.end[hi - 1]
-        if t.changed(lo, hi, text) and not any(k == kind and s < b and a < e for k, s, e in base):
+        if t.changed(lo, hi, text) and not any(k == kind and s <= a and b <= e for k, s, e in base):
             out.append((kind, a, b))
     return base, sorted(out)
 

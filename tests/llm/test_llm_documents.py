@@ -172,6 +172,17 @@ def test_disguises_need_no_other_sign(text, kind, part, more):
     assert base == [] and [(pii.KINDS[k], text[s:e]) for k, s, e in every] == [(kind, part)]
 
 
+@pytest.mark.parametrize("text, kind, plain, whole", [
+    ("mail jоhn@example.com", "email", "hn@example.com", "jоhn@example.com"),
+    ("mail jo\u00adhn@example.com", "email", "hn@example.com", "jo\u00adhn@example.com"),
+    ("call +49 176 555 01 two three", "phone", "+49 176 555 01", "+49 176 555 01 two three"),
+])
+def test_whole_identifiers_beside_their_plain_parts(text, kind, plain, whole):
+    base, every = pii.personal_spans(text)
+    named = lambda spans: [(pii.KINDS[k], text[s:e]) for k, s, e in spans]
+    assert named(base) == [(kind, plain)] and set(named(every)) == {(kind, plain), (kind, whole)} and len(every) == 2
+
+
 @pytest.mark.parametrize("text", ["look at the dot now", "one or two at a time", "Привет, мир", "é at the point", "un, deux, trois", "it was at home. dot com boom"])
 def test_clean_texts_stay_clean(text):
     assert pii.personal_spans(text) == ([], [])
@@ -215,12 +226,30 @@ def test_sharding_is_a_permutation(docs, spark):
 
 def test_hot_rows_are_dealt_singly(spark):
     df = spark.createDataFrame([(1, "same")] * 400 + [(i, f"t{i}") for i in range(100)], "doc_id long, text string")
-    rows = sharding.shuffle_shards(df, shards=5, hot=50, buckets=40).collect()
+    rows = sharding.shuffle_shards(df, shards=5, hot=5_000, buckets=40).collect()
     assert Counter((r.doc_id, r.text) for r in rows) == Counter(map(tuple, df.collect()))
     same = Counter(r.shard for r in rows if r.text == "same")
     assert sorted(Counter(r.shard for r in rows).values()) == [100] * 5 and min(same.values()) > 50
 
 
+def test_few_long_copies_are_dealt_singly(spark):
+    """What counts is the bytes of the copies: 60 long ones are dealt singly, 60 short ones share a bucket."""
+    df = spark.createDataFrame([(1, "x" * 5_000)] * 60 + [(2, "y")] * 60 + [(3, "z" * 90_000)], "doc_id long, text string")
+    names = ("_a", "_b", "_copy")
+    d, n, size = sharding.scattered(df, "doc_id", "text", 11, 50_000, names)
+    copies = Counter((r.doc_id, r._copy) for r in d.collect())
+    assert copies == Counter([(1, i) for i in range(1, 61)] + [(2, 0)] * 60 + [(3, 0)]) and n == 121
+    assert size == 60 * 5_008 + 60 * 9 + 90_008
+
+
+def test_sharding_digest(docs):
+    rows = sharding.sharded_documents(docs, shards=5).collect()
+    text = lambda r: (r.text or "").encode()
+    want = Counter((r.doc_id, len(text(r)) + 8, zlib.crc32(text(r)), "rows", None) for r in docs.collect())
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard) for r in rows) == want
+    assert sharding.sharded_documents(docs.limit(0), shards=5).count() == 0
+
+
 def test_fisher_yates_is_uniform():
     rng = np.random.default_rng(2)
     n = Counter(tuple(sharding.fisher_yates(4, rng).tolist()) for _ in range(24_000))
