@@ -275,18 +275,18 @@ def link_classes(classes, centres, overlap):
     """(node, links, hits, root) over all shards, blocks of large shards each against each."""
     near = materialize(assigned(classes, centres, overlap))
     each = near.select("*", F.explode("shards").alias("shard"))
-    size = {r.shard: r["count"] for r in each.where("shard >= 0").groupBy("shard").count().collect()}  # CENTRES rows, about
-    blocks = {s: -(-n // BLOCK) for s, n in size.items() if n > BLOCK}
-    cut = F.lit(1)
-    for s, b in blocks.items():
-        cut = F.when(F.col("shard") == s, F.lit(b)).otherwise(cut)
-    each = each.withColumn("blocks", cut).withColumn("block", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("blocks")).cast("int"))
+    size = each.groupBy(F.col("space").alias("of"), F.col("shard").alias("s")).count().where(F.col("count") > BLOCK)
+    size = materialize(size.select("of", "s", F.ceil(F.col("count") / BLOCK).alias("cut")))
+    large = size.count()  # at most rows / BLOCK
+    size = F.broadcast(size) if large <= 10_000 else size
+    each = each.join(size, (each.space == size.of) & (each.shard == size.s), "left").withColumn("blocks", F.coalesce("cut", F.lit(1))).drop("of", "s", "cut")
+    each = each.withColumn("block", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("blocks")).cast("int"))
     edges = materialize(shard_edges(each.select("space", "shard", "block", "node", "v")))
     union = edges.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")).withColumnRenamed("node", "node2")
     union = materialize(union)
     each = each.join(union, each.node == union.node2).drop("node2")
     one = each.where("blocks = 1").select("space", "shard", "block", F.lit(0).alias("chunk"), "node", "v", "m", "shards", "near", F.lit(3).alias("role"))
-    if blocks:
+    if large:
         many = each.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         held = many.select("space", "shard", "block", F.col("other").alias("chunk"), "node", "v", "m", "shards", "near", F.when(F.col("other") == F.col("block"), 3).otherwise(1).alias("role"))
         asks = many.where("other <> block").select("space", "shard", F.col("other").alias("block"), F.col("block").alias("chunk"), "node", "v", "m", "shards", "near", F.lit(2).alias("role"))
