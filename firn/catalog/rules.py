@@ -145,6 +145,7 @@ def _report_sql(a):
     lines = ", '\n', ".join(
         f"CASE WHEN pct > 10 THEN {_q(f'{n}: {hi}')} WHEN pct < -10 THEN {_q(f'{n}: {lo}')} ELSE {_q(f'{n}: {mid}')} END"
         for n, hi, mid, lo in reports.LINES[a])
+    lines += "".join(f", '\n', CASE WHEN pct > 0 THEN {_q(f'{n}: {hi}')} ELSE {_q(f'{n}: {lo}')} END" for n, hi, lo in reports.SIGN_LINES.get(a, ()))
     return f"""SELECT model_id, '{a}' AS audience, concat('{title} for {readers}', '\n', 'Forecast: ', {_digit('predicted')},
       ' inches, ', {_plus('pct')}, '% against the average of ', {_digit('baseline')}, ' inches', '\n',
       'Confidence: medium, risk: ', CASE {_BAND} WHEN 'high' THEN 'low' WHEN 'low' THEN 'high' ELSE 'normal' END, '\n',
@@ -181,6 +182,23 @@ def importance(spark, sf):
         F.col("column_name").alias("feature"), F.col("corr_target").alias("importance"))
 
 
+@job("r13_explained_forecasts", f"""WITH means AS (SELECT *, (predicted - baseline) / baseline * 100 AS pct FROM (
+    SELECT model_id, max(yhat) * 0.5 AS predicted, avg(y) AS baseline FROM scored GROUP BY 1) x),
+  {IMPORTANCE}, ranked AS (SELECT *, row_number() OVER (ORDER BY importance DESC, feature) AS rank FROM signed),
+  top AS (SELECT string_agg(concat(feature, ' ', CASE WHEN importance > 0 THEN 'positive' ELSE 'negative' END), ', ' ORDER BY rank) AS drivers
+    FROM ranked WHERE rank <= 5)
+SELECT model_id, {r4('pct')} AS change_percentage, 'medium' AS confidence,
+  CASE {_BAND} WHEN 'high' THEN 'low' WHEN 'low' THEN 'high' ELSE 'normal' END AS risk_level, {_TREND} AS trend, drivers FROM means, top""")
+def explained_forecasts(spark, sf):
+    """One row per forecast with its change, risk and the five strongest drivers."""
+    df = view(spark, sf, "scored").groupBy("model_id").agg(
+        (F.max("yhat") * 0.5).alias("predicted_value"), F.avg("y").alias("baseline_value"))
+    done = R.with_drivers(R.explain(df, "predicted_value", "baseline_value"), importance(spark, sf))
+    drivers = F.array_join(F.transform("key_drivers", lambda d: F.concat_ws(" ", d["feature"], d["direction"])), ", ")
+    return done.select("model_id", fixed4("change_percentage").alias("change_percentage"), "confidence", "risk_level", "trend",
+                       drivers.alias("drivers"))
+
+
 @job("r11_feature_glossary", f"""WITH {IMPORTANCE}, top AS (SELECT * FROM signed ORDER BY importance DESC, feature LIMIT 4),
   known(feature, explanation, influence, implications) AS (VALUES {', '.join(
     f"({_q(f)}, {_q(a)}, {_q(b)}, {_q(c)})" for f, (a, b, c) in R.GLOSSARY.items())})

@@ -209,6 +209,23 @@ def key_drivers(importance: DataFrame, k=5, by=()) -> DataFrame:
     })
 
 
+def with_drivers(explained: DataFrame, importance: DataFrame, k=5, by=()) -> DataFrame:
+    """Explained forecasts with `key_drivers`, at most k structs from the most important down.
+
+    `by` names columns of both tables that tell models apart; a forecast of a model without
+    importances gets an empty list.
+    """
+    item = F.struct(F.col("importance").alias("__i"), "feature", "importance", "direction", "description")
+    # By falling importance, ties by name, as `top_k` picks them.
+    order = lambda a, b: (
+        F.when(a["__i"] > b["__i"], -1).when(a["__i"] < b["__i"], 1)
+        .when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).otherwise(0))
+    lists = key_drivers(importance, k, by).groupBy(*by).agg(F.array_sort(F.collect_list(item), order).alias("__d"))
+    joined = explained.join(lists, list(by), "left") if by else explained.withColumn("__d", lists.scalar())
+    shown = F.transform("__d", lambda d: F.struct(*[d[c].alias(c) for c in ("feature", "importance", "direction", "description")]))
+    return joined.withColumn("key_drivers", F.coalesce(shown, F.array())).drop("__d")
+
+
 # What is known about common features (explanation, influence, implications).
 GLOSSARY = {
     "day_of_year": (

@@ -60,6 +60,15 @@ def test_reports_fall_back_to_the_water_audience(spark):
     known = reports.audience_reports(df, ("water_managers", "mayors", "ski_resorts")).collect()
     assert known[0].report == known[1].report != known[2].report
     assert "+20.0%" in known[0].report
+    assert "Drought: standard monitoring" in known[0].report and "Snowpack year: above average" in known[0].report
+    assert all(len(r.report.split("\n")) >= 12 for r in known)
+
+
+def test_drivers_of_every_forecast(spark):
+    df = spark.createDataFrame([("a", 12.0, 10.0), ("b", 9.0, 10.0), ("c", 1.0, 1.0)], "model string, p double, b double")
+    imp = spark.createDataFrame([("a", "x", 0.5), ("a", "z", 0.5), ("a", "y", -0.1), ("b", "y", 2.0)], "model string, feature string, importance double")
+    got = {r.model: [(d.feature, d.direction) for d in r.key_drivers] for r in R.with_drivers(R.explain(df, "p", "b"), imp, 2, ("model",)).collect()}
+    assert got == {"a": [("x", "positive"), ("z", "positive")], "b": [("y", "positive")], "c": []}
 
 
 def test_text_formats(spark):
