@@ -104,6 +104,25 @@ def numbered_parts(spark, sf):
     return X.split_sections(view(spark, sf, "labelled_text"), ":").drop("text")
 
 
+@job("x5_event_properties", """
+SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS kind, CAST(value AS VARCHAR) AS shown FROM events""")
+def event_properties(spark, sf):
+    """The JSON of every event as a map, and the pairs `kind=..., shown=...` of the same event."""
+    df = spark.read.parquet(f"{sf}/events.parquet")
+    pairs = X.parameters_of(F.concat(F.lit("kind="), "event_type", F.lit(", loose, shown = "), F.col("value").cast("string")))
+    df = df.select("event_id", X.parameters_of("props").alias("p"), pairs.alias("q"))
+    return df.select("event_id", F.col("p")["k"].alias("k"), F.col("q")["kind"].alias("kind"), F.col("q")["shown"].alias("shown"))
+
+
+@job("x6_document_parts", r"""
+SELECT doc_id, part, regexp_replace(p[part + 1], '^\s+|\s+$', '', 'g') AS part_text
+FROM (SELECT doc_id, string_split(text, '.') AS p, CAST(unnest(range(1, len(string_split(text, '.')))) AS INT) AS part FROM documents) x""")
+def document_parts(spark, sf):
+    """Whole documents cut at every full stop."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return X.split_sections(docs, ".").drop("text")
+
+
 def forecast_documents(spark, sf):
     """A contract document per winter, some of them broken on purpose."""
     h = add_region(history(spark, sf), "label", "region_order")
