@@ -1,10 +1,11 @@
 """Model jobs over the station and winter views; README lists the jobs with fewer trees than the defaults."""
 
 import uuid
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from firn.catalog.aggregates import PHASE_VALUES, _pct
 from firn.catalog.joins import COMPARED_SQL, REGION_VALUES, history
@@ -381,6 +382,41 @@ def scenario_sweep(spark, sf):
         "analog_year", "temperature_anomaly_c", "precipitation_mm", "snowfall_cm", "wetness")
 
 
+@job("flow_outlook", """
+WITH n AS (SELECT count(DISTINCT water_year) AS sets FROM winter_history),
+parts(part, per_set) AS (VALUES ('statewide', 1), ('trajectory', 6), ('season_phases', 3), ('regional_summary', 7), ('regional_monthly', 42), ('forecast', 42))
+SELECT part, CAST(sets * per_set AS BIGINT) AS rows, 0::BIGINT AS rows_without_number FROM parts, n
+UNION ALL SELECT 'backtest', 1, 0""")
+def outlook_flow(spark, sf):
+    """From history to the summary tables of every scenario set, with a backtest of two winters: rows per table."""
+    tables = O.run_outlook(materialize(history(spark, sf)), observed_scenarios(spark, sf), years=2, by=("analog_year",), trees=10, max_depth=6)
+    numbers = {
+        "statewide": ("temperature_anomaly_c", "precipitation_mm", "snowfall_cm", "precipitation_pct_normal"),
+        "trajectory": ("precipitation_mm", "snowfall_cm"), "season_phases": ("precipitation_mm", "snowfall_cm"),
+        "regional_summary": ("precipitation_pct_normal", "temperature_anomaly_c"), "regional_monthly": ("precipitation_mm",),
+        "forecast": ("temperature_anomaly", "precipitation_mm", "snowfall_cm"),
+        "backtest": ("temperature_mae_c", "precipitation_mae_mm", "snowfall_mae_cm"),
+    }
+    missing = lambda cols: reduce(Column.__or__, [F.col(c).isNull() | F.isnan(c) for c in cols])
+    parts = [tables[part].agg(F.count("*").alias("rows"), F.count_if(missing(cols)).alias("rows_without_number")).withColumn("part", F.lit(part))
+             for part, cols in numbers.items()]
+    return reduce(DataFrame.unionByName, parts).select("part", "rows", "rows_without_number")
+
+
+@job("flow_daily", """
+WITH n AS (SELECT count(*) AS total, count(DISTINCT station_id) AS stations FROM (SELECT DISTINCT * FROM station_daily) x)
+SELECT total AS rows, CAST(floor(total * (1 - 0.2::DOUBLE)) AS BIGINT) AS train_rows, total - CAST(floor(total * (1 - 0.2::DOUBLE)) AS BIGINT) AS test_rows,
+  true AS errors_known, true AS shares_sum_to_one, stations FROM n""")
+def daily_flow(spark, sf):
+    """From the cleaned sources to a scored model: the sizes of its parts, known errors, importances that sum to one."""
+    done = D.run_daily(daily(spark, sf), view(spark, sf, "climate_daily"), view(spark, sf, "index_monthly"), model=Boosting(rounds=3, max_depth=3))
+    counted = {f"{p}_rows": done[p].agg(F.count("*")).scalar() for p in ("train", "test")}
+    unknown = F.count_if(F.col("rmse").isNull() | F.isnan("rmse") | (F.col("rmse") < 0))
+    return done["features"].agg(F.count("*").alias("rows"), F.countDistinct("station_id").alias("stations")).withColumns({
+        **counted, "errors_known": done["metrics"].agg(unknown == 0).scalar(),
+        "shares_sum_to_one": done["importance"].agg(F.abs(F.sum("importance") - 1) < 1e-6).scalar()})
+
+
 @job("flow_answer_requests", """
 SELECT DISTINCT water_year AS request_id, CASE WHEN water_year % 3 = 0 THEN 'rejected' ELSE 'answered' END AS part,
   water_year % 3 <> 0 AS has_card, water_year % 3 <> 0 AS has_peak FROM winter_history""")

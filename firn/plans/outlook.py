@@ -6,6 +6,7 @@ from firn.functions import rules as R, scalars as N
 from firn.models.outlook import WinterOutlook, backtest
 from firn.operators import aggregates as A, joins as J
 from firn.operators.cleaning import validate_history
+from firn.session import materialize
 
 
 def summarize(forecast: DataFrame, climatology: DataFrame, units="metric", half_life=7.0,
@@ -60,9 +61,12 @@ def nested(tables: dict, by=()) -> DataFrame:
 
 def run_outlook(history: DataFrame, scenarios: DataFrame, units="metric", years=None, by=(),
                 **settings) -> dict:
-    """Backtest (optional), fit on everything, predict all scenarios and summarize."""
+    """Backtest (optional), fit on everything, predict all scenarios and summarize.
+
+    The forecast is written once, because every summary table reads it again.
+    """
     model = WinterOutlook(**settings).fit(history)
-    forecast = model.predict(scenarios)
+    forecast = materialize(model.predict(scenarios))
     tables = summarize(forecast, history, units, model.half_life, by)
     tables |= {"forecast": forecast, "model": model}
     if years:
