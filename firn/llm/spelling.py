@@ -391,22 +391,18 @@ def near_words(vocab):
 def roots(forms, rounds=64):
     """(word, form, root, ...): forms are followed to the last, twice as far in every round.
 
-    A form is at least twice as frequent as its word, so there are no cycles.
+    A form is at least twice as frequent as its word, so there are no cycles. Words that have
+    arrived stay in the table, since others may come by them in later rounds.
     """
     cols = forms.columns
-    done = forms.where("form IS NULL").withColumn("root", F.col("word"))
-    out, open_ = [done], materialize(forms.where("form IS NOT NULL").withColumn("root", F.col("form")))
-    step = open_.select(F.col("word").alias("at"), F.col("root").alias("next"))
+    alone = forms.where("form IS NULL").withColumn("root", F.col("word"))
+    moving = materialize(forms.where("form IS NOT NULL").withColumn("root", F.col("form")))
     for _ in range(rounds):
-        moved = materialize(open_.join(step, open_.root == step["at"], "left").drop("at"))
-        out.append(moved.where("next IS NULL").select(*cols, "root"))
-        open_ = moved.where("next IS NOT NULL").select(*cols, F.col("next").alias("root"))
-        if open_.isEmpty():
-            result = out[0]
-            for part in out[1:]:
-                result = result.unionByName(part)
-            return result
-        step = moved.select(F.col("word").alias("at"), F.coalesce("next", "root").alias("next"))
+        step = moving.select(F.col("word").alias("at"), F.col("root").alias("next"))
+        moved = materialize(moving.join(step, moving.root == step["at"], "left").drop("at"))
+        moving = moved.select(*cols, F.coalesce("next", "root").alias("root"))
+        if moved.where("next IS NOT NULL").isEmpty():
+            return alone.unionByName(moving)
     raise RuntimeError(f"the forms did not end in {rounds} rounds")
 
 

@@ -150,6 +150,22 @@ def test_spelling(spark, monkeypatch, cell, leaf, crowd):
     assert sorted(tuple(r) for r in got) == want
 
 
+@pytest.mark.parametrize("steps", [1, 5, 7, 21])
+def test_roots_of_long_chains(spark, steps):
+    """Words whose way leads by words that arrived rounds ago."""
+    rows = [(f"w{i}", f"w{i + 1}" if i < steps else None) for i in range(steps + 1)]
+    got = spelling.roots(spark.createDataFrame(rows, "word string, form string")).collect()
+    assert sorted((r.word, r.form, r.root) for r in got) == sorted((w, f, f"w{steps}") for w, f in rows)
+
+
+def test_spelling_chain(spark):
+    words = ["abcdefghijkl"[: 5 + i] for i in range(6)]  # each is near the next, which is twice as frequent
+    rows = [(i, " ".join(w for k, w in enumerate(words) if i < 4 << k)) for i in range(128)]
+    got = spelling.spelling_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in got) == slow_groups(slow_words(rows))
+
+
+
 def test_spelling_of_odd_tables(spark):
     empty = spelling.spelling_groups(fx.empty(spark))
     assert empty.columns == ["word", "form", "root", "n", "n_near", "form_n"] and empty.count() == 0
