@@ -93,12 +93,11 @@ def trailing_scan(spark, sf):
 
 
 @job("s5_bundle", """
-SELECT 'snowpack' AS name, count(*) AS row_count FROM station_daily WHERE date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31'
-UNION ALL SELECT 'climate', count(*) FROM climate_daily WHERE date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31'
-UNION ALL SELECT 'enso', count(*) FROM index_monthly WHERE date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31'""")
+SELECT 'snowpack' AS name, count(*) AS row_count FROM station_daily
+UNION ALL SELECT 'climate', count(*) FROM climate_daily
+UNION ALL SELECT 'enso', count(*) FROM index_monthly""")
 def bundle(spark, sf):
-    named = readers.load_bundle(spark, snow_files(spark, sf), climate_files(spark, sf), index_files(spark, sf),
-                                "1993-01-01", "1997-12-31", stations="all")
+    named = readers.load_bundle(spark, snow_files(spark, sf), climate_files(spark, sf), index_files(spark, sf), stations="all")
     return A.bundle_counts(named)
 
 

@@ -21,6 +21,11 @@ def tables(spark, tmp_path):
     return str(tmp_path)
 
 
+def test_bundle_counts_every_row(spark, tables):
+    got = {r["name"]: r["row_count"] for r in JOBS["s5_bundle"](spark, tables).collect()}
+    assert got == {"snowpack": 38, "climate": 38, "enso": 12}
+
+
 def test_station_encoding_stays_sparse(spark, tables):
     """Slots in sorted order, none for a row without a station, and no array as wide as there are stations."""
     done = JOBS["m18_station_encoding"](spark, tables)
