@@ -72,3 +72,13 @@ def test_nothing_to_fit(rows):
         BoostedTrees(["a"], "y", rounds=1).fit(rows.where("id < 0"))
     with pytest.raises(RuntimeError):
         BoostedTrees(["a"], "y").transform(rows)
+
+
+def test_rows_are_kept_in_blocks(spark):
+    """A pass hands blocks to Python, not rows, and the last rows are in one, too."""
+    df = spark.range(1000, numPartitions=1).select(F.col("id").cast("double").alias("x0"), F.lit(1.0).alias("y"), F.lit(1.0).alias("w"), F.lit(False).alias("late"), "id")
+    model = BoostedTrees(["x0"], "y")
+    blocks = model._binned(df.withColumnRenamed("id", "key"), [np.array([499.0])]).collect()
+    assert len(blocks) == 1
+    assert np.bincount(np.frombuffer(blocks[0].x, np.uint8)).tolist() == [500, 500]
+    assert sorted(np.frombuffer(blocks[0].key, np.int64).tolist()) == list(range(1000))
