@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from firn.models.boosting import BoostedTrees
+from firn.models.boosting import BoostedTrees, CategoryForecaster
+from firn.models.regression import Boosting
 from rowcheck import same_rows
 
 
@@ -82,3 +83,39 @@ def test_rows_are_kept_in_blocks(spark):
     assert len(blocks) == 1
     assert np.bincount(np.frombuffer(blocks[0].x, np.uint8)).tolist() == [500, 500]
     assert sorted(np.frombuffer(blocks[0].key, np.int64).tolist()) == list(range(1000))
+
+
+def test_category_values_equal_one_hot_inputs(spark, tmp_path):
+    """Every value of a text column splits as its 0/1 column would, and neither the trees nor the predictions differ."""
+    rng = np.random.default_rng(5)
+    effect = rng.normal(size=7) * 3
+    data = [(i, f"s{c}" if c < 7 else None, float(a), float((effect[c] if c < 7 else 0.0) + a + 0.1 * e))
+            for i, (c, a, e) in enumerate(zip(rng.integers(0, 8, 800), rng.normal(size=800), rng.normal(size=800)))]
+    df = spark.createDataFrame(data, "id int, s string, a double, y double").repartition(3).withColumns(
+        {f"is_{k}": F.coalesce((F.col("s") == f"s{k}").cast("double"), F.lit(0.0)) for k in range(7)}).cache()
+    made = dict(rounds=4, max_depth=3, learning_rate=0.5, row_share=1.0, column_share=1.0, l2=0.0, first_rate=1.0)
+    wide = BoostedTrees(["a", *[f"is_{k}" for k in range(7)]], "y", **made).fit(df)
+    one = BoostedTrees(["a"], "y", categories=["s"], **made).fit(df)
+    assert any(c is not None for t in one.trees for c in t.category)
+    same_rows(one.transform(df).select("id", "prediction"), wide.transform(df).select("id", "prediction"), 6)
+    unseen = df.withColumn("s", F.lit("other"))
+    same_rows(one.transform(unseen).select("id", "prediction"), one.transform(df.withColumn("s", F.lit(None).cast("string"))).select("id", "prediction"))
+    one.save(str(tmp_path))
+    same_rows(BoostedTrees.load(spark, str(tmp_path)).transform(df).select("id", "prediction"), one.transform(df).select("id", "prediction"))
+
+
+def test_many_stations_do_not_widen_the_rows(spark, tmp_path):
+    """3,000 stations with 4 rows each: as a vector every row would be binned 3,000 times."""
+    df = spark.range(12_000, numPartitions=2).select(
+        F.concat(F.lit("ST"), F.col("id") % 3000).alias("station_id"), (F.col("id") % 10).cast("double").alias("a"),
+        F.when(F.col("id") % 3000 == 17, 100.0).otherwise((F.col("id") % 10).cast("double")).alias("y"))
+    f = CategoryForecaster(Boosting(rounds=3, max_depth=3, learning_rate=1.0, row_share=1.0, column_share=1.0), ["a", "v"], "y", encoded={"v": "station_id"}).fit(df)
+    done = f.transform(df.unionByName(df.limit(1).withColumn("a", F.lit(None).cast("double"))))
+    assert done.where("prediction IS NULL").count() == 1
+    assert {round(r.prediction, 6) for r in done.where("station_id = 'ST17' AND a IS NOT NULL").collect()} == {100.0}
+    shares = {r.feature: r.importance for r in f.importance().collect()}
+    assert set(shares) == {"a", "v"} and shares["v"] > 0.1 and math.isclose(sum(shares.values()), 1.0)
+    blocks = f.model._binned(df.select(F.col("a").alias("x0"), "y", F.lit(1.0).alias("w"), F.lit(False).alias("late"), F.lit(1).cast("long").alias("key"), F.col("station_id").alias("c0")), [np.array([4.0])]).collect()
+    assert all(len(b.x) == len(b.codes[0]) // 4 for b in blocks) and sum(len(b.x) for b in blocks) == 12_000
+    f.save(str(tmp_path))
+    same_rows(CategoryForecaster.load(spark, str(tmp_path)).transform(df).select("station_id", "a", "prediction"), f.transform(df).select("station_id", "a", "prediction"))
