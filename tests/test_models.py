@@ -254,3 +254,19 @@ def test_sequence_boosting_stops_by_the_newest_rows(spark, stations, tmp_path):
     again = SequenceForecaster([]).restore(spark, str(tmp_path))
     assert again.inputs == ["swe"] and again.steps == 2 and again.settings == model.settings
     same_rows(again.transform(stations), model.transform(stations))
+
+
+def test_rows_of_a_fit_are_dealt_to_tasks(spark, monkeypatch):
+    """A full task is cut; equal rows, too, and small inputs stay as they are."""
+    import firn.models.regression as R
+
+    df = spark.range(4000, numPartitions=1).select((F.col("id") % 2).cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("y"))
+    assert R.spread(df) is df and R.spread(df.where("false")).count() == 0
+    monkeypatch.setattr(R, "TASK_ROWS", 500)
+    per_task = [r.n for r in R.spread(df).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(per_task) == 8 and sum(per_task) == 4000 and max(per_task) <= 510
+    seen = []
+    stage = R.Forest.stage
+    monkeypatch.setattr(R.Forest, "stage", lambda self, used, *a: seen.append(used.rdd.getNumPartitions()) or stage(self, used, *a))
+    f = Forecaster(Forest(trees=2, max_depth=3, bootstrap=False), ["a"], "y").fit(df)
+    assert seen == [8] and f.evaluate(df).first().rmse < 1e-9
