@@ -74,3 +74,23 @@ def test_missing_dates_empty_table_and_suggestions(spark, rows):
     got = S.make_suggested(rows.withColumn("monitor", F.lit(1)))
     assert set(got.columns) - set(rows.columns) == {
         "monitor", "day_of_year", "water_year", "swe_lag_7", "swe_lag_30", "precipitation_roll_sum_30", "temperature_anomaly"}
+
+
+def test_long_frames_from_short_ones(spark):
+    """A frame of 6 rows comes from frames of 3 and equals its own, over gaps, short stations, chunks and both ends."""
+    values = [None, 1e9, 1e9 + 1, 1e9 + 2.5, None, None, None, 3.0, 4.5, None, 7.0, 1e9, 2.0, 8.0]
+    data = [(s, day(i), v) for s, k in (("a", 14), ("b", 1), ("c", 4), (None, 9)) for i, v in enumerate(values[:k])]
+    df = spark.createDataFrame(data, "station_id string, date date, swe double").withColumn("whole", F.col("swe").cast("long"))
+    for current in (True, False):
+        made = W.rolling_columns(["swe", "whole"], ["swe"], ["swe", "whole"], [3, 6], current)
+        assert set(W._short_frames(df, made)) == {f"swe_roll_{k}_{n}" for k in ("mean", "std", "sum") for n in (3, 6)}
+        want = df
+        for name, one in made.items():  # one at a time there is nothing to join
+            want = W.add_window_columns(want, {name: one}, 6)
+        for series in (Series(), Series(hot_rows=5)):
+            got = W.add_window_columns(df, made, 6, series)
+            assert got.columns == want.columns and got.schema.simpleString() == want.schema.simpleString()
+            same_rows(got, want, 5)
+    names = ["swe_roll_sum_90", "swe_roll_mean_90", "swe_roll_mean_30"]
+    plan = S.make_features(df, names, hot=None)._jdf.queryExecution().optimizedPlan().toString()
+    assert "-89" not in plan and "-29" in plan
