@@ -234,3 +234,26 @@ def test_columns_are_judged_after_rows_are_dropped(spark):
     df = spark.createDataFrame(rows, "station_id string, date string, swe double, kind string, note string")
     out = C.clean(df, ("swe",), "drop")
     assert "kind" not in out.columns and "note" in out.columns and out.count() == 9
+
+
+def test_medians_are_looked_for_where_there_are_gaps(spark, stations, monkeypatch):
+    asked = []
+    monkeypatch.setattr(C, "exact_medians", lambda df, cols, *more, find=C.exact_medians: asked.append(list(cols)) or find(df, cols, *more))
+    rows = spark.createDataFrame([(1, 2.0, None), (2, None, None), (3, 6.0, None)], "n int, x double, e double")
+    got = C.fill_median(rows)
+    assert asked == [["x", "e"]] and dict(got.dtypes) == {"n": "double", "x": "double", "e": "double"}
+    assert sorted(map(tuple, got.collect())) == [(1.0, 2.0, None), (2.0, 4.0, None), (3.0, 6.0, None)]
+    assert C.fill_median(rows, ["n"]).dtypes[0] == ("n", "double") and C.fill_median(rows.limit(0)).dtypes == rows.dtypes
+    asked.clear()
+    C.clean(stations.where("swe IS NOT NULL AND precipitation IS NOT NULL"), ("swe",))
+    assert asked == []
+
+
+def test_the_key_columns_are_not_measured(spark, monkeypatch):
+    """Text and dates that stay anyway are not compared, counted or estimated."""
+    seen = []
+    monkeypatch.setattr(C, "column_facts", lambda df, wide=False, find=C.column_facts: seen.append(df.columns) or find(df, wide))
+    df = spark.createDataFrame([("a", "2020-01-01", 1.0, "k"), ("a", "2020-01-01", 1.0, "k"), ("b", "2020-01-02", None, "m")], "station_id string, date string, swe double, kind string")
+    got = C.clean(df, ("swe",), threshold=0.9)
+    assert {"swe", "kind"} <= set(seen[0]) and not {"station_id", "date"} & set(seen[0])
+    assert sorted((r.station_id, r.swe, r.kind, r.day) for r in got.collect()) == [("a", 1.0, "k", 1.0), ("b", 1.0, "m", 2.0)]

@@ -9,6 +9,7 @@ from firn.models.regression import Boosting, Forecaster, Forest, Linear, normali
 from firn.models.sequence import SequenceForecaster
 from firn.models.trend import SeasonalTrend
 from firn.plans import daily as D
+from firn.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -270,3 +271,30 @@ def test_rows_of_a_fit_are_dealt_to_tasks(spark, monkeypatch):
     monkeypatch.setattr(R.Forest, "stage", lambda self, used, *a: seen.append(used.rdd.getNumPartitions()) or stage(self, used, *a))
     f = Forecaster(Forest(trees=2, max_depth=3, bootstrap=False), ["a"], "y").fit(df)
     assert seen == [8] and f.evaluate(df).first().rmse < 1e-9
+
+
+def test_training_statistics_are_joined_without_a_shuffle(spark, stations):
+    s = D.FeatureSettings()
+    rows = materialize(stations.withColumn("month", F.month("date")))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # what is broadcast then, was counted
+    try:
+        train, test, scaler = D.split_and_scale(rows, settings=s)
+        plan = train._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert set(scaler) == {"precipitation", "temperature", "month"}
+        one, two = D.split_and_scale(rows)[0], train
+        level = one.groupBy("station_id").agg(F.avg("swe").alias("m"))
+        off = two.join(level, "station_id").where(F.abs(F.col("station_mean_swe") - F.col("m")) > 1e-9)
+        assert off.count() == 0 and two.count() == one.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_counts_per_key_rule_hot_keys_out(spark):
+    from firn.operators.series import Series, no_hot_join
+
+    left = spark.createDataFrame([("a", 1)] * 4 + [("b", 1)] * 2 + [(None, 1)] * 5, "station_id string, date int")
+    right = spark.createDataFrame([("a", 1)] * 2 + [("b", 1)] + [(None, 1)] * 9, "station_id string, date int")
+    assert no_hot_join(left, right, Series(hot_rows=8)) and not no_hot_join(left, right, Series(hot_rows=7))
+    assert no_hot_join(left.limit(0), right, Series(hot_rows=1))
